@@ -20,9 +20,10 @@ for name, q in load_all().items():
     t0 = time.time()
     try:
         df = q.run(spark, sf)
+        t1 = time.time()
         if q.sql:
             said = oracle.compare(df, con, q.sql)
-            n = ""
+            n = f"build {t1 - t0:.2f} duckdb {oracle.TIMES['duckdb']:.2f}"
         else:
             n = f"rows={len(df.collect())} (no twin)"
             said = None

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import time
 from collections import Counter
 from decimal import Decimal
 
 import duckdb
 
+TIMES: dict[str, float] = {}
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 
@@ -41,7 +43,9 @@ def rows_of(names, rows):
 
 def compare(df, con, sql: str) -> str | None:
     """None when equal, else what differs."""
+    t0 = time.time()
     cur = con.execute(sql)
+    TIMES["duckdb"] = time.time() - t0
     want_names = [d[0] for d in cur.description]
     names, want = rows_of(want_names, cur.fetchall())
     got_names, got = rows_of(df.columns, [tuple(r) for r in df.collect()])

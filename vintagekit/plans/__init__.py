@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("pit", "contract", "model", "ledger")
+AREAS = ("pit", "contract", "model", "ledger", "attribution")
 
 
 def load_all():
