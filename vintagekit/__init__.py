@@ -1,3 +1,10 @@
 """Point-in-time analytics on Spark: DataFrame in, DataFrame out."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions sent to Python workers travel whole, so workers need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

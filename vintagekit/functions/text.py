@@ -54,12 +54,16 @@ def is_bad_number(c: Column | str, null_marks: tuple[str, ...], commas: bool) ->
     return ~text.isin(*null_marks) & marked_number(text, null_marks, commas).isNull()
 
 
-@F.pandas_udf("string")
-def ascii_fold(names: pd.Series) -> pd.Series:
+def ascii_fold(c: Column) -> Column:
     """Compatibility decomposition with all that is not ASCII dropped; Spark has no built-in one."""
-    return names.map(
-        lambda s: None if s is None
-        else unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode())
+
+    @F.pandas_udf("string")
+    def fold_batch(names: pd.Series) -> pd.Series:
+        return names.map(
+            lambda s: None if s is None
+            else unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode())
+
+    return fold_batch(c)
 
 
 def normalize_issuer(c: Column | str) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from vintagekit.functions import calendar as cal
 from vintagekit.operators import features as feat
 from vintagekit.operators import pit
+from vintagekit.operators.features import FLAT
 
 # Fixed values.
 Z80 = 1.2815515655446004
@@ -155,7 +156,7 @@ def _scale_of(values: np.ndarray) -> tuple[float, float]:
     if seen.size == 0:
         return 0.0, 1.0
     std = float(seen.std())
-    return float(seen.mean()), std if std > feat.FLAT else 1.0
+    return float(seen.mean()), std if std > FLAT else 1.0
 
 
 def _ridge_fits(
@@ -212,7 +213,7 @@ def ridge_bridge(
     if alpha <= 0 or min_history < 24:
         raise ValueError("alpha must be positive and min_history at least 24")
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key, pdf):
         pdf = pdf.sort_values(period, ignore_index=True)
         month = pd.to_datetime(pdf[period]).dt.month.to_numpy()
         cols = [pdf[c].to_numpy(dtype=float) for c in
@@ -248,7 +249,7 @@ def _kalman_point(
     if len(week_values) < n or len(has_flow) < MIN_BASELINE_MONTHS:
         return None
     stats = [(v.mean(), v.std()) for v in (y, week_values, flow[has_flow])]
-    if any(s <= feat.FLAT for _, s in stats):
+    if any(s <= FLAT for _, s in stats):
         return None
     (ym, ys), (wm, ws), (fm, fs) = stats
     z = (y - ym) / ys
@@ -289,7 +290,7 @@ def kalman_nowcast(
     `entering` asks for that of the period being entered.
     """
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key, pdf):
         pdf = pdf.sort_values(period, ignore_index=True)
         months = pd.to_datetime(pdf[period]).dt.month.to_numpy()
         y = pdf[value].to_numpy(dtype=float)

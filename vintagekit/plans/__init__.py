@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("pit", "contract", "model", "ledger", "attribution", "loan", "quality")
+AREAS = ("pit", "contract", "model", "ledger", "attribution", "loan", "quality", "source")
 
 
 def load_all():
