@@ -199,12 +199,10 @@ def contributions(
     per_category = ad.join(fd, ["product", "draw"]).groupBy("category", "tier", "draw").agg(
         F.sum(F.col("_a") * F.col("_f")).alias("_amount"))
     b = matrix_b.select("category", "ticker", F.col("mid").alias("_fixed"), "assumption_id")
-    fixed = b.filter("assumption_id is null").join(per_category, "category").select(
-        "category", "tier", "ticker", "draw", (F.col("_amount") * F.col("_fixed")).alias("amount"))
-    moving = b.filter("assumption_id is not null").join(per_category, "category").join(
-        draws, ["assumption_id", "draw"]).select(
-        "category", "tier", "ticker", "draw", (F.col("_amount") * F.col("value")).alias("amount"))
-    return fixed.unionByName(moving)
+    moving = draws.withColumnRenamed("value", "_moving")
+    rows = per_category.join(b, "category").join(moving, ["assumption_id", "draw"], "left")
+    return rows.select("category", "tier", "ticker", "draw",
+                       (F.col("_amount") * F.coalesce("_moving", "_fixed")).alias("amount"))
 
 
 def company_ratios(
@@ -294,13 +292,18 @@ def used_assumptions(
 def sensitivity_top_k(
     ratios: DataFrame, draws: DataFrame, used: DataFrame, top: int = 5
 ) -> DataFrame:
-    """Each company's strongest correlations of draws with its ratio; constants are left out."""
+    """Each company's strongest correlations of draws with its ratio.
+
+    A constant on either side has no correlation and is left out.
+    """
     pairs = used.join(ratios.select("ticker", "draw", "ratio"), "ticker").join(
         draws, ["assumption_id", "draw"])
+    spread = F.stddev_pop("value") * F.stddev_pop("ratio")
     scored = pairs.groupBy("ticker", "assumption_id").agg(
-        F.corr("value", "ratio").alias("_c"), F.min("value").alias("_lo"),
-        F.max("value").alias("_hi"),
-    ).filter((F.col("_lo") < F.col("_hi")) & F.col("_c").isNotNull() & ~F.isnan("_c"))
+        F.covar_pop("value", "ratio").alias("_cov"), spread.alias("_spread"),
+        F.min("value").alias("_lo"), F.max("value").alias("_hi"),
+    ).filter("_lo < _hi and _spread > 0").withColumn("_c", F.col("_cov") / F.col("_spread"))
+    scored = scored.filter(~F.isnan("_c"))
     w = Window.partitionBy("ticker").orderBy(F.desc("absolute_correlation"), "assumption_id")
     return scored.select(
         "ticker", "assumption_id", F.abs("_c").alias("absolute_correlation"),
@@ -426,9 +429,11 @@ def leave_one_out_share(
     totals = members.groupBy(*group).agg(F.sum("_m").alias("_t"), F.sum(inside).alias("_tc"))
     both = members.join(totals, list(group)) if group else members.withColumns({
         "_t": totals.select("_t").scalar(), "_tc": totals.select("_tc").scalar()})
-    dropped = (F.col("_tc") - inside) / (F.col("_t") - F.col("_m"))
+    none = F.lit(0.0)
+    dropped = (F.col("_tc") - inside) / F.nullif(F.col("_t") - F.col("_m"), none)
     return both.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("member_count"), (F.max("_tc") / F.max("_t")).alias("share"),
+        F.count(F.lit(1)).alias("member_count"),
+        (F.max("_tc") / F.nullif(F.max("_t"), none)).alias("share"),
         F.min(dropped).alias("least_share"), F.max(dropped).alias("greatest_share"))
 
 
@@ -438,14 +443,14 @@ def regulated_shares(reports: DataFrame, group: Sequence[str] = ()) -> DataFrame
     `reports` holds report, auto, other, unit_multiplier as exact numbers.
     """
     unit = F.col("unit_multiplier")
+    share = F.try_divide(F.col("auto").cast("double"), F.col("auto") + F.col("other"))
     return reports.groupBy(*group).agg(
         F.sum(F.col("auto") * unit).alias("auto_total"),
         F.sum((F.col("auto") + F.col("other")) * unit).alias("all_total"),
-        F.min(F.col("auto").cast("double") / (F.col("auto") + F.col("other"))).alias("least_share"),
-        F.max(F.col("auto").cast("double") / (F.col("auto") + F.col("other")))
-        .alias("greatest_share"),
+        F.min(share).alias("least_share"), F.max(share).alias("greatest_share"),
         F.bool_or((F.col("other") <= 0) | (F.col("auto") < 0)).alias("invalid"),
-    ).withColumn("combined_share", F.col("auto_total").cast("double") / F.col("all_total"))
+    ).withColumn("combined_share",
+                 F.try_divide(F.col("auto_total").cast("double"), F.col("all_total")))
 
 
 def reconcile_share(

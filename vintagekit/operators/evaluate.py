@@ -132,7 +132,7 @@ def headline_decision(
         F.min(F.when(is_candidate, row)).alias("h"),
         F.min(F.when(F.col("model").isin(list(naive)), F.struct("mae", "model"))).alias("n"),
     )
-    improvement = 1 - F.col("h.mae") / F.col("n.mae")
+    improvement = 1 - F.try_divide(F.col("h.mae"), F.col("n.mae"))
     out = best.select(
         series, F.col("h.model").alias("model"), F.col("h.mae").alias("mae"),
         F.col("n.model").alias("best_naive"), F.col("n.mae").alias("naive_mae"),

@@ -17,7 +17,8 @@ from vintagekit.functions import calendar as cal
 from vintagekit.operators import contracts as c
 
 MONEY, RATE_PLACES, TERM_PLACES = "decimal(38,8)", 10, 8
-AMOUNT, VALUE = "decimal(20,8)", "decimal(14,8)"
+# At 18 digits a decimal is one long; an amount of ten billion or more raises.
+AMOUNT, VALUE = "decimal(18,8)", "decimal(14,8)"
 CORE_FIELDS = ("original_amount", "beginning_balance", "ending_balance", "original_rate",
                "original_term")
 OPTIONAL_FIELDS = ("reporting_rate", "remaining_term", "added")
@@ -112,11 +113,11 @@ def loan_aggregate(
 
     original, ending = part("original_amount"), part("ending_balance")
     pairs = {
-        "original_rate": _weighted(part("original_rate"), original),
         "reporting_rate": _weighted(part("reporting_rate"), ending),
-        "original_term": _weighted(part("original_term"), original),
         "remaining_term": _weighted(part("remaining_term"), ending),
     }
+    # Core rows always have their original rate and term, so one sum is the weight of both.
+    always = {n: _weighted(part(n), original)[0] for n in ("original_rate", "original_term")}
     aggs = [
         F.count(F.lit(1)).alias("asset_count"),
         F.count_if(core).alias("core_metric_asset_count"),
@@ -135,10 +136,12 @@ def loan_aggregate(
     ]
     for name, (num, den) in pairs.items():
         aggs += [num.alias(f"_n_{name}"), den.alias(f"_d_{name}")]
+    aggs += [num.alias(f"_n_{name}") for name, num in always.items()]
     out = rows.groupBy(*keys).agg(*aggs)
 
     def average(name: str, places: int) -> Column:
-        return ratio(F.col(f"_n_{name}"), F.col(f"_d_{name}"), places)
+        weight = "original_loan_amount_sum" if name in always else f"_d_{name}"
+        return ratio(F.col(f"_n_{name}"), F.col(weight), places)
 
     zero = F.lit(0).cast(MONEY)
     return out.withColumns({
@@ -149,7 +152,7 @@ def loan_aggregate(
         "reporting_interest_rate_balance_sum":
             F.coalesce(F.col("_d_reporting_rate").cast(MONEY), zero),
         "remaining_term_balance_sum": F.coalesce(F.col("_d_remaining_term").cast(MONEY), zero),
-    }).drop(*[f"_{x}_{name}" for x in "nd" for name in pairs])
+    }).drop(*[f"_{x}_{name}" for x in "nd" for name in (*pairs, *always)])
 
 
 def coverage_denominators(

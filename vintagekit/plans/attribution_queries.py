@@ -1,6 +1,6 @@
 """Queries for attribution: priorities are products, segments categories, nations companies."""
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,10 +82,14 @@ class Bundle:
                 "tier", F.lit(2)),
             share), "assumptions")
 
-    def draws(self):
+    @cached_property
+    def draw_table(self):
         priors = at.all_priors(self.assumptions, self.flows)
         return materialize(at.triangular_draws(priors, DRAWS, SEED), "draws")
 
+    def draws(self):
+        return self.draw_table
+
     def contributions(self, draws):
         return at.contributions(self.flows, self.a, self.b, draws)
 

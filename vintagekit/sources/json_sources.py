@@ -93,6 +93,8 @@ def explode_parallel_arrays(
         F.when(~F.col("_same"), "array lengths differ").alias("problem"))
 
 
+# A bare number after "val"; quoting it keeps every digit through the parser.
+BARE_VALUE = r'"val"(\s*):(\s*)(-?\d[\d.eE+-]*)'
 FACT = ("struct<start:string,`end`:string,val:string,accn:string,fy:int,fp:string,form:string,"
         "filed:string,frame:string>")
 FACTS = (f"struct<cik:string,entityName:string,facts:map<string,map<string,struct<label:string,"
@@ -108,7 +110,8 @@ def flatten_company_facts(
     `pinned` (doc, accession) keeps only that filing's facts of the form. `fact_index` counts
     within the unit before anything is dropped.
     """
-    f = docs.select(doc, F.from_json(text, FACTS).alias("_f"))
+    quoted = F.regexp_replace(text, BARE_VALUE, '"val"$1:$2"$3"')
+    f = docs.select(doc, F.from_json(quoted, FACTS).alias("_f"))
     ns = f.select(doc, "_f.cik", "_f.entityName", F.explode("_f.facts").alias("namespace", "_t"))
     tags = ns.select(doc, "cik", "entityName", "namespace", F.explode("_t").alias("tag", "_m"))
     units = tags.select(doc, "cik", "entityName", "namespace", "tag", "_m.label",
