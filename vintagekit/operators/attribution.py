@@ -112,13 +112,15 @@ def check_bundle(
 
 
 def resolve_sources(
-    assumptions: DataFrame, sources: DataFrame, unavailable: Sequence[str] = ()
+    assumptions: DataFrame, sources: DataFrame, unavailable: Sequence[str] = (),
+    fallbacks: DataFrame | None = None,
 ) -> DataFrame:
     """The source each assumption rests on, with its band widened when that is a fallback.
 
     `assumptions` adds primary_source_id, fallback_source_ids and band_multiplier; `sources` holds
     source_id, independent_group, terms_status, available. Fallbacks count in their given order,
-    and only those of another group than the primary. None left is BLOCKED.
+    and only those of another group than the primary. None left is BLOCKED. Long lists come as
+    `fallbacks` (assumption_id, position, source_id) in place of the array column.
     """
     usable = F.col("available") & (F.col("terms_status") == "PERMITTED")
     if unavailable:
@@ -128,8 +130,14 @@ def resolve_sources(
         src.select(F.col("source_id").alias("primary_source_id"),
                    F.col("independent_group").alias("_group"), F.col("_ok").alias("_primary_ok")),
         "primary_source_id", "left")
-    ahead = primary.filter(~F.coalesce("_primary_ok", F.lit(False))).select(
-        "assumption_id", "_group", F.posexplode("fallback_source_ids").alias("_pos", "source_id"))
+    failing = primary.filter(~F.coalesce("_primary_ok", F.lit(False)))
+    if fallbacks is None:
+        ahead = failing.select("assumption_id", "_group", F.posexplode("fallback_source_ids")
+                               .alias("_pos", "source_id"))
+    else:
+        ahead = failing.select("assumption_id", "_group").join(
+            fallbacks.select("assumption_id", F.col("position").alias("_pos"), "source_id"),
+            "assumption_id")
     fallback = ahead.join(src.filter("_ok"), "source_id").filter(
         F.col("independent_group") != F.col("_group")).groupBy("assumption_id").agg(
         F.min_by("source_id", "_pos").alias("_fallback"))

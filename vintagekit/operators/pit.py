@@ -90,38 +90,31 @@ def as_of_join(
 ) -> DataFrame:
     """Each left row with the latest right row at or before (strict: before) its time.
 
-    One tagged union and one forward fill per (key, time bucket). What a bucket inherits from
-    earlier ones comes from a summary of one row per (key, bucket), so a key that holds a third of
-    all rows is still spread over its buckets. Right rows at one instant are reduced first; the
-    greatest one wins, which makes ties the same on every run.
+    Only distinct (key, time) questions are answered, by one tagged union and one forward fill per
+    (key, time bucket); the left rows then look their answer up in an equi-join. What a bucket
+    inherits from earlier ones comes from a summary of one row per (key, bucket). So a key that
+    holds a third of all rows is spread over its buckets and times, and `bucket` can be made finer
+    where instants are many. Right rows at one instant are reduced first; the greatest one wins,
+    which makes ties the same on every run.
     """
     keys = list(keys)
-    names = left.columns
-    kinds = F.struct(*take)
-    r = right.groupBy(*keys, F.col(right_time).alias("_t")).agg(F.max(kinds).alias("_r"))
-    r = r.withColumn("_b", F.date_trunc(bucket, "_t"))
-    lft = left.select(
-        *keys, F.col(left_time).alias("_t"), F.struct(*names).alias("_l"),
-        F.date_trunc(bucket, F.col(left_time)).alias("_b"),
-    )
-    left_tag, right_tag = (0, 1) if strict else (1, 0)
-    both = lft.withColumn("_tag", F.lit(left_tag)).unionByName(
-        r.withColumn("_tag", F.lit(right_tag)), allowMissingColumns=True
-    )
+    right_rows = right.groupBy(*keys, F.col(right_time).alias("_t")).agg(
+        F.max(F.struct(*take)).alias("_r"))
+    asked = left.select(*keys, F.col(left_time).alias("_t")).distinct()
+    asked_tag, right_tag = (0, 1) if strict else (1, 0)
+    both = asked.withColumn("_tag", F.lit(asked_tag)).unionByName(
+        right_rows.withColumn("_tag", F.lit(right_tag)), allowMissingColumns=True
+    ).withColumn("_b", F.date_trunc(bucket, "_t"))
     w = Window.partitionBy(*keys, "_b").orderBy("_t", "_tag").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    filled = both.withColumn("_in", F.last("_r", True).over(w)).filter(F.col("_l").isNotNull())
-    per_bucket = both.groupBy(*keys, "_b").agg(F.max_by("_r", F.when(F.col("_r").isNotNull(),
-                                                                     F.col("_t"))).alias("_end"))
+        Window.unboundedPreceding, Window.currentRow)
+    filled = both.withColumn("_in", F.last("_r", True).over(w))
+    ends = filled.groupBy(*keys, "_b").agg(F.max_by("_in", F.struct("_t", "_tag")).alias("_end"))
     wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_bucket.select(*keys, "_b", F.last("_end", True).over(wb).alias("_before"))
-    joined = filled.join(carried, [*keys, "_b"], "left")
-    got = F.coalesce(F.col("_in"), F.col("_before"))
-    return joined.withColumn("_got", got).select(
-        *[F.col(f"_l.{c}").alias(c) for c in names],
-        *[F.col(f"_got.{c}").alias(c) for c in take],
-    )
+    carried = ends.select(*keys, "_b", F.last("_end", True).over(wb).alias("_before"))
+    answers = filled.filter(F.col("_tag") == asked_tag).join(carried, [*keys, "_b"], "left").select(
+        *keys, F.col("_t").alias(left_time), F.coalesce("_in", "_before").alias("_got"))
+    joined = left.join(answers, [*keys, left_time], "left")
+    return joined.select(*left.columns, *[F.col(f"_got.{c}").alias(c) for c in take])
 
 
 def validity(

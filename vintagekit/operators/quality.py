@@ -57,12 +57,17 @@ def calendar_state(
 
 
 def _coverage(
-    policies: DataFrame, seen: DataFrame, entity: str, on: Sequence[str], watermark: str
+    policies: DataFrame, seen: DataFrame, entity: str, on: Sequence[str], watermark: str,
+    expected: DataFrame | None,
 ) -> DataFrame:
     """Expected entities, those seen, and the least of their latest watermarks, per policy."""
     latest = seen.groupBy(*on, entity).agg(F.max(watermark).alias("_latest"))
-    expected = policies.select("source_id", *on, F.explode(F.array_distinct("entities"))
-                               .alias(entity))
+    if expected is None:
+        expected = policies.select("source_id", *on, F.explode(F.array_distinct("entities"))
+                                   .alias(entity))
+    else:
+        expected = policies.select("source_id", *on).join(
+            expected.select("source_id", entity).distinct(), "source_id")
     return expected.join(latest, [*on, entity], "left").groupBy("source_id").agg(
         F.count(F.lit(1)).alias("expected_count"), F.count("_latest").alias("observed_count"),
         F.min("_latest").alias("_watermark"))
@@ -71,17 +76,19 @@ def _coverage(
 def freshness(
     observations: DataFrame, calendar: DataFrame, policies: DataFrame,
     t: date | datetime | str, ingested: str = "ingested_at", series: str = "series_id",
+    expected: DataFrame | None = None,
 ) -> DataFrame:
     """State of every source at `t`: coverage first, then a missed release, then age.
 
     `policies`: source_id, source, entities (the series expected), calendar_prefixes,
     max_age_seconds, grace_seconds, optional. Calendar times must be of the ingest column's type.
+    Long lists come as `expected` (source_id, series) in place of the entities array.
     """
     now = pit.boundary_literal(observations, ingested, t)
     visible = pit.as_of(observations, t, ingested)
     state = calendar_state(policies, calendar, t)
     rows = policies.drop("entities", "calendar_prefixes").join(
-        _coverage(policies, visible, series, ["source"], ingested), "source_id").join(
+        _coverage(policies, visible, series, ["source"], ingested, expected), "source_id").join(
         state, "source_id", "left")
     whole = F.col("observed_count") == F.col("expected_count")
     mark, due = F.col("_watermark"), F.col("latest_due_at")
@@ -112,17 +119,17 @@ def _with_status(rows: DataFrame) -> DataFrame:
 
 def entity_freshness(
     df: DataFrame, policies: DataFrame, t: date | datetime | str, entity: str, watermark: str,
-    ingested: str = "ingested_at",
+    ingested: str = "ingested_at", expected: DataFrame | None = None,
 ) -> DataFrame:
     """The same question for any table, without a calendar; a date watermark means its midnight.
 
-    `policies`: source_id, entities, max_age_seconds, optional.
+    `policies`: source_id, entities, max_age_seconds, optional; or `expected` (source_id, entity).
     """
     now = pit.boundary_literal(df, ingested, t)
     visible = pit.as_of(df, t, ingested).withColumn(
         "_w", F.col(watermark).cast(df.schema[ingested].dataType))
     rows = policies.drop("entities").join(
-        _coverage(policies, visible, entity, [], "_w"), "source_id")
+        _coverage(policies, visible, entity, [], "_w", expected), "source_id")
     whole = F.col("observed_count") == F.col("expected_count")
     old = F.col("_watermark") + _interval("max_age_seconds") < now
     reason = (
@@ -227,10 +234,12 @@ def reconcile_multiset(
         .filter("_n is not null")
     )
     known = aliases.select(F.col("alias").alias("_n"), F.col("name").alias("_to"))
-    renamed = adjusted.join(known, "_n", "left").select(
-        normalize(F.coalesce("_to", "_n")).alias("name"), "_w")
-    want = current.select(normalize(F.col(name)).alias("name"), F.lit(-1).alias("_w"))
-    net = renamed.unionByName(want).groupBy("name").agg(F.sum("_w").alias("_net"))
+    want = current.select(F.col(name).alias("_n"), F.lit(-1).alias("_w"))
+    # Copies of a raw name are summed first, so each distinct name is normalized once.
+    raw = adjusted.join(known, "_n", "left").select(F.coalesce("_to", "_n").alias("_n"), "_w")
+    sums = raw.unionByName(want).groupBy("_n").agg(F.sum("_w").alias("_w")).filter("_w <> 0")
+    net = sums.select(normalize(F.col("_n")).alias("name"), "_w").groupBy("name").agg(
+        F.sum("_w").alias("_net"))
     return net.filter("_net <> 0").select(
         "name", F.when(F.col("_net") > 0, "extra").otherwise("missing").alias("problem"),
         F.abs("_net").alias("row_count"))

@@ -243,21 +243,20 @@ SELECT pr.p AS assumption_id, CASE WHEN a.ok THEN pr.s0 ELSE fb.f END AS active_
 FROM pr JOIN src a ON a.s = pr.s0 JOIN part ON p_partkey = pr.p LEFT JOIN fb ON fb.p = pr.p
 """)
 def _(t):
-    pairs = t.lineitem.select(F.col("l_partkey").alias("assumption_id"), "l_suppkey").distinct()
-    used = pairs.groupBy("assumption_id").agg(
-        F.sort_array(F.collect_list("l_suppkey")).alias("s"))
+    pairs = t.lineitem.select(F.col("l_partkey").alias("assumption_id"),
+                              F.col("l_suppkey").alias("source_id")).distinct()
+    first = pairs.groupBy("assumption_id").agg(F.min("source_id").alias("primary_source_id"))
     size = t.part.select(F.col("p_partkey").alias("assumption_id"),
                          (F.col("p_size") / 100).alias("w"))
-    reg = used.join(size, "assumption_id").select(
-        "assumption_id", F.col("s")[0].alias("primary_source_id"),
-        F.slice("s", 2, F.size("s")).alias("fallback_source_ids"), F.lit(1.5)
-        .alias("band_multiplier"), (0.5 - F.col("w")).alias("low"), F.lit(0.5).alias("mid"),
-        (0.5 + F.col("w")).alias("high"))
+    reg = first.join(size, "assumption_id").select(
+        "assumption_id", "primary_source_id", F.lit(1.5).alias("band_multiplier"),
+        (0.5 - F.col("w")).alias("low"), F.lit(0.5).alias("mid"), (0.5 + F.col("w")).alias("high"))
+    others = pairs.withColumn("position", F.col("source_id"))
     src = t.supplier.select(
         F.col("s_suppkey").alias("source_id"), F.col("s_nationkey").alias("independent_group"),
         F.when(F.col("s_acctbal") < 9000, "PERMITTED").otherwise("REVIEW").alias("terms_status"),
         (F.col("s_acctbal") > 1000).alias("available"))
-    return rounded(at.resolve_sources(reg, src), ["low", "high"]).select(
+    return rounded(at.resolve_sources(reg, src, fallbacks=others), ["low", "high"]).select(
         "assumption_id", "active_source_id", "source_status", "low", "high")
 
 

@@ -118,12 +118,11 @@ FROM (SELECT a.g, a.user_id, b.d FROM (SELECT DISTINCT user_id % 10 AS g, user_i
 GROUP BY g HAVING count(d) < count(*)
 """, "seen")
 def _(t):
-    users = t.seen.groupBy((F.col("user_id") % 10).alias("g")).agg(
-        F.collect_set("user_id").alias("entities"))
-    rules = users.select(
-        F.concat(F.lit("G"), F.col("g").cast("string")).alias("source_id"), "entities",
-        F.lit(86_400).alias("max_age_seconds"), F.lit(False).alias("optional"))
-    return qa.entity_freshness(t.seen, rules, T, "user_id", "obs_date")
+    name = F.concat(F.lit("G"), (F.col("user_id") % 10).cast("string")).alias("source_id")
+    expected = t.seen.select(name, "user_id").distinct()
+    rules = t.seen.select(name).distinct().withColumns({
+        "max_age_seconds": F.lit(86_400), "optional": F.lit(False)})
+    return qa.entity_freshness(t.seen, rules, T, "user_id", "obs_date", expected=expected)
 
 
 @query("q04_overall_status", """
