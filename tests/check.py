@@ -23,6 +23,9 @@ for name, q in load_all().items():
         t1 = time.time()
         if q.sql:
             said = oracle.compare(df, con, q.sql)
+            kinds = oracle.type_differences(df, con, q.sql)
+            if kinds:
+                print("TYPE", name, kinds, flush=True)
             n = f"build {t1 - t0:.2f} duckdb {oracle.TIMES['duckdb']:.2f}"
         else:
             n = f"rows={len(df.collect())} (no twin)"

@@ -11,6 +11,8 @@ from decimal import Decimal
 import duckdb
 
 TIMES: dict[str, float] = {}
+SAME_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+             "date": "DATE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT"}
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 
@@ -41,6 +43,14 @@ def rows_of(names, rows):
     return sorted(names), Counter(tuple(plain(r[i]) for i in order) for r in rows)
 
 
+def type_differences(df, con, sql: str) -> list[str]:
+    """Columns whose Spark type is not the DuckDB type of the same name."""
+    want = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    got = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return [f"{n}: {got[n]} vs {want.get(n)}" for n in got
+            if SAME_TYPE.get(got[n], got[n]) != want.get(n)]
+
+
 def compare(df, con, sql: str) -> str | None:
     """None when equal, else what differs."""
     t0 = time.time()

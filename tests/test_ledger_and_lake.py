@@ -121,6 +121,19 @@ def test_same_identity_other_rows_is_an_error(spark, folder):
                         ["release_name"])
 
 
+def test_conflicts_can_be_recorded_while_the_rest_goes_on(spark, folder):
+    lake.append_new(calendar_row(spark), folder, "releases_calendar", ["release_name"])
+    both = calendar_row(spark, "x", "LATE").unionByName(calendar_row(spark, "y"))
+    again = both.unionByName(calendar_row(spark, "y"))
+    receipt = lake.append_new(again, folder, "releases_calendar", ["release_name"],
+                              failures=f"{folder}/failures")
+    assert receipt.row_count == 1
+    assert [r.release_name for r in spark.read.parquet(f"{folder}/failures").collect()] == ["x"]
+    names = sorted(r.release_name for r in
+                   tb.read_table(spark, folder, "releases_calendar").collect())
+    assert names == ["x", "y"]
+
+
 def test_failed_publication_keeps_the_old_version(spark, folder):
     good = spark.range(3)
     lake.publish_atomically(good, folder, "v1")

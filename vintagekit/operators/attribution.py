@@ -111,6 +111,30 @@ def check_bundle(
     return out
 
 
+# Fixed value: the longest excerpt, in words.
+EXCERPT_WORDS = 15
+
+
+def check_evidence(
+    df: DataFrame, key: str, required: Sequence[str], pair: tuple[str, str] | None = None
+) -> DataFrame:
+    """Rows lacking evidence text, as (rule, key).
+
+    `pair` names an address and its excerpt: both or neither, and the excerpt stays short.
+    """
+    def empty(c: str) -> Column:
+        return F.coalesce(F.trim(c) == "", F.lit(True))
+
+    found = [F.when(empty(c), F.lit(f"{c} missing")) for c in required]
+    if pair is not None:
+        url, text = pair
+        found.append(F.when(empty(url) != empty(text), F.lit("address and excerpt go together")))
+        words = F.size(F.split(F.trim(text), r"\s+"))
+        found.append(F.when(~empty(text) & (words > EXCERPT_WORDS), F.lit("excerpt too long")))
+    return df.select(F.explode(F.array_compact(F.array(*found))).alias("rule"),
+                     F.col(key).cast("string").alias("key"))
+
+
 def resolve_sources(
     assumptions: DataFrame, sources: DataFrame, unavailable: Sequence[str] = (),
     fallbacks: DataFrame | None = None,

@@ -226,6 +226,24 @@ def _(t):
     return at.check_bundle(reg, x.flows, a, b, who)
 
 
+@query("a01_check_evidence", """
+SELECT 'o_text missing' AS rule, CAST(o_orderkey AS VARCHAR) AS key FROM orders
+WHERE o_orderstatus = 'P' UNION ALL
+SELECT 'address and excerpt go together', CAST(o_orderkey AS VARCHAR) FROM orders
+WHERE (o_custkey % 5 = 0) <> (o_orderpriority <> '5-LOW') UNION ALL
+SELECT 'excerpt too long', CAST(o_orderkey AS VARCHAR) FROM orders
+WHERE o_orderpriority = '4-NOT SPECIFIED'
+""")
+def _(t):
+    words = F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.repeat(F.lit("word "), 16)).when(
+        F.col("o_orderpriority") != "5-LOW", "a few words")
+    rows = t.orders.select(
+        "o_orderkey", F.when(F.col("o_orderstatus") != "P", "x").alias("o_text"),
+        F.when(F.col("o_custkey") % 5 == 0, "https://data.example").alias("url"),
+        words.alias("excerpt"))
+    return at.check_evidence(rows, "o_orderkey", ["o_text"], ("url", "excerpt"))
+
+
 @query("a02_resolve_sources", """
 WITH l AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem),
 src AS (SELECT s_suppkey AS s, s_nationkey AS g,
@@ -331,13 +349,6 @@ def _(t):
     return rounded(rounded(out, BAND), ["numerator_mid", "denominator_mid"], 5)
 
 
-def top(x):
-    d = x.draws()
-    ratios = at.company_ratios(x.contributions(d), x.companies, d, BROAD)
-    return ratios, at.sensitivity_top_k(
-        ratios, d, at.used_assumptions(x.a, x.b, x.companies))
-
-
 @query("a09_sensitivity_top_k", """
 WITH u AS (SELECT b.ticker, a.assumption_id FROM at_b b JOIN at_a a USING (category) UNION
            SELECT ticker, assumption_id FROM at_b WHERE assumption_id IS NOT NULL UNION
@@ -352,7 +363,10 @@ FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY abs(c) DESC, ass
       FROM s) WHERE place <= 5
 """, "at_b at_a at_companies at_ratios at_draws")
 def _(t):
-    return rounded(top(Bundle(t))[1], ["absolute_correlation"])
+    x = Bundle(t)
+    out = at.sensitivity_top_k(x.ratios(), x.draws(),
+                               at.used_assumptions(x.a, x.b, x.companies))
+    return rounded(out, ["absolute_correlation"])
 
 
 @query("a10_lift_headline", """
@@ -549,8 +563,9 @@ T, QUARTER_END = "2000-08-20", "2000-06-30"
 
 def company_facts(t):
     """Annual and year-to-date facts by nation, with the filings that carry them."""
-    q = per_nation(t, F.last_day(F.add_months(F.trunc(F.to_date("o_orderdate"), "quarter"), 2))
-                   .alias("end")).groupBy("ticker", "end").agg(F.sum("c").alias("c"))
+    q = t.once("nation_quarters", lambda: per_nation(
+        t, F.last_day(F.add_months(F.trunc(F.to_date("o_orderdate"), "quarter"), 2)).alias("end")
+    ).groupBy("ticker", "end").agg(F.sum("c").alias("c")))
     y = F.year("end")
     w = Window.partitionBy("ticker", y).orderBy("end")
     ytd = q.select("ticker", "end", y.alias("y"), F.quarter("end").alias("n"),
@@ -733,7 +748,9 @@ FROM at_lift l JOIN (SELECT ticker, count(DISTINCT assumption_id) AS n FROM (
 """, "at_lift at_a at_b at_companies")
 def _(t):
     x = Bundle(t)
-    ratios, sensitivity = top(x)
+    ratios = materialize(x.ratios(), "ratios")
+    sensitivity = at.sensitivity_top_k(ratios, x.draws(),
+                                       at.used_assumptions(x.a, x.b, x.companies))
     shares = at.tier_shares(x.contributions(x.draws()))
     feed = at.company_feed(
         at.company_bands(ratios), at.baseline_and_lift(ratios, x.b, BROAD), shares,

@@ -18,6 +18,10 @@ NUMBERS = list(lg.NUMBERS)
 
 def flows(t):
     """Month-on-month change of order value as the graded target, with its release address."""
+    return t.once("flows", lambda: _flows(t))
+
+
+def _flows(t):
     w = Window.partitionBy("series_id").orderBy("obs_period")
     d = (F.col("value_cents") - F.lag("value_cents").over(w)) / 1e8
     return t.monthly.withColumn("value", d).filter("value is not null").select(
@@ -31,6 +35,10 @@ def flow_forecasts(t):
 
 
 def predictions(t):
+    return t.once("predictions", lambda: _predictions(t))
+
+
+def _predictions(t):
     rows = fc.empirical_bands(flow_forecasts(t), flows(t)).filter("width80 is not null")
     return lg.to_predictions(rows.select(
         F.col("series_id").alias("target_series"), F.col("obs_period").alias("target_period"),
@@ -212,7 +220,7 @@ def _(t):
 
 
 def change_log(t):
-    return t.orders.groupBy(F.year("o_orderdate").alias("change_id")).agg(
+    return t.orders.groupBy(F.year("o_orderdate").cast("bigint").alias("change_id")).agg(
         F.max(F.to_date("o_orderdate")).alias("changed_at"),
         F.concat(F.lit("orders "), F.count(F.lit(1)).cast("string")).alias("title"))
 

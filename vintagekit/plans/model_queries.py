@@ -20,7 +20,7 @@ view("weekly_all", "SELECT * FROM weekly WHERE release_date = obs_period + 16",
 
 
 def weekly_all(t):
-    return t.weekly.filter("release_date = date_add(obs_period, 16)")
+    return t.stored("weekly").filter("release_date = date_add(obs_period, 16)")
 
 
 @query("f01_period_change", """
@@ -128,7 +128,7 @@ def shown_features(df):
 def _(t):
     at = t.targets.select("series_id", "target_period",
                           F.date_sub("target_period", 5).alias("origin"))
-    return shown_features(feat.ragged_edge_feature(at, t.weekly, t.monthly_flow))
+    return shown_features(feat.ragged_edge_feature(at, t.stored("weekly"), t.monthly_flow))
 
 
 view("mid_asked", """
@@ -140,7 +140,7 @@ view("mid_features", FEATURE_VIEW.replace("asked", "mid_asked").replace("known",
 
 
 def history(t):
-    return feat.historical_features(t.targets, t.weekly, t.monthly_flow)
+    return feat.historical_features(t.targets, t.stored("weekly"), t.monthly_flow)
 
 
 @query("f05_historical_features", FEATURE_SQL, "features")
@@ -260,7 +260,7 @@ view("print_baselines", long_view("print_points"), "print_points")
 
 
 def gappy(t):
-    return t.monthly.filter("month(obs_period) <> 9 or year(obs_period) > 1998")
+    return t.stored("monthly").filter("month(obs_period) <> 9 or year(obs_period) > 1998")
 
 
 for name, model, maker in (
@@ -319,7 +319,8 @@ view("print_metrics", METRICS_SQL.format(b="print_baselines", h="first_prints",
 
 
 def metrics(t):
-    return ev.evaluate(fc.expanding_baselines(t.monthly), t.monthly, START)
+    return ev.evaluate(
+        fc.expanding_baselines(t.stored("monthly")), t.stored("monthly"), START)
 
 
 def benchmark(t):
@@ -351,7 +352,8 @@ view("gap_bands", BANDS_VIEW.format(b="gap_baselines", h="gappy", start=START),
 
 
 def banded(t):
-    return fc.empirical_bands(fc.expanding_baselines(t.monthly, START), t.monthly)
+    return fc.empirical_bands(
+        fc.expanding_baselines(t.stored("monthly"), START), t.stored("monthly"))
 
 
 @query("m09_empirical_bands", """
@@ -368,7 +370,8 @@ def _(t):
 
 @query("m10_predict_open_periods")
 def _(t):
-    return fc.predict_open_periods(t.targets, t.weekly, t.monthly_flow, "2001-05-28")
+    return fc.predict_open_periods(
+        t.targets, t.stored("weekly"), t.stored("monthly_flow"), "2001-05-28")
 
 
 @query("m11_predict_benchmark_period", """
@@ -393,8 +396,8 @@ SELECT series_id, obs_period, model, CAST(obs_period + 37 AS DATE) AS scheduled_
        CASE WHEN ok THEN round(point + w95, 5) END AS high95 FROM f
 """, "metrics open_points known_baselines known_monthly")
 def _(t):
-    schedule = t.monthly.groupBy("obs_period").agg(F.max("release_date").alias("scheduled_at"))
-    out = fc.predict_benchmark_period(t.monthly, schedule, fc.select_benchmark(metrics(t)),
+    schedule = t.stored("monthly").groupBy("obs_period").agg(F.max("release_date").alias("scheduled_at"))
+    out = fc.predict_benchmark_period(t.stored("monthly"), schedule, fc.select_benchmark(metrics(t)),
                                       "2001-03-15", START)
     return rounded(out, ["point", "low80", "high80", "low95", "high95"], 5)
 
@@ -428,7 +431,8 @@ def _(t):
 
 @query("e01_first_print_backtest", SHOWN.format(m="print_metrics"), "print_metrics")
 def _(t):
-    scores = ev.evaluate(fc.expanding_baselines(t.first_prints), t.first_prints, START)
+    scores = ev.evaluate(
+        fc.expanding_baselines(t.stored("first_prints")), t.stored("first_prints"), START)
     return rounded(scores, SCORES, 5).drop("coverage80", "coverage95")
 
 
@@ -441,7 +445,7 @@ SELECT series_id, model, count(*) AS observations,
 FROM bands WHERE width80 IS NOT NULL GROUP BY ALL
 """, "bands")
 def _(t):
-    out = ev.evaluate(banded(t).drop("actual").filter("width80 is not null"), t.monthly)
+    out = ev.evaluate(banded(t).drop("actual").filter("width80 is not null"), t.stored("monthly"))
     return rounded(out.select("series_id", "model", "observations", "coverage80", "coverage95"),
                    ["coverage80", "coverage95"], 5)
 
@@ -455,8 +459,9 @@ SELECT series_id, model, 'missing period' AS problem, expected - n AS row_count
 FROM w JOIN g USING (series_id) WHERE expected > n
 """, "monthly baselines")
 def _(t):
-    return ev.check_comparable(fc.expanding_baselines(t.monthly, "1996-06-30"), t.monthly,
-                               "1996-06-30", NAIVE)
+    return ev.check_comparable(
+        fc.expanding_baselines(t.stored("monthly"), "1996-06-30"), t.stored("monthly"),
+        "1996-06-30", NAIVE)
 
 
 @query("e03_acceleration_match", """
@@ -466,7 +471,7 @@ FROM baselines b JOIN (SELECT series_id, obs_period, value, lag(value) OVER (
   USING (series_id, obs_period)
 """, "baselines monthly")
 def _(t):
-    rows = ev.score_rows(fc.expanding_baselines(t.monthly), t.monthly)
+    rows = ev.score_rows(fc.expanding_baselines(t.stored("monthly")), t.stored("monthly"))
     return rows.select("series_id", "obs_period", "model", "accelerates")
 
 
@@ -488,7 +493,7 @@ SELECT m.series_id, m.model, round(m.mae, 5) AS mae, 'random_walk' AS best_naive
 FROM h JOIN m USING (series_id, model) JOIN n USING (series_id)
 """, "metrics bands")
 def _(t):
-    covered = ev.evaluate(banded(t).drop("actual").filter("width80 is not null"), t.monthly)
+    covered = ev.evaluate(banded(t).drop("actual").filter("width80 is not null"), t.stored("monthly"))
     m = metrics(t).drop("coverage80", "coverage95").join(
         covered.select("series_id", "model", "coverage80", "coverage95"),
         ["series_id", "model"], "left")
@@ -508,8 +513,8 @@ view("gap_covered", COVERED.format(b="gap_bands"), "gap_bands")
 
 @query("e05_expanding_interval_coverage", COVERED.format(b="bands"), "bands")
 def _(t):
-    f = fc.expanding_baselines(t.monthly, START)
-    return rounded(ev.expanding_interval_coverage(f, t.monthly), ["coverage80", "coverage95"], 5)
+    f = fc.expanding_baselines(t.stored("monthly"), START)
+    return rounded(ev.expanding_interval_coverage(f, t.stored("monthly")), ["coverage80", "coverage95"], 5)
 
 
 @query("e06_benchmark_backtest", """
@@ -528,5 +533,6 @@ SELECT series_id, arg_min(model, mae) AS model, round(min(mae), 5) AS mae FROM p
 GROUP BY 1
 """, "print_metrics")
 def _(t):
-    scores = ev.evaluate(fc.expanding_baselines(t.first_prints), t.first_prints, START)
+    scores = ev.evaluate(
+        fc.expanding_baselines(t.stored("first_prints")), t.stored("first_prints"), START)
     return rounded(ev.best_naive(scores, NAIVE), ["mae"], 5)

@@ -14,9 +14,13 @@ def _ts(text):
     return F.lit(text).cast("timestamp_ntz")
 
 
+def event_days(t):
+    return t.once("event_days", lambda: t.seen.select("source", "obs_date").distinct())
+
+
 def policies(t, missing=True):
     """One policy per event type; views expect a series nobody has, errors are optional."""
-    kinds = t.seen.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    kinds = event_days(t).select("source").distinct()
     base = F.array(*[F.lit(i).cast("bigint") for i in range(10)])
     extra = F.array(F.lit(99).cast("bigint"))
     lacks = F.col("source").isin("view", "error") if missing else F.lit(False)
@@ -31,7 +35,7 @@ def policies(t, missing=True):
 
 def calendar(t):
     """A release per type and day: daily at noon, clicks and signups late, purchases blocked."""
-    days = t.seen.groupBy("source", "obs_date").agg(F.count(F.lit(1)).alias("n"))
+    days = event_days(t)
     day = F.col("obs_date").cast("timestamp_ntz")
     shift = F.when(F.col("source") == "signup", 47).otherwise(12)
     return days.select(

@@ -582,7 +582,7 @@ SELECT 'csv', prediction_id, target_series, target_period, point FROM preds UNIO
 SELECT 'parquet', prediction_id, target_series, target_period, point FROM preds
 """, "preds")
 def _(t):
-    rows = materialize(lq.predictions(t), "predictions")
+    rows = lq.predictions(t)
     out = None
     for fmt in feeds.FORMATS:
         path = scratch_path(t.spark, f"feed-{fmt}")
@@ -615,7 +615,7 @@ def _(t):
     m = lake.file_manifest(t.spark, path)
     a, b = lake.tree_hash(m).first(), lake.tree_hash(m.orderBy(F.desc("file"))).first()
     rows = t.spark.read.parquet(f"{path}/v").agg(F.count(F.lit(1)).alias("row_count"))
-    return rows.select(F.lit(a["file_count"]).alias("file_count"),
+    return rows.select(F.lit(a["file_count"]).cast("bigint").alias("file_count"),
                        F.lit(a["tree_hash"] == b["tree_hash"]).alias("same_tree"), "row_count")
 
 
@@ -659,7 +659,7 @@ def _(t):
     flows = lq.flows(t)
     stream = inc.file_stream(t.spark, landed(t, flows, "targets"), flows.schema, 1)
     root = scratch_path(t.spark, "grades")
-    p = materialize(lq.predictions(t), "predictions")
+    p = lq.predictions(t)
     inc.grade_stream(stream, p, root, scratch_path(t.spark, "check"),
                      "2001-03-31").awaitTermination()
     return tb.read_table(t.spark, root, "grades", inc.GRADES).select(

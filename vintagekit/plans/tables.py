@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from vintagekit.functions import calendar as cal
 from vintagekit.functions import keys
 from vintagekit.operators import pit
+from vintagekit.session import materialize
 
 
 def cents(c: str) -> Column:
@@ -22,6 +24,19 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._stored: dict[str, DataFrame] = {}
+
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table that several steps of the query read, written once.
+
+        Without it each step would scan the big tables again to derive it.
+        """
+        if name not in self._stored:
+            self._stored[name] = materialize(build(), name)
+        return self._stored[name]
+
+    def stored(self, view: str) -> DataFrame:
+        return self.once(view, lambda: getattr(self, view))
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -92,7 +107,7 @@ class Tables:
     @cached_property
     def targets(self) -> DataFrame:
         """`monthly` as forecast targets, released ten days after the month's end."""
-        return self.monthly.select(
+        return self.stored("monthly").select(
             "series_id", F.col("obs_period").alias("target_period"), "value", "value_cents",
             F.date_add("obs_period", 10).alias("release_at"),
         )

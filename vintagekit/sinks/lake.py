@@ -61,19 +61,46 @@ def append_batch(
 
 def append_new(
     df: DataFrame, root: str, table: str, identity: Sequence[str],
-    schema: T.StructType | None = None,
+    schema: T.StructType | None = None, failures: str | None = None,
 ) -> Receipt | None:
-    """Append the rows whose identity is not stored; a stored identity with other rows raises."""
+    """Append the rows whose identity is new; a stored identity with other rows is a conflict.
+
+    An index holds one content hash per stored identity, so the table itself is never read again,
+    however large it grows. It is written after the batch: a crash in between is healed by the
+    repeat, which finds the batch and writes the index. Copies within the input count once. A
+    conflict raises, or with a `failures` path is recorded there while the rest goes on.
+    """
+    spark = df.sparkSession
     schema = schema or schema_for(table)
-    stored = read_table(df.sparkSession, root, table, schema)
-    rows = conform(df, schema)
     plain = [f.name for f in schema.fields
              if not isinstance(f.dataType, T.ArrayType) and f.name != "ingested_at"]
-    c.require(c.batch_conflicts(rows, stored, identity, plain), f"{table}: conflicting batch")
-    fresh = c.new_batches(rows, stored, identity).select(*schema.fieldNames())
-    if fresh.isEmpty():
-        return None
-    return append_batch(fresh, root, table, schema)
+    rest = [n for n in schema.fieldNames() if n not in plain]
+    rows = conform(df, schema).groupBy(*plain).agg(
+        *[F.min(n).alias(n) for n in rest] or [F.lit(1).alias("_one")])
+    ids = T.StructType([*[schema[n] for n in identity],
+                        T.StructField("content_hash", T.StringType())])
+    index = read_table(spark, root, f"{table}_index", ids)
+    seen = rows.withColumn("_h", k.row_hash(plain)).groupBy(*identity).agg(
+        k.digest("_h").alias("content_hash"))
+    known = index.groupBy(*identity).agg(F.min("content_hash").alias("_stored"))
+    state = seen.join(known, list(identity), "left").persist()
+    try:
+        bad = state.filter(F.col("_stored") != F.col("content_hash")).select(*identity)
+        if failures is None:
+            c.require(bad, f"{table}: conflicting batch")
+        elif not bad.isEmpty():
+            bad.write.mode("append").parquet(failures)
+        fresh_ids = state.filter("_stored is null").select(*identity, "content_hash")
+        if fresh_ids.isEmpty():
+            return None
+        fresh = rows.join(fresh_ids.select(*identity), list(identity), "left_semi").select(
+            *schema.fieldNames())
+        receipt = append_batch(fresh, root, table, schema)
+        fresh_ids.write.mode("overwrite").parquet(
+            f"{root.rstrip('/')}/{table}_index/batch_id={receipt.batch_id}")
+        return receipt
+    finally:
+        state.unpersist()
 
 
 def stable_write(df: DataFrame, path: str, files: int = 8) -> str:

@@ -90,6 +90,12 @@ def read_fund_holdings(
     return _xml(spark, path, row_tag, string_schema(["name", "cusip", "lei"]))
 
 
+def read_fund_header(spark: SparkSession, path: str, row_tag: str = "genInfo") -> DataFrame:
+    """Registrant and report period of a holdings filing."""
+    raw = _xml(spark, path, row_tag, string_schema(["regName", "regCik", "repPdDate"]))
+    return raw.select("regName", "regCik", F.to_date("repPdDate").alias("report_period"))
+
+
 def repeated_holdings(holdings: DataFrame) -> DataFrame:
     """(name, cusip) pairs listed more than once: the pair is the usable key."""
     return holdings.groupBy("name", "cusip").agg(F.count(F.lit(1)).alias("row_count")).filter(

@@ -41,15 +41,18 @@ def run_batches(
 def ingest_stream(
     spark: SparkSession, path: str, root: str, table: str, checkpoint: str,
     identity: Sequence[str] = ("source_url", "checksum"), schema: T.StructType | None = None,
-    files_per_trigger: int | None = None,
+    files_per_trigger: int | None = None, failures: str | None = None,
 ) -> StreamingQuery:
-    """Append each new release batch once; a stored identity with other rows stops the stream."""
+    """Append each new release batch once; a stored identity with other rows stops the stream.
+
+    With a `failures` path such identities are recorded there, and the stream goes on.
+    """
     from vintagekit.schemas import schema_for
 
     schema = schema or schema_for(table)
 
     def step(batch: DataFrame, _: int) -> None:
-        lake.append_new(batch, root, table, identity, schema)
+        lake.append_new(batch, root, table, identity, schema, failures)
 
     return run_batches(file_stream(spark, path, schema, files_per_trigger), checkpoint, step)
 
