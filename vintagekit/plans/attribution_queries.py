@@ -198,7 +198,8 @@ JOIN (SELECT c.ticker, d.draw, c.revenue_millions / 4 * d.value AS denominator
 """, "at_contrib at_companies at_draws")
 view("at_lift", """
 SELECT ticker, quantile_cont(ratio, 0.5) AS mid, quantile_cont(broad_ratio, 0.5) AS baseline_mid,
-       quantile_cont(ratio, 0.5) / quantile_cont(broad_ratio, 0.5) AS lift FROM at_ratios GROUP BY 1
+       quantile_cont(ratio, 0.5) / nullif(quantile_cont(broad_ratio, 0.5), 0) AS lift
+FROM at_ratios GROUP BY 1
 """, "at_ratios")
 view("at_mid", """
 SELECT a.product, a.category, a.tier, b.ticker, f.mid * a.mid * b.mid AS amount
