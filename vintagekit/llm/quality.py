@@ -114,7 +114,6 @@ def line_fails(line: Column, rules: Rules) -> Column:
     Each rule starts with a cheap search, so that ordinary lines are counted by none of them.
     """
     count = n_words(line)
-    lowered = F.lower(line)
     no_end = ~F.right(F.rtrim(line, F.lit(SPACES)), F.lit(1)).rlike(ENDINGS)
     short = F.when(no_end, count <= rules.short_line_words)
     symbol_heavy = F.when(
@@ -125,7 +124,7 @@ def line_fails(line: Column, rules: Rules) -> Column:
     listed = F.when(
         any_of(line, *"|>»·•/"),
         (separators >= rules.min_separators) & (100 * separators > rules.separator_percent * count))
-    boilerplate = F.when(any_of(lowered, *BOILERPLATE), count <= rules.boilerplate_words)
+    boilerplate = F.when(let(F.lower(line), lambda x: any_of(x, *BOILERPLATE)), count <= rules.boilerplate_words)
     return F.coalesce(short, F.lit(False)) | F.coalesce(symbol_heavy, F.lit(False)) | F.coalesce(
         shouted, F.lit(False)) | F.coalesce(listed, F.lit(False)) | F.coalesce(
         boilerplate, F.lit(False))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vintagekit.llm import quality
+from vintagekit.llm import licenses, quality, simhash
 from vintagekit.llm.common import documents
 
 
@@ -14,9 +14,19 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_digest(documents(spark, sf_dir))
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_quality_rules,)
+    f.__name__: f for f in (
+        op2_simhash_near_dedup, op6_quality_rules, op8_license_scans)
 }
 SQL: dict[str, str] = {
     "op6_quality_rules": quality.SQL,
+    "op8_license_scans": licenses.SQL,
 }
