@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vintagekit.llm import licenses, quality, simhash
+from vintagekit.llm import licenses, mixing, packing, quality, simhash
 from vintagekit.llm.common import documents
 
 
@@ -18,13 +19,22 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_simhash_near_dedup, op6_quality_rules, op8_license_scans)
+        op2_simhash_near_dedup, op5_mixing, op6_quality_rules, op7_packing, op8_license_scans)
 }
 SQL: dict[str, str] = {
     "op6_quality_rules": quality.SQL,
