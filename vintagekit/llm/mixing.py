@@ -85,7 +85,7 @@ def settle_block(sizes: list[float], probs: list[float], draw: random.Random,
     return landing(sizes, [p if i in held else next(rest) for i, p in enumerate(probs)])
 
 
-def settler(seed: int, level: int, last: bool) -> Callable[[tuple, pa.Table], pa.Table]:
+def settler(seed: int, level: int, last: bool, block: int) -> Callable[[tuple, pa.Table], pa.Table]:
     """The flight of one block, and the landing where the block is a source's last."""
 
     def settle(key: tuple, part: pa.Table) -> pa.Table:
@@ -93,7 +93,8 @@ def settler(seed: int, level: int, last: bool) -> Callable[[tuple, pa.Table], pa
             part, [("size", "descending"), ("_id", "ascending")]))
         sizes = [float(x) for x in part["size"].to_pylist()]
         draw = random.Random(f"{seed}|{level}|{key[0].as_py()}|{key[1].as_py()}")
-        p = settle_block(sizes, part["_p"].to_pylist(), draw, last)
+        whole = last or part["n_docs"][0].as_py() <= block
+        p = settle_block(sizes, part["_p"].to_pylist(), draw, whole)
         at = part.schema.get_field_index("_p")
         return part.set_column(at, "_p", pa.array(p, pa.float64()))
 
@@ -157,7 +158,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
             F.xxhash64(F.col("_id"), F.lit(level)), blocks.cast("long"))
         moved = materialize(
             todo.groupBy(F.col("source"), salt.alias("_salt")).applyInArrow(
-                settler(seed, level, last), schema), "mix")
+                settler(seed, level, last, block), schema), "mix")
         if last:
             done = moved if done is None else done.union(moved)
             break
