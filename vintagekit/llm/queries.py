@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vintagekit.llm import licenses, mixing, packing, quality, simhash
-from vintagekit.llm.common import documents
+from vintagekit.llm import langid, licenses, mixing, packing, quality, simhash, toxicity
+from vintagekit.llm.common import documents, fold
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,12 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs.where(fold("doc_id", 3) != 1))
+    return langid.predict(docs, model).withColumn("held_out", fold("doc_id", 3) == 1)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select(
         "doc_id", "size", "source_size", "target", "taken")
@@ -32,9 +39,19 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(documents(spark, sf_dir))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.fit(docs.join(labels, "doc_id").where(fold("doc_id", 5) != 0))
+    return toxicity.score(docs, model).select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_simhash_near_dedup, op5_mixing, op6_quality_rules, op7_packing, op8_license_scans)
+        op2_simhash_near_dedup, op3_language_id, op5_mixing, op6_quality_rules, op7_packing, op8_license_scans,
+        op9_toxicity)
 }
 SQL: dict[str, str] = {
     "op6_quality_rules": quality.SQL,
