@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintagekit.llm import langid, licenses, mixing, packing, quality, simhash, toxicity
+from vintagekit.llm import langid, licenses, mixing, packing, quality, simhash, suffix, toxicity
 from vintagekit.llm.common import documents, fold
 
 
@@ -26,6 +26,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).withColumn("held_out", fold("doc_id", 3) == 1)
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.passage_rows(suffix.repeated_passages(documents(spark, sf_dir)))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select(
         "doc_id", "size", "source_size", "target", "taken")
@@ -50,8 +54,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_simhash_near_dedup, op3_language_id, op5_mixing, op6_quality_rules, op7_packing, op8_license_scans,
-        op9_toxicity)
+        op2_simhash_near_dedup, op3_language_id, op4_suffix_array_dedup, op5_mixing,
+        op6_quality_rules, op7_packing, op8_license_scans, op9_toxicity)
 }
 SQL: dict[str, str] = {
     "op6_quality_rules": quality.SQL,
