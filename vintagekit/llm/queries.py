@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintagekit.llm import langid, licenses, mixing, packing, quality, simhash, suffix, toxicity
+from vintagekit.llm import audio, langid, licenses, mixing, packing, quality, simhash, suffix, toxicity
 from vintagekit.llm.common import documents, fold
 
 
@@ -52,10 +52,20 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors are played; excerpts of every twentieth one are looked up among all."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    asked = audio.fingerprints(
+        vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", audio.excerpt)
+    prints = audio.fingerprints(vectors, "vec_id", "embedding", audio.melody)
+    return audio.align(asked, prints, "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op2_simhash_near_dedup, op3_language_id, op4_suffix_array_dedup, op5_mixing,
-        op6_quality_rules, op7_packing, op8_license_scans, op9_toxicity)
+        op6_quality_rules, op7_packing, op8_license_scans, op9_toxicity,
+        op10_media_columns)
 }
 SQL: dict[str, str] = {
     "op6_quality_rules": quality.SQL,
