@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintagekit.llm import audio, langid, licenses, mixing, packing, quality, simhash, suffix, toxicity
+from vintagekit.llm import audio, langid, licenses, mixing, packing, quality, recurrent, simhash, suffix, toxicity
 from vintagekit.llm.common import documents, fold
 
 
@@ -16,6 +16,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_digest(documents(spark, sf_dir))
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
+    scored = recurrent.language_model_scores(documents(spark, sf_dir), fold("doc_id", 7) != 2)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -63,7 +70,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_simhash_near_dedup, op3_language_id, op4_suffix_array_dedup, op5_mixing,
+        op1_lm_scoring, op2_simhash_near_dedup, op3_language_id, op4_suffix_array_dedup, op5_mixing,
         op6_quality_rules, op7_packing, op8_license_scans, op9_toxicity,
         op10_media_columns)
 }
