@@ -305,7 +305,7 @@ def fit(texts: DataFrame, key: Column, counts: Counts) -> Network:
             .mapInArrow(lambda batches, w=weights: task(w, batches), schema), "weights")
         while (n := fitted.count()) > 1:
             fitted = materialize(fitted.groupBy(
-                F.floor(F.col("task") / FAN_IN) if n > FAN_IN else F.lit(0)).applyInArrow(
+                F.floor(F.col("task") / (FAN_IN if n > FAN_IN else 1 << 40))).applyInArrow(
                 mean, schema), "weights")
         row = fitted.first()
         if row is not None:
