@@ -51,7 +51,7 @@ class Model:
 
     def scored(self, counts: dict[str, list[int]]) -> np.ndarray:
         """Log frequencies by language, half a count added."""
-        c = np.array(list(counts.values()), float).reshape(-1, len(self.langs)) + 0.5
+        c = np.array(list(counts.values()), float).reshape(len(counts), len(self.langs)) + 0.5
         return np.log(c / (c.sum(axis=0) + 0.5))
 
     def backed_off(self, word: str) -> np.ndarray:
