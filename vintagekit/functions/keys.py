@@ -7,18 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-NULL_TEXT = "\\N"
+NULL_TEXT = "~"
 PIECES = 4
 PIECE_HEX = 15
 
 
 def row_text(cols: Sequence[str | Column]) -> Column:
-    """Bar-joined text of the columns in the given order, nulls written out."""
-    parts = [
-        F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(NULL_TEXT))
-        for c in cols
-    ]
-    return F.concat_ws("|", *parts)
+    """Text of the columns in the given order, each field after its length.
+
+    Different rows have different texts: lengths say where fields end, and a null is a mark that no
+    field can be, as fields begin with a digit.
+    """
+    fields = []
+    for c in cols:
+        text = (F.col(c) if isinstance(c, str) else c).cast("string")
+        fields.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text),
+                                 F.lit(NULL_TEXT)))
+    return F.concat(*fields)
 
 
 def row_hash(cols: Sequence[str | Column]) -> Column:

@@ -98,6 +98,8 @@ def check_bundle(
         unknown(matrix_b, "matrix B without company", "ticker", companies, "ticker"),
         bad(matrix_b, "matrix B band without assumption", b_key,
             F.col("assumption_id").isNotNull() | (F.col("low") == F.col("high"))),
+        unknown(matrix_b, "matrix B without assumption", "assumption_id", assumptions,
+                "assumption_id"),
         over_one(matrix_b, "matrix B above one", "category", ("high",), SUM_SLACK_B),
         mismatched(matrix_b, "matrix B differs from assumption", b_key),
         repeated(companies, "company repeated", "ticker"),
@@ -233,8 +235,12 @@ def contributions(
     b = matrix_b.select("category", "ticker", F.col("mid").alias("_fixed"), "assumption_id")
     moving = draws.withColumnRenamed("value", "_moving")
     rows = per_category.join(b, "category").join(moving, ["assumption_id", "draw"], "left")
+    # A constant stands only where no assumption is named; a named one without draws stops the run.
+    undrawn = F.raise_error(F.concat(F.lit("no draws for assumption "), F.col("assumption_id")))
+    share = F.when(F.col("assumption_id").isNull(), F.col("_fixed")).otherwise(
+        F.coalesce(F.col("_moving"), undrawn.cast("double")))
     return rows.select("category", "tier", "ticker", "draw",
-                       (F.col("_amount") * F.coalesce("_moving", "_fixed")).alias("amount"))
+                       (F.col("_amount") * share).alias("amount"))
 
 
 def company_ratios(
@@ -504,8 +510,13 @@ def reconcile_share(
 def normalized_weights(
     df: DataFrame, key: str, value: str, group: Sequence[str] = (), places: int = 12
 ) -> DataFrame:
-    """Share of the group total, truncated; the last key takes the rest, so the sum is exactly 1."""
-    amount = F.col(value).cast("decimal(18,2)")
+    """Share of the group total, truncated; the last key takes the rest, so the sum is exactly 1.
+
+    Amounts keep ten fraction digits and eighteen whole ones. Shares come from whole quotients and
+    remainders, six digits at a time, as decimal division gives up digits. `places` is even. A group
+    whose total is not positive has null weights; see `weight_violations`.
+    """
+    amount = F.col(value).cast("decimal(28,10)")
     rows = df.select(*group, key, amount.alias("_v"))
     totals = rows.groupBy(*group).agg(F.sum("_v").alias("_t"), F.max(key).alias("_last"))
     if group:
@@ -513,14 +524,31 @@ def normalized_weights(
     else:
         rows = rows.withColumns({"_t": totals.select("_t").scalar(),
                                  "_last": totals.select("_last").scalar()})
-    share = F.floor(F.col("_v") / F.col("_t"), F.lit(places)).cast(f"decimal(20,{places})")
+    step = F.lit(10 ** (places // 2)).cast(f"decimal({places // 2 + 1},0)")
+    total = F.when(F.col("_t") > 0, F.col("_t").cast("decimal(28,10)"))
+    scaled = (F.col("_v") * step).cast("decimal(38,10)")
+    high = F.call_function("div", scaled, total)
+    rest = (scaled - (total * high).cast("decimal(38,10)")).cast("decimal(28,10)")
+    low = F.call_function("div", (rest * step).cast("decimal(38,10)"), total)
+    units = (high.cast("decimal(10,0)") * step + low.cast("decimal(10,0)")).cast("decimal(18,0)")
+    share = (units / F.lit(10 ** places).cast(f"decimal({places + 1},0)")).cast(f"decimal(20,{places})")
     rows = rows.withColumn("_w", F.when(F.col(key) != F.col("_last"), share))
     rest = rows.groupBy(*group).agg((1 - F.coalesce(F.sum("_w"), F.lit(0))).alias("_rest"))
     if group:
         rows = rows.join(rest, list(group))
     else:
         rows = rows.withColumn("_rest", rest.scalar())
-    return rows.select(*group, key, F.coalesce("_w", "_rest").cast("double").alias("weight"))
+    return rows.select(*group, key, F.when(
+        F.col("_t") > 0, F.coalesce("_w", "_rest").cast("double")).alias("weight"))
+
+
+def weight_violations(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
+    """Groups that cannot be normalized: no positive total, or a value that is null or negative."""
+    amount = F.col(value).cast("decimal(28,10)")
+    totals = df.groupBy(*group).agg(
+        F.coalesce(F.sum(amount), F.lit(0)).alias("total"),
+        F.count_if(amount.isNull() | (amount < 0)).alias("bad_values"))
+    return totals.filter("total <= 0 or bad_values > 0")
 
 
 def reweight_matrix_b(

@@ -88,11 +88,12 @@ def grade_outcomes(
     series: str = "series_id", period: str = "obs_period", value: str = "value",
     release: str = "release_date", url: str = "source_url",
 ) -> DataFrame:
-    """Every prediction with its outcome: append, present, not matured, or released too early."""
-    actual = targets.select(
-        F.col(series).alias("target_series"), F.col(period).alias("target_period"),
-        F.col(value).alias("actual_first_print"), F.col(release).alias("_rel"),
-        F.col(url).alias("vintage_url"))
+    """Every prediction with its outcome: append, present, not matured, released too early, or a
+    target that is there more than once, which is never graded."""
+    actual = targets.groupBy(
+        F.col(series).alias("target_series"), F.col(period).alias("target_period")).agg(
+        F.min_by(value, release).alias("actual_first_print"), F.min(release).alias("_rel"),
+        F.min_by(url, release).alias("vintage_url"), F.count("*").alias("_targets"))
     done = grades.select("prediction_id", F.lit(True).alias("_done"))
     rows = predictions.join(actual, ["target_series", "target_period"], "left").join(
         done, "prediction_id", "left")
@@ -101,6 +102,7 @@ def grade_outcomes(
         F.when(F.col("_rel").isNull() | ~due, "not matured")
         .when(F.col("_rel") <= F.col("made_at"), "released before prediction")
         .when(F.col("_done"), "present")
+        .when(F.col("_targets") > 1, "repeated target")
         .otherwise("append")
     )
     return rows.select(
@@ -113,7 +115,7 @@ def grade_matured(
     predictions: DataFrame, targets: DataFrame, grades: DataFrame, t: date | datetime | str,
     **names: str,
 ) -> tuple[DataFrame, DataFrame]:
-    """New grades, and the counts attempted, appended, present and not matured."""
+    """New grades, and the counts of matured open predictions attempted and of every outcome."""
     rows = grade_outcomes(predictions, targets, grades, t, **names)
     new = rows.filter("outcome = 'append'").select(
         "prediction_id", "actual_first_print", "vintage_url", "abs_error", "graded_at")
@@ -125,9 +127,12 @@ def grade_counts(rows: DataFrame) -> DataFrame:
         return F.count_if(F.col("outcome") == outcome)
 
     return rows.agg(
-        F.count(F.lit(1)).alias("attempted"), n("append").alias("appended"),
+        F.count_if(F.col("outcome").isin(
+            "append", "repeated target", "released before prediction")).alias("attempted"),
+        n("append").alias("appended"),
         n("present").alias("already_present"), n("not matured").alias("not_matured"),
-        n("released before prediction").alias("invalid"))
+        n("released before prediction").alias("invalid"),
+        n("repeated target").alias("repeated_target"))
 
 
 def verify_regrade(

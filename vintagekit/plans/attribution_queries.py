@@ -214,13 +214,15 @@ SELECT 'matrix A differs from assumption', product || '/' || category FROM at_a
 WHERE category = 'AUTOMOBILE' UNION ALL
 SELECT 'matrix B repeated', category || '/' || ticker FROM at_b WHERE category = 'BUILDING' UNION ALL
 SELECT 'company without share', 'none' UNION ALL
+SELECT 'matrix B without assumption', 'B:none' UNION ALL
 SELECT 'assumption tier', assumption_id FROM at_a WHERE tier = 3
 """, "at_a at_b at_flows")
 def _(t):
     x = Bundle(t)
     a = x.a.withColumns({c: F.when(F.col("category") == "AUTOMOBILE", F.lit(0.9)).otherwise(
         F.col(c)) for c in BAND})
-    b = x.b.unionByName(x.b.filter("category = 'BUILDING'"))
+    b = x.b.unionByName(x.b.filter("category = 'BUILDING'")).withColumn("assumption_id", F.when(
+        F.col("assumption_id") == "B:FURNITURE/N05", "B:none").otherwise(F.col("assumption_id")))
     who = x.companies.withColumn("share_assumption_id", F.when(
         F.col("ticker") == "N03", "none").otherwise(F.col("share_assumption_id")))
     reg = x.assumptions.withColumn("tier", F.when(F.col("tier") == 3, 9).otherwise(F.col("tier")))
@@ -537,7 +539,7 @@ def _(t):
 
 
 @query("a17_reweight_matrix_b", """
-WITH v AS (SELECT c.ticker, CAST(round(c.revenue_millions * s.mid * 100) AS HUGEINT) AS v
+WITH v AS (SELECT c.ticker, CAST(round(c.revenue_millions * s.mid * 1e8) AS HUGEINT) AS v
   FROM at_companies c JOIN at_assumptions s ON s.assumption_id = c.share_assumption_id),
 x AS (SELECT 'all' AS g, ticker, v FROM v UNION ALL SELECT 'sub', ticker, v FROM v WHERE ticker < 'N08'),
 w AS (SELECT g, ticker, max(ticker) OVER (PARTITION BY g) AS last,

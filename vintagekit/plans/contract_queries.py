@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from vintagekit.functions import calendar as cal
 from vintagekit.functions import keys
 from vintagekit.operators import contracts as c
-from vintagekit.plans.registry import query, view
+from vintagekit.plans.registry import query, row_sha, view
 
 OBS = ["source", "series_id", "obs_period", "value", "unit", "release_date", "vintage_date",
        "ingested_at", "source_url", "checksum"]
@@ -293,26 +293,25 @@ sha256(concat_ws('|', CAST(count(h) AS VARCHAR),
 
 @query("k01_batch_hash", f"""
 SELECT o_orderpriority, count(h) AS row_count, {DIGEST} AS batch_hash FROM (
-  SELECT o_orderpriority, sha256(concat_ws('|', CAST(o_custkey AS VARCHAR),
-         CAST(o_orderkey AS VARCHAR), o_orderstatus)) AS h FROM orders) GROUP BY 1
+  SELECT o_orderpriority, {row_sha("o_custkey", "o_orderkey", "o_orderstatus")} AS h
+  FROM orders) GROUP BY 1
 """)
 def _(t):
     return keys.batch_hash(t.orders, ["o_orderkey", "o_custkey", "o_orderstatus"],
                            ["o_orderpriority"])
 
 
-@query("k02_record_id", """
-SELECT o_orderkey, 'prd_' || sha256(concat_ws('|', CAST(o_custkey AS VARCHAR), o_orderpriority,
-       CAST(CAST(o_orderdate AS DATE) AS VARCHAR))) AS record_id FROM orders
+@query("k02_record_id", f"""
+SELECT o_orderkey, 'prd_' || {row_sha("o_custkey", "o_orderpriority", "CAST(o_orderdate AS DATE)")}
+  AS record_id FROM orders
 """)
 def _(t):
     return t.orders.select("o_orderkey", keys.record_id(
         ["o_custkey", "o_orderpriority", F.to_date("o_orderdate")]).alias("record_id"))
 
 
-@query("k03_inputs_hash", """
-WITH r AS (SELECT series_id, obs_period, sha256(concat_ws('|', CAST(obs_period AS VARCHAR),
-                  CAST(release_date AS VARCHAR), CAST(value_cents AS VARCHAR))) AS h
+@query("k03_inputs_hash", f"""
+WITH r AS (SELECT series_id, obs_period, {row_sha("obs_period", "release_date", "value_cents")} AS h
            FROM first_prints),
 s AS (SELECT series_id, obs_period, count(h) OVER w AS n,
   sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) OVER w AS a,
@@ -342,9 +341,9 @@ def _(t):
     return keys.canonical_round(net, ["net"], 4)
 
 
-@query("k05_receipt_id", """
-SELECT event_id, 'rcp_' || sha256(concat_ws('|', CAST(event_id AS VARCHAR), event_type,
-       CAST(user_id AS VARCHAR))) AS receipt_id, event_type = 'error' AS tampered FROM events
+@query("k05_receipt_id", f"""
+SELECT event_id, 'rcp_' || {row_sha("event_id", "event_type", "user_id")} AS receipt_id,
+       event_type = 'error' AS tampered FROM events
 """)
 def _(t):
     cols = ["event_id", "event_type", "user_id"]

@@ -10,7 +10,7 @@ from vintagekit.operators import forecast as fc
 from vintagekit.operators import ledger as lg
 from vintagekit.operators import serving as sv
 from vintagekit.plans.model_queries import METRICS_SQL, long_view, points_view, rounded
-from vintagekit.plans.registry import query, view
+from vintagekit.plans.registry import query, row_sha, view
 
 START = "1997-01-31"
 NUMBERS = list(lg.NUMBERS)
@@ -68,11 +68,11 @@ view("flow_points", points_view("flows", False), "flows")
 view("flow_baselines", long_view("flow_points"), "flow_points")
 view("flow_metrics", METRICS_SQL.format(b="flow_baselines", h="flows", start=START),
      "flow_baselines flows")
-view("preds", """
-SELECT 'prd_' || sha256(concat_ws('|', model_version, inputs_hash, target_series,
-                                  CAST(target_period AS VARCHAR))) AS prediction_id, *
+view("preds", f"""
+SELECT 'prd_' || {row_sha("model_version", "inputs_hash", "target_series", "target_period")}
+  AS prediction_id, *
 FROM (SELECT obs_period AS made_at, model AS model_version,
-             sha256(concat_ws('|', series_id, CAST(obs_period AS VARCHAR))) AS inputs_hash,
+             {row_sha("series_id", "obs_period")} AS inputs_hash,
              series_id AS target_series, obs_period AS target_period, round(point, 9) AS point,
              round(point - w80, 9) AS low80, round(point + w80, 9) AS high80,
              round(point - w95, 9) AS low95, round(point + w95, 9) AS high95,
@@ -132,23 +132,32 @@ def _(t):
     return lg.append_predictions(again, stored).select("prediction_id", "outcome")
 
 
+def repeating_flows(t):
+    """The flows, with the first prints of September 2000 there twice."""
+    again = flows(t).filter("obs_period = '2000-09-30'").withColumn("value", F.col("value") + 1)
+    return flows(t).unionByName(again)
+
+
 @query("l04_grade_matured", """
 SELECT prediction_id, actual_first_print, vintage_url, round(abs_error, 9) AS abs_error, graded_at
 FROM graded WHERE graded_at > DATE '2000-06-30' AND graded_at <= DATE '2001-03-31'
+  AND target_period <> DATE '2000-09-30'
 """, "graded")
 def _(t):
-    new, _ = lg.grade_matured(predictions(t), flows(t), grades(t), "2001-03-31")
+    new, _ = lg.grade_matured(predictions(t), repeating_flows(t), grades(t), "2001-03-31")
     return rounded(new, ["abs_error"], 9)
 
 
 @query("l04_grade_counts", """
-SELECT count(*) AS attempted,
-  count(*) FILTER (graded_at > DATE '2000-06-30' AND graded_at <= DATE '2001-03-31') AS appended,
+SELECT count(*) FILTER (open) AS attempted,
+  count(*) FILTER (open AND target_period <> DATE '2000-09-30') AS appended,
   count(*) FILTER (graded_at <= DATE '2000-06-30') AS already_present,
-  count(*) FILTER (graded_at > DATE '2001-03-31') AS not_matured, 0::BIGINT AS invalid FROM graded
+  count(*) FILTER (graded_at > DATE '2001-03-31') AS not_matured, 0::BIGINT AS invalid,
+  count(*) FILTER (open AND target_period = DATE '2000-09-30') AS repeated_target
+FROM (SELECT *, graded_at > DATE '2000-06-30' AND graded_at <= DATE '2001-03-31' AS open FROM graded)
 """, "graded")
 def _(t):
-    return lg.grade_matured(predictions(t), flows(t), grades(t), "2001-03-31")[1]
+    return lg.grade_matured(predictions(t), repeating_flows(t), grades(t), "2001-03-31")[1]
 
 
 @query("l05_verify_regrade", """
@@ -207,10 +216,11 @@ def _(t):
 
 
 @query("l08_grading_job", """
-SELECT count(*) AS attempted,
+SELECT count(*) FILTER (graded_at > DATE '2000-06-30' AND graded_at <= DATE '2001-03-31') AS attempted,
   count(*) FILTER (graded_at > DATE '2000-06-30' AND graded_at <= DATE '2001-03-31') AS appended,
   count(*) FILTER (graded_at <= DATE '2000-06-30') AS already_present,
   count(*) FILTER (graded_at > DATE '2001-03-31') AS not_matured, 0::BIGINT AS invalid,
+  0::BIGINT AS repeated_target,
   max(graded_at) FILTER (graded_at <= DATE '2001-03-31') AS latest_graded_at FROM graded
 """, "graded")
 def _(t):

@@ -660,8 +660,10 @@ def _(t):
     stream = inc.file_stream(t.spark, landed(t, flows, "targets"), flows.schema, 1)
     root = scratch_path(t.spark, "grades")
     p = lq.predictions(t)
-    inc.grade_stream(stream, p, root, scratch_path(t.spark, "check"),
-                     "2001-03-31").awaitTermination()
+    check = scratch_path(t.spark, "check")
+    # The first run has read every print, and grades those due; the second only has a later day.
+    for day in ("2000-12-31", "2001-03-31"):
+        inc.grade_stream(stream, p, root, check, day).awaitTermination()
     return tb.read_table(t.spark, root, "grades", inc.GRADES).select(
         "prediction_id", F.round("abs_error", 8).alias("abs_error"), "graded_at")
 

@@ -1,6 +1,6 @@
 """The same derived views in DuckDB SQL, for the twins."""
 
-from vintagekit.plans.registry import view
+from vintagekit.plans.registry import row_sha, view
 
 view("vintages", """
 SELECT series_id, obs_period, release_date,
@@ -14,14 +14,13 @@ FROM (SELECT o.o_orderpriority AS series_id,
       WHERE last_day(CAST(l.l_shipdate AS DATE)) > last_day(CAST(o.o_orderdate AS DATE))
       GROUP BY ALL)
 """)
-view("observations", """
+view("observations", f"""
 SELECT 'SALES' AS source, series_id, obs_period, value_cents, value_cents / 1e8 AS value,
        'million' AS unit, release_date, release_date AS vintage_date,
        CAST(release_date + 1 AS DATE) AS ingested_at,
        'https://data.example/sales/' || strftime(release_date, '%Y%m') || '/'
          || regexp_replace(series_id, '[^A-Z0-9]', '', 'g') AS source_url,
-       sha256(concat_ws('|', series_id, CAST(obs_period AS VARCHAR), CAST(release_date AS VARCHAR),
-                        CAST(value_cents AS VARCHAR))) AS checksum
+       {row_sha("series_id", "obs_period", "release_date", "value_cents")} AS checksum
 FROM vintages
 """, "vintages")
 view("first_prints", """
@@ -41,14 +40,12 @@ view("targets", """
 SELECT series_id, obs_period AS target_period, value, value_cents,
        CAST(obs_period + 10 AS DATE) AS release_at FROM monthly
 """, "monthly")
-view("weekly", """
+view("weekly", f"""
 SELECT series_id, obs_period, CAST(obs_period + d AS DATE) AS release_date,
        CAST(CASE WHEN d = 9 THEN first_cents ELSE all_cents END AS BIGINT) AS value_cents,
        CASE WHEN d = 9 THEN first_cents ELSE all_cents END / 1e8 AS value,
-       sha256(concat_ws('|', series_id, CAST(obs_period AS VARCHAR),
-              CAST(CAST(obs_period + d AS DATE) AS VARCHAR),
-              CAST(CAST(CASE WHEN d = 9 THEN first_cents ELSE all_cents END AS BIGINT) AS VARCHAR)))
-         AS checksum
+       {row_sha("series_id", "obs_period", "CAST(obs_period + d AS DATE)",
+                "CAST(CASE WHEN d = 9 THEN first_cents ELSE all_cents END AS BIGINT)")} AS checksum
 FROM (SELECT o_orderpriority AS series_id,
              CAST(CAST(o_orderdate AS DATE) + CAST((10 - isodow(o_orderdate)) % 7 AS INTEGER)
                   AS DATE) AS obs_period,

@@ -70,15 +70,25 @@ def grade_stream(
     targets: DataFrame, predictions: DataFrame, root: str, checkpoint: str,
     t: date | datetime | str, schema: T.StructType = GRADES, **names: str,
 ) -> StreamingQuery:
-    """Grade open predictions as first prints arrive; grades land in `root/grades` once each."""
-    spark = predictions.sparkSession
+    """Grade open predictions as first prints arrive; grades land in `root/grades` once each.
 
-    def step(batch: DataFrame, _: int) -> None:
+    Prints are stored in `root/targets` before they are graded against, so one that is not due yet, or
+    whose prediction comes later, is looked at again by every later batch and run.
+    """
+    spark, prints = predictions.sparkSession, targets.schema
+
+    def grade() -> None:
+        known = read_table(spark, root, "targets", prints).distinct()
         stored = read_table(spark, root, "grades", schema)
-        new, _counts = lg.grade_matured(predictions, batch, stored, t, **names)
+        new, _counts = lg.grade_matured(predictions, known, stored, t, **names)
         if not new.isEmpty():
             lake.append_batch(new, root, "grades", schema)
 
+    def step(batch: DataFrame, _: int) -> None:
+        lake.append_batch(batch, root, "targets", prints)
+        grade()
+
+    grade()
     return run_batches(targets, checkpoint, step)
 
 
