@@ -142,14 +142,24 @@ def as_of_many(
     """For every boundary, each key's latest row by then. `on` are the keys both sides share.
 
     Vintages become validity intervals, so the join emits exactly the answer rows: one interval of
-    a key holds any boundary.
+    a key holds any boundary. Both sides meet by the quarters they touch, so an interval is compared
+    with the boundaries of its own quarters only.
     """
     v = validity(df, keys, value, release)
+
+    def quarter(c: Column) -> Column:
+        return F.year(c) * 4 + F.quarter(c)
+
+    until = F.coalesce(F.least(F.col("replaced_at"), F.col("_last")), F.col("_last"))
+    v = v.withColumn("_last", bounds.agg(F.max(bound_col).alias("m")).scalar()).filter(
+        F.col(release) <= until).withColumn(
+        "_quarter", F.explode(F.sequence(quarter(F.col(release)), quarter(until)))).drop("_last")
+    bounds = bounds.withColumn("_quarter", quarter(F.col(bound_col)))
     b, r0, r1 = F.col(bound_col), F.col(release), F.col("replaced_at")
     inside = (r0 < b) & (r1.isNull() | (b <= r1)) if strict else (
         (r0 <= b) & (r1.isNull() | (b < r1))
     )
-    return v.join(bounds, list(on)).filter(inside).drop("replaced_at")
+    return v.join(bounds, [*on, "_quarter"]).filter(inside).drop("replaced_at", "_quarter")
 
 
 def release_coherent_change(

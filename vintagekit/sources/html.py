@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from vintagekit.functions import text as tx
 
 # Fixed values.
-CONTEXT_CHARS = 4000
 HIDDEN = frozenset({"script", "style"})
 SUM_TOLERANCE = 200
 WEEK_AGE_DAYS = (1, 40)
@@ -23,8 +22,9 @@ MONTH_ABBREVIATIONS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "
 class _Page(HTMLParser):
     """Collects (text before, rows of cell texts) of each outermost table."""
 
-    def __init__(self) -> None:
+    def __init__(self, context_chars: int | None) -> None:
         super().__init__()
+        self._reach = context_chars or 0
         self.found: list[tuple[str, list[list[str]]]] = []
         self._hidden = self._level = 0
         self._text: list[str] = []
@@ -45,7 +45,7 @@ class _Page(HTMLParser):
         elif tag == "table":
             self._level += 1
             if self._level == 1:
-                self._before = " ".join("".join(self._text).split())[-CONTEXT_CHARS:]
+                self._before = " ".join("".join(self._text).split())[-self._reach:]
                 self._rows = []
         elif self._level == 1 and tag == "tr":
             self._close_cell()
@@ -81,22 +81,29 @@ class _Page(HTMLParser):
             self._cell.append(" ")
 
 
-def _tables_of(html: str | None) -> list[tuple[str, list[list[str]]]]:
-    page = _Page()
+def _tables_of(
+    html: str | None, context_chars: int | None = None
+) -> list[tuple[str, list[list[str]]]]:
+    page = _Page(context_chars)
     page.feed(html or "")
     page.close()
     return page.found
 
 
-def extract_html_tables(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, table_no, context, rows) of every outermost table, rows as arrays of cell texts."""
+def extract_html_tables(
+    pages: DataFrame, key: str = "page_id", html: str = "html", context_chars: int | None = None
+) -> DataFrame:
+    """(key, table_no, context, rows) of every outermost table, rows as arrays of cell texts.
+
+    The context is all text before the table; `context_chars` keeps only its last characters.
+    """
     kind = pages.schema[key].dataType.simpleString()
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = [(k, n, before, rows)
                    for k, h in zip(batch[key], batch[html], strict=True)
-                   for n, (before, rows) in enumerate(_tables_of(h), start=1)]
+                   for n, (before, rows) in enumerate(_tables_of(h, context_chars), start=1)]
             yield pd.DataFrame(out, columns=[key, "table_no", "context", "rows"])
 
     schema = f"{key} {kind}, table_no int, context string, rows array<array<string>>"

@@ -132,16 +132,32 @@ def flatten_company_facts(
     return out.filter(F.col("form") == form).join(want, [doc, "accession"], "left_semi")
 
 
+def unread_company_facts(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
+    """Documents of which `flatten_company_facts` gives no row: not JSON, or without any fact."""
+    quoted = F.regexp_replace(text, BARE_VALUE, '"val"$1:$2"$3"')
+    units = F.flatten(F.transform(
+        F.flatten(F.transform(F.map_values("_f.facts"), lambda tags: F.map_values(tags))),
+        lambda tag: F.map_values(tag["units"])))
+    facts = F.aggregate(units, F.lit(0), lambda n, u: n + F.coalesce(F.size(u), F.lit(0)))
+    parsed = docs.select(doc, F.col(text).alias("_t"), F.from_json(quoted, FACTS).alias("_f"))
+    return parsed.filter(F.coalesce(facts, F.lit(0)) <= 0).select(
+        doc, F.when(F.col("_f.facts").isNull(), "unreadable").otherwise("no facts").alias("problem"))
+
+
 def parse_call_report(
     docs: DataFrame, fields: Sequence[str], doc: str = "doc", text: str = "text"
 ) -> DataFrame:
-    """Bank rows of call-report documents: the wrapper's data, with the declared total beside."""
+    """Bank rows of call-report documents: the wrapper's data, with the declared total beside.
+
+    A document that is empty or cannot be read stays as one row of nulls with `row_total` 0.
+    """
     row = "struct<REPDTE:string,CERT:bigint," + ",".join(f"{f}:bigint" for f in fields) + ">"
     shape = f"struct<meta:struct<total:bigint>,data:array<struct<data:{row}>>>"
     parsed = docs.select(doc, F.from_json(text, shape).alias("_p"))
     return parsed.select(
         doc, F.col("_p.meta.total").alias("declared_total"),
-        F.size("_p.data").cast("bigint").alias("row_total"), F.explode("_p.data").alias("_d"),
+        F.greatest(F.coalesce(F.size("_p.data"), F.lit(0)), F.lit(0)).cast("bigint")
+        .alias("row_total"), F.explode_outer("_p.data").alias("_d"),
     ).select(doc, "declared_total", "row_total",
              F.to_date("_d.data.REPDTE", "yyyyMMdd").alias("report_date"),
              F.col("_d.data.CERT").alias("cert"),
@@ -157,13 +173,13 @@ def call_report_violations(rows: DataFrame, fields: Sequence[str], doc: str = "d
     bad = F.lit(False)
     for f in fields:
         bad = bad | F.col(f).isNull() | (F.col(f) < 0)
-    per_cert = rows.groupBy(doc, "cert").agg(F.count(F.lit(1)).alias("n"))
+    per_cert = rows.filter("row_total > 0").groupBy(doc, "cert").agg(F.count(F.lit(1)).alias("n"))
     repeats = per_cert.filter("n > 1").select(doc, F.lit("certificate repeated").alias("problem"),
                                               F.col("cert").cast("string").alias("detail"))
     per_doc = rows.groupBy(doc).agg(
-        F.max("declared_total").alias("d"), F.count(F.lit(1)).alias("n"),
+        F.max("declared_total").alias("d"), F.max("row_total").alias("n"),
         F.min("report_date").alias("r0"), F.max("report_date").alias("r1"),
-        F.count_if(bad).alias("bad"))
+        F.count_if(bad & (F.col("row_total") > 0)).alias("bad"))
     checks = F.array_compact(F.array(
         F.when(~F.col("d").eqNullSafe(F.col("n")), F.lit("declared total differs")),
         F.when(F.col("r0") != F.col("r1"), F.lit("several report dates")),
