@@ -31,7 +31,7 @@ def _flows(t):
 
 
 def flow_forecasts(t):
-    return fc.expanding_baselines(flows(t), START).filter("model <> 'ar2'")
+    return fc.expanding_baselines(flows(t), START)
 
 
 def predictions(t):
@@ -83,7 +83,7 @@ FROM (SELECT obs_period AS made_at, model AS model_version,
                            PARTITION BY b.series_id, b.model ORDER BY b.obs_period
                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), [])) AS past
                   FROM flow_baselines b JOIN flows h USING (series_id, obs_period)
-                  WHERE b.model <> 'ar2' AND b.obs_period >= DATE '1997-01-31')
+                  WHERE b.obs_period >= DATE '1997-01-31')
             WHERE len(past) >= 24))
 """, "flow_baselines flows")
 view("graded", """
@@ -323,13 +323,13 @@ def calibrated(t):
 
 
 @query("e07_live_calibration", """
-SELECT series_id, prediction_id, target_period, inside80, inside95, round(abs_error, 8) AS abs_error,
+SELECT series_id, prediction_id, target_period, inside80, inside95, round(abs_error, 6) AS abs_error,
        naive_model, round(naive_point, 5) AS naive_point,
        round(naive_abs_error, 5) AS naive_abs_error, CAST(NULL AS VARCHAR) AS problem FROM calibrated
 """, "calibrated")
 def _(t):
     out = rounded(calibrated(t), ["naive_point", "naive_abs_error"], 5)
-    return rounded(out, ["abs_error"], 8)
+    return rounded(out, ["abs_error"], 6)
 
 
 @query("e08_calibration_by_series", """
@@ -355,7 +355,7 @@ WITH f AS (SELECT p.*, g.actual_first_print, g.abs_error, row_number() OVER (
              PARTITION BY p.target_series ORDER BY p.made_at, p.prediction_id) AS rn
            FROM preds p JOIN grades g USING (prediction_id))
 SELECT f.target_series, f.target_period, f.prediction_id, f.model_version, f.point, f.low80,
-       f.high80, f.actual_first_print, round(f.abs_error, 8) AS abs_error,
+       f.high80, f.actual_first_print, round(f.abs_error, 6) AS abs_error,
        round(m.mae, 5) AS backtest_mae
 FROM f LEFT JOIN flow_metrics m ON m.series_id = f.target_series AND m.model = f.model_version
 WHERE rn = 1 AND point * actual_first_print < 0 AND NOT actual_first_print BETWEEN low80 AND high80
@@ -363,7 +363,7 @@ WHERE rn = 1 AND point * actual_first_print < 0 AND NOT actual_first_print BETWE
 def _(t):
     scores = ev.evaluate(fc.expanding_baselines(flows(t)), flows(t), START)
     out = ev.first_miss_callout(predictions(t), grades(t), scores)
-    return rounded(rounded(out, ["backtest_mae"], 5), ["abs_error"], 8)
+    return rounded(rounded(out, ["backtest_mae"], 5), ["abs_error"], 6)
 
 
 @query("e11_scoreboard_summary", """

@@ -669,7 +669,7 @@ def _(t):
 
 
 @query("i02_grade_stream", """
-SELECT prediction_id, round(abs_error, 8) AS abs_error, graded_at FROM graded
+SELECT prediction_id, round(abs_error, 6) AS abs_error, graded_at FROM graded
 WHERE graded_at <= DATE '2001-03-31'
 """, "graded")
 def _(t):
@@ -682,7 +682,7 @@ def _(t):
     for day in ("2000-12-31", "2001-03-31"):
         inc.grade_stream(stream, p, root, check, day).awaitTermination()
     return tb.read_table(t.spark, root, "grades", inc.GRADES).select(
-        "prediction_id", F.round("abs_error", 8).alias("abs_error"), "graded_at")
+        "prediction_id", F.round("abs_error", 6).alias("abs_error"), "graded_at")
 
 
 @query("i03_first_print_stream",
