@@ -52,8 +52,8 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    model = toxicity.fit(docs.join(labels, "doc_id").where(fold("doc_id", 5) != 0))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold("doc_id", 5) != 0)
+    model = toxicity.fit(toxicity.labelled_sample(docs, labels), rows=None)
     return toxicity.score(docs, model).select(
         "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))

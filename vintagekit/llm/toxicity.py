@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vintagekit.llm.common import bounded_sample, words_of
+from vintagekit.session import materialize
 
 BITS = 16
 STEM_BITS = 17
@@ -30,7 +31,7 @@ DIM = 8
 FILTERS = 8
 WIDTHS = (1, 2, 3)
 FIT_ROWS = 12_000
-EPOCHS = 4
+STEPS = 700
 BATCH_WORDS = 30_000
 RATE = 0.08
 EDGES = b".,;:!?\"'()[]{}<>|#*$%&-"
@@ -193,9 +194,11 @@ def train(docs: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
         rng = np.random.default_rng(seed)
         fitter = Fitter(model)
         weights = np.where(labels == 1, min(4.0, 0.5 / rate), 1.0)
-        for _ in range(EPOCHS):
+        steps = 0
+        while steps < STEPS:  # whole passes over the sample, small ones more often
             for part in batches_of(docs, rng.permutation(len(docs))):
                 fitter.step([docs[i] for i in part], labels[part], weights[part])
+                steps += 1
     return model
 
 
@@ -218,10 +221,23 @@ def score_all(model: Model, docs: list[np.ndarray], tables: dict) -> np.ndarray:
     return out
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
+                    label_col: str = "toxic", rows: int = FIT_ROWS) -> DataFrame:
+    """Documents of at most `rows` labels, picked among the labels, so that no text is moved for it."""
+    chosen = bounded_sample(
+        labels.select(id_col, label_col).where(F.col(label_col).isin(0, 1)), id_col, rows)
+    return docs.join(materialize(chosen, "labels"), id_col)
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "toxic", lang_col: str = "lang", rows: int = FIT_ROWS) -> Model:
-    """A model from at most `rows` rows with a label; a fifth of them sets the thresholds only."""
-    sample = bounded_sample(labelled.where(F.col(label_col).isin(0, 1)), id_col, rows)
+        label_col: str = "toxic", lang_col: str = "lang", rows: int | None = FIT_ROWS) -> Model:
+    """A model from at most `rows` rows with a label (None: of all, for a sample already bounded).
+
+    A fifth of them sets the thresholds only.
+    """
+    sample = labelled.where(F.col(label_col).isin(0, 1))
+    if rows is not None:
+        sample = bounded_sample(sample, id_col, rows)
 
     def hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
