@@ -100,6 +100,14 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
+def log_chosen(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One entry of each row's log softmax; works in the given array."""
+    x -= x.max(axis=1, keepdims=True)
+    chosen = x[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    return chosen - np.log(x.sum(axis=1))
+
+
 class Network:
     """Weights by name; outputs are numbered class by class, 0 the end, the last the shared one."""
 
@@ -148,11 +156,13 @@ class Network:
     def log_likelihood(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log probability of each target given its state."""
         cls, word = targets // CLASS_SIZE, targets % CLASS_SIZE
-        rows = np.arange(len(h))
-        out = log_softmax(h @ self.p["wc"] + self.p["bc"])[rows, cls]
+        logits = h @ self.p["wc"]
+        logits += self.p["bc"]
+        out = log_chosen(logits, cls)
         for c, at in by_class(cls):
-            out[at] += log_softmax(h[at] @ self.p["wo"][c] + self.p["bo"][c])[
-                np.arange(len(at)), word[at]]
+            logits = h[at] @ self.p["wo"][c]
+            logits += self.p["bo"][c]
+            out[at] += log_chosen(logits, word[at])
         return out
 
     def gradients(self, given: np.ndarray, targets: np.ndarray, real: np.ndarray,
