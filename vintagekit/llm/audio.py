@@ -160,7 +160,8 @@ def align(queries: DataFrame, prints: DataFrame, id_col: str, max_error: float =
     probes = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(32)])
     probed = asked.select(F.col("id").alias("q"), F.posexplode("fp").alias("qt", "_s")).select(
         "q", "qt", F.explode(F.transform(probes, lambda x: F.col("_s").bitwiseXOR(x))).alias("sub"))
-    votes = probed.join(
+    # Probes are many times their table's size, by which Spark would choose to broadcast them.
+    votes = probed.hint("merge").join(
         classes.select("id", F.posexplode("fp").alias("at", "sub")), "sub").groupBy(
         "q", "id", (F.col("at") - F.col("qt")).alias("offset")).agg(F.count("*").alias("votes"))
     best = votes.groupBy("q", "id").agg(F.max(
