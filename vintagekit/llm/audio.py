@@ -28,7 +28,6 @@ WIDTH = 8
 CLASSES = 12
 LOWEST = 110.0
 MAX_ERROR = 0.12
-TOP = 5
 EDGE = 0.05
 
 # (kind, first pitch class, pitch classes, frames): four kinds at four places and sizes.
@@ -147,8 +146,8 @@ def classes_of(prints: DataFrame, id_col: str, name: str) -> DataFrame:
 
 
 def align(queries: DataFrame, prints: DataFrame, id_col: str, max_error: float = MAX_ERROR,
-          top: int = TOP) -> DataFrame:
-    """The `top` best alignments of every class of query fingerprints with classes of recordings.
+          top: int | None = None) -> DataFrame:
+    """The alignments of classes of query fingerprints with classes of recordings, or each one's `top` best.
 
     (query_id, n_copies, match_id, match_copies, offset, votes, bit_error): classes carry the smallest
     id of theirs. An offset is a frame of the recording less the query's frame laid over it.
@@ -177,7 +176,9 @@ def align(queries: DataFrame, prints: DataFrame, id_col: str, max_error: float =
                   "(x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
     measured = laid.where("2 * _n >= least(size(a), size(b))").withColumn(
         "bit_error", bits / (32 * F.col("_n"))).where(F.col("bit_error") <= max_error)
-    order = Window.partitionBy("q").orderBy("bit_error", F.desc("votes"), "id")
-    return measured.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top).select(
+    if top is not None:
+        order = Window.partitionBy("q").orderBy("bit_error", F.desc("votes"), "id")
+        measured = measured.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top)
+    return measured.select(
         F.col("q").alias("query_id"), "n_copies", F.col("id").alias("match_id"), "match_copies",
         "offset", "votes", "bit_error")
