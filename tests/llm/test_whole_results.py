@@ -47,3 +47,47 @@ def test_audio_returns_every_alignment(spark, tmp_path):
     got = queries.op10_media_columns(spark, str(tmp_path)).where("match_id is not null").collect()
     assert len(want) > 5
     assert sum(r["match_copies"] for r in got) == len(want)
+
+
+def expanded(rows):
+    """Pairs of rows that the alignments of classes stand for."""
+    of = {kind: {} for kind in ("query", "recording")}
+    for r in rows:
+        if r["kind"] in of:
+            of[r["kind"]].setdefault(r["class_id"], []).append(r["id"])
+    return [(q, i) for r in rows if r["kind"] == "alignment"
+            for q in of["query"][r["query_id"]] for i in of["recording"][r["match_id"]]]
+
+
+def test_audio_names_the_class_of_every_row(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    one, two = (rng.uniform(-0.7, 0.7, 64).tolist() for _ in range(2))
+    made = [(i, one if i < 41 else two) for i in range(60)] + [(60, None)]
+    spark.createDataFrame(made, "vec_id long, embedding array<float>") \
+        .write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = queries.op10_media_columns(spark, str(tmp_path)).collect()
+    in_class = {(r["kind"], r["id"]): r["class_id"] for r in rows if r["kind"] != "alignment"}
+    assert len(rows) - len([r for r in rows if r["kind"] == "alignment"]) == len(in_class) == 61 + 4
+    assert all(in_class["recording", i] == (0 if i < 41 else 41) for i in range(60))
+    assert in_class["recording", 60] is None and in_class["query", 60] is None
+    assert {in_class["query", i] for i in (0, 20, 40)} == {0}
+    assert {(q, i) for q, i in expanded(rows)} >= {(q, i) for q in (0, 20, 40) for i in range(41)}
+
+
+def test_melodies_use_every_value():
+    base = np.random.default_rng(4).uniform(-0.6, 0.6, 70)
+    heard = audio.melody(base.tolist())
+    for i in range(len(base)):
+        other = base.copy()
+        other[i] = -base[i] + (0.2 if base[i] < 0 else -0.2)
+        changed = audio.melody(other.tolist())
+        assert len(changed) == len(heard) and not np.array_equal(changed, heard), i
+
+
+def test_registered_audio_recall(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    want = alignments(heard([r for r in rows if r["vec_id"] % 20 == 0], audio.excerpt),
+                      heard(rows, audio.melody))
+    got = expanded(queries.op10_media_columns(spark, SF).collect())
+    assert len(got) == len(set(got)) and set(got) <= want
+    assert len(got) >= 0.95 * len(want) and len(want) >= 10

@@ -50,13 +50,17 @@ def read_wav(data: bytes | None) -> np.ndarray:
     return samples.mean(axis=1) / 32768
 
 
-def melody(vector: list[float] | None, notes: int = 16, voices: int = 3) -> np.ndarray:
-    """Audio of a vector: sixteen chords whose pitches follow its values; null and empty have none."""
+def melody(vector: list[float] | None, notes: int = 16, voices: int = 4) -> np.ndarray:
+    """Audio of a vector: chords whose pitches follow all its values; null and empty have none.
+
+    Shorter vectors are repeated to sixteen chords, longer ones have more.
+    """
     values = np.nan_to_num(np.array([x or 0.0 for x in vector or []], float), posinf=1, neginf=-1)
     if not len(values):
         return np.zeros(0)
-    values = np.resize(values, notes * (voices + 1)).reshape(notes, voices + 1)
-    pitch = np.round(18 + 24 * np.clip(values[:, :voices], -0.75, 0.75))
+    notes = max(notes, -(-len(values) // voices))
+    values = np.resize(values, notes * voices).reshape(notes, voices)
+    pitch = np.round(18 + 24 * np.clip(values, -0.75, 0.75))
     t = np.arange(RATE // 8) / RATE
     tones = np.sin(2 * np.pi * LOWEST * 2 ** (pitch[:, :, None] / 12) * t)
     return tones.mean(axis=1).ravel()
@@ -145,6 +149,12 @@ def classes_of(prints: DataFrame, id_col: str, name: str) -> DataFrame:
         F.min(id_col).alias("id"), F.count("*").alias("copies")), name)
 
 
+def members(prints: DataFrame, classes: DataFrame, id_col: str) -> DataFrame:
+    """(id, class_id): one row per recording; one without fingerprints is in no class."""
+    return prints.select(F.col(id_col).alias("id"), "fp").join(
+        classes.select("fp", F.col("id").alias("class_id")), "fp", "left").select("id", "class_id")
+
+
 def align(queries: DataFrame, prints: DataFrame, id_col: str, max_error: float = MAX_ERROR,
           top: int | None = None) -> DataFrame:
     """The alignments of classes of query fingerprints with classes of recordings, or each one's `top` best.
@@ -154,8 +164,29 @@ def align(queries: DataFrame, prints: DataFrame, id_col: str, max_error: float =
     Alignments overlap in half of the shorter one at least. Recordings without fingerprints match
     nothing; an empty table gives an empty result.
     """
-    asked = classes_of(queries, id_col, "asked")
-    classes = classes_of(prints, id_col, "classes")
+    return align_classes(classes_of(queries, id_col, "asked"), classes_of(prints, id_col, "classes"),
+                         max_error, top)
+
+
+def align_with_members(queries: DataFrame, prints: DataFrame, id_col: str,
+                       max_error: float = MAX_ERROR) -> DataFrame:
+    """Rows of three kinds: every alignment of classes, and the class of every query and recording.
+
+    `kind` is alignment, query or recording. Alignments have the columns of `align`, the others (id,
+    class_id), where class_id is a query_id for queries and a match_id for recordings.
+    """
+    queries, prints = materialize(queries, "query_prints"), materialize(prints, "prints")
+    asked, classes = classes_of(queries, id_col, "asked"), classes_of(prints, id_col, "classes")
+    out = align_classes(asked, classes, max_error).withColumn("kind", F.lit("alignment"))
+    for kind, rows, of in (("query", queries, asked), ("recording", prints, classes)):
+        out = out.unionByName(members(rows, of, id_col).withColumn("kind", F.lit(kind)), True)
+    return out.select("kind", "id", "class_id", "query_id", "n_copies", "match_id", "match_copies",
+                      "offset", "votes", "bit_error")
+
+
+def align_classes(asked: DataFrame, classes: DataFrame, max_error: float = MAX_ERROR,
+                  top: int | None = None) -> DataFrame:
+    """`align` for the rows of `classes_of`."""
     probes = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(32)])
     probed = asked.select(F.col("id").alias("q"), F.posexplode("fp").alias("qt", "_s")).select(
         "q", "qt", F.explode(F.transform(probes, lambda x: F.col("_s").bitwiseXOR(x))).alias("sub"))

@@ -60,12 +60,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors are played; excerpts of every twentieth one are looked up among all."""
+    """Vectors are played; excerpts of every twentieth one are looked up among all, copies as one class."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     asked = audio.fingerprints(
         vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", audio.excerpt)
     prints = audio.fingerprints(vectors, "vec_id", "embedding", audio.melody)
-    return audio.align(asked, prints, "vec_id")
+    return audio.align_with_members(asked, prints, "vec_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
