@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tests.llm.test_brute_force import SF
-from vintagekit.llm import audio, queries
+from vintagekit.llm import audio, queries, recurrent
 
 
 def alignments(asked, prints):
@@ -91,3 +91,14 @@ def test_registered_audio_recall(spark):
     got = expanded(queries.op10_media_columns(spark, SF).collect())
     assert len(got) == len(set(got)) and set(got) <= want
     assert len(got) >= 0.95 * len(want) and len(want) >= 10
+
+
+def test_network_learns_from_every_word():
+    own = [b"w%d" % i for i in range(1000)]
+    net = recurrent.Network.new(recurrent.Counts(2003, 1001, {w: 2 for w in own} | {b"": 3}))
+    before = net.p["e"].copy()
+    seen = {k: np.full(v.shape, 1e-3, np.float32) for k, v in net.p.items()}
+    texts = [np.array([0, *range(1, 1001), 0]), np.array([0, 0]), np.array([0, *range(1000, 0, -1), 0])]
+    assert net.fit(iter(texts), seen) == (3, 2003)
+    assert (net.p["e"] != before).any(axis=1)[1:1001].all()
+    assert net.fit(iter([]), seen) == (0, 0)

@@ -3,10 +3,10 @@
 Words are counted over all training texts. The most frequent ones are the network's outputs, the rest
 share one output, and a word among the rest has its share of that output by its count plus one. The
 output softmax is factored: first a class of words, then a word of the class. Biases start at the
-counted frequencies. Every training text gives a stretch of its words, at a place its hash picks; each
-task fits the network on its texts by back-propagation through windows of `WINDOW` words with the
-state carried from window to window, and the tasks' weights are averaged in groups, so no one holds
-more than `FAN_IN` of them. That is repeated in rounds, each with its own share of the texts.
+counted frequencies. Each task fits the network on all words of its texts by back-propagation through
+windows of `WINDOW` words with the state carried to the end of a text; a stream whose text has ended
+takes the next one. The tasks' weights are averaged in groups, so no one holds more than `FAN_IN` of
+them. That is repeated in rounds, each with its own share of the texts.
 
 Scoring walks whole texts, many side by side, with the state carried to the end. Counts of the
 `HEAD` most frequent words are broadcast, a bound whatever the corpus; the others are joined.
@@ -34,7 +34,6 @@ HEAD = 100_000
 CLASSES, CLASS_SIZE = 40, 40
 DIM, HIDDEN = 12, 20
 WINDOW = 32
-STRETCH = 128
 STREAMS = 64
 ROUNDS = 2
 RATE = 0.15
@@ -216,23 +215,37 @@ class Network:
         np.add.at(g["e"], given.ravel(), flat_dx @ p["wx"].T)
         return g, hs[-1]
 
-    def fit(self, stretches: list[np.ndarray], seen: dict[str, np.ndarray]) -> None:
-        """Adagrad over one set of streams, window by window."""
-        longest = max(len(s) for s in stretches)
-        padded = np.zeros((longest, len(stretches)), np.int64)
-        real = np.zeros(padded.shape, bool)
-        for i, s in enumerate(stretches):
-            padded[:len(s), i] = s
-            real[:len(s), i] = True
-        real[0] = False  # the first word is only given
-        h = np.zeros((len(stretches), HIDDEN), np.float32)
-        for at in range(1, longest, WINDOW):
-            to = min(at + WINDOW, longest)
-            g, h = self.gradients(padded[at - 1:to - 1], padded[at:to], real[at:to], h)
+    def fit(self, texts: Iterator[np.ndarray], seen: dict[str, np.ndarray]) -> tuple[int, int]:
+        """Adagrad over whole texts, window by window in STREAMS streams; how many texts and words.
+
+        Texts begin with an end, which is only given. A stream refills when its text has ended.
+        """
+        live: list[tuple[np.ndarray, int]] = []
+        h = np.zeros((0, HIDDEN), np.float32)
+        n = words = 0
+        while True:
+            while len(live) < STREAMS and (text := next(texts, None)) is not None:
+                live.append((text, 1))
+                n += 1
+            if not live:
+                return n, words
+            h = np.vstack((h, np.zeros((len(live) - len(h), HIDDEN), np.float32)))
+            steps = min(WINDOW, max(len(s) - at for s, at in live))
+            given, targets = np.zeros((2, steps, len(live)), np.int64)
+            real = np.zeros((steps, len(live)), bool)
+            for i, (s, at) in enumerate(live):
+                k = min(steps, len(s) - at)
+                given[:k, i], targets[:k, i], real[:k, i] = s[at - 1:at - 1 + k], s[at:at + k], True
+                words += k
+            g, h = self.gradients(given, targets, real, h)
+            share = np.float32(real.sum() / (STREAMS * WINDOW))  # a word weighs the same in thin windows
             for name, grad in g.items():
-                grad = np.clip(grad, -1, 1)
+                grad = np.clip(grad * share, -1, 1)
                 seen[name] += grad * grad
                 self.p[name] -= RATE * grad / np.sqrt(seen[name])
+            going = [i for i, (s, at) in enumerate(live) if at + steps < len(s)]
+            live = [(live[i][0], live[i][1] + steps) for i in going]
+            h = h[going]
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """Log10 probability of whole texts, side by side from the longest to the shortest."""
@@ -271,7 +284,7 @@ def by_class(cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 def fit(texts: DataFrame, key: Column, counts: Counts) -> Network:
     """Rounds of fitting in every task on its texts, and averaging by text count.
 
-    `texts` holds one column; `key` picks a text's round and the place of its stretch.
+    `texts` holds one column; `key` picks a text's round.
     """
     context = texts.sparkSession.sparkContext
     number = context.broadcast({w: i for i, w in enumerate(counts.outputs)})
@@ -281,19 +294,9 @@ def fit(texts: DataFrame, key: Column, counts: Counts) -> Network:
     def task(weights, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, numbers = Network(np.frombuffer(weights.value, np.float32)), number.value
         seen = {k: np.full(v.shape, 1e-3, np.float32) for k, v in net.p.items()}
-        streams, n = [], 0
-        for batch in batches:
-            for text, place in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = [END, *words_of(text), END]
-                first = place % max(1, len(words) - STRETCH)
-                streams.append(np.array(
-                    [numbers.get(w, Network.SHARED) for w in words[first:first + STRETCH + 1]]))
-                n += 1
-                if len(streams) == STREAMS:
-                    net.fit(streams, seen)
-                    streams = []
-        if streams:
-            net.fit(streams, seen)
+        n, _ = net.fit((
+            np.array([numbers.get(w, Network.SHARED) for w in (END, *words_of(text), END)])
+            for batch in batches for text in batch.column(0).to_pylist()), seen)
         if n:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([TaskContext.get().partitionId()]), pa.array([n]),
