@@ -3,8 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from tests.llm.conftest import frame
 from tests.llm.test_brute_force import SF
-from vintagekit.llm import audio, queries, recurrent
+from vintagekit.llm import audio, nearcopies, queries, recurrent
 
 
 def alignments(asked, prints):
@@ -102,3 +103,34 @@ def test_network_learns_from_every_word():
     assert net.fit(iter(texts), seen) == (3, 2003)
     assert (net.p["e"] != before).any(axis=1)[1:1001].all()
     assert net.fit(iter([]), seen) == (0, 0)
+
+
+def test_stage_drops_near_copies(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+    rows, want = [], 0
+    for i in range(60):
+        words = rng.choice(5000, 300).astype(str)
+        rows.append((i, " ".join(words), "en", "a", 0))
+        other = words.copy()
+        other[rng.choice(300, 2 if i < 40 else 12, replace=False)] = "new"
+        rows.append((1000 + i, " ".join(other), "en", "a", 0))
+        a, b = (nearcopies.shingle_set(r[1]) for r in rows[-2:])
+        want += len(np.intersect1d(a, b)) < 0.8 * len(np.union1d(a, b))
+    docs = frame(spark, rows)
+    kept = [r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()]
+    assert 15 <= want <= 25
+    assert len(kept) == 60 + want
+
+
+def test_tiles_in_parts_link_the_same(spark):
+    rng = np.random.default_rng(6)
+    words = rng.choice(5000, 100).astype(str)
+    rows = []
+    for i in range(40):
+        other = words.copy()
+        other[i] = "new"
+        rows.append((i, " ".join(other), "en", "a", 0))
+    roots = nearcopies.near_copies(frame(spark, rows), "doc_id", split=8).collect()
+    assert len(roots) == 40 and len({r["root"] for r in roots}) == 1
