@@ -134,3 +134,13 @@ def test_tiles_in_parts_link_the_same(spark):
         rows.append((i, " ".join(other), "en", "a", 0))
     roots = nearcopies.near_copies(frame(spark, rows), "doc_id", split=8).collect()
     assert len(roots) == 40 and len({r["root"] for r in roots}) == 1
+
+
+def test_stage_keeps_one_of_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    a, b = (" ".join(rng.choice(5000, 50).astype(str)) for _ in range(2))
+    docs = frame(spark, [(7000, a, "en", "a", 0)] * 3 + [(None, b, "en", "a", 0)] * 3)
+    kept = [r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()]
+    assert len(kept) == 2 and kept.count(7000) == kept.count(None) == 1
