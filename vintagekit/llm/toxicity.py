@@ -190,7 +190,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     model = Model.new(seed)
     rate = float(labels.mean()) if len(labels) else 0.5
     model.out_bias = float(np.log((rate + 1e-3) / (1 - rate + 1e-3)))
-    if 0.0 < rate < 1.0:
+    if len(docs) and 0.0 < rate < 1.0:
         rng = np.random.default_rng(seed)
         fitter = Fitter(model)
         weights = np.where(labels == 1, min(4.0, 0.5 / rate), 1.0)
