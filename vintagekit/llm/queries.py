@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vintagekit.llm import (
-    audio, langid, licenses, mixing, packing, quality, recurrent, simhash, suffix, toxicity, windows,
+    audio, langid, licenses, mixing, packing, quality, recurrent, search, simhash, suffix, toxicity,
+    windows,
 )
 from vintagekit.llm.common import documents, fold
 
@@ -74,14 +75,20 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.window_digest(documents(spark, sf_dir))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.build_index(documents(spark, sf_dir))
+    return search.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_lm_scoring, op2_simhash_near_dedup, op3_language_id, op4_suffix_array_dedup, op5_mixing,
         op6_quality_rules, op7_packing, op8_license_scans, op9_toxicity,
-        op10_media_columns, op12_substring_dedup)
+        op10_media_columns, op12_substring_dedup, op13_lexical_search)
 }
 SQL: dict[str, str] = {
     "op6_quality_rules": quality.SQL,
     "op8_license_scans": licenses.SQL,
     "op12_substring_dedup": windows.SQL,
+    "op13_lexical_search": search.SQL,
 }
