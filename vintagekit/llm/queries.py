@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vintagekit.llm import (
     audio, langid, licenses, mixing, packing, quality, recurrent, search, simhash, suffix, toxicity,
-    windows,
+    trie, windows,
 )
 from vintagekit.llm.common import documents, fold
 
@@ -71,6 +71,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.align_with_members(asked, prints, "vec_id")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.window_digest(documents(spark, sf_dir))
 
@@ -84,11 +88,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_lm_scoring, op2_simhash_near_dedup, op3_language_id, op4_suffix_array_dedup, op5_mixing,
         op6_quality_rules, op7_packing, op8_license_scans, op9_toxicity,
-        op10_media_columns, op12_substring_dedup, op13_lexical_search)
+        op10_media_columns, op11_prefix_trie, op12_substring_dedup, op13_lexical_search)
 }
 SQL: dict[str, str] = {
     "op6_quality_rules": quality.SQL,
     "op8_license_scans": licenses.SQL,
+    "op11_prefix_trie": trie.SQL,
     "op12_substring_dedup": windows.SQL,
     "op13_lexical_search": search.SQL,
 }
