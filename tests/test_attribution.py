@@ -46,7 +46,7 @@ def test_good_bundle_has_no_violation_and_bad_ones_do(spark):
 @pytest.fixture(scope="module")
 def run(spark):
     assumptions, flows, a, b, companies = bundle(spark)
-    draws = at.triangular_draws(at.all_priors(assumptions, flows), 10_000, 11).persist()
+    draws = at.draw_blocks(at.all_priors(assumptions, flows), 10_000, 11).persist()
     contrib = at.contributions(flows, a, b, draws)
     ratios = at.company_ratios(contrib, companies, draws, ["broad"]).persist()
     return assumptions, flows, a, b, companies, draws, contrib, ratios
@@ -65,14 +65,15 @@ def test_bands_agree_with_the_midpoint_formula(run):
 
 def test_draws_follow_the_triangle_and_their_identity(spark, run):
     assumptions, flows = run[0], run[1]
-    values = np.array([r.value for r in run[5].filter("assumption_id = 'a1'").collect()])
+    long = at.long_draws(run[5])
+    values = np.array([r.value for r in long.filter("assumption_id = 'a1'").collect()])
     assert values.min() >= 0.2 and values.max() <= 0.4
     assert values.mean() == pytest.approx(0.3, abs=0.002)
     assert values.std() == pytest.approx(0.2 / 24 ** 0.5, rel=0.03)
     fewer = at.triangular_draws(at.all_priors(assumptions.filter("assumption_id = 'a1'"), flows),
                                 10_000, 11).filter("assumption_id = 'a1'")
     assert sorted(r.value for r in fewer.collect()) == sorted(values)
-    assert run[5].filter("assumption_id = 's2'").agg(F.min("value"), F.max("value")).first() == (
+    assert long.filter("assumption_id = 's2'").agg(F.min("value"), F.max("value")).first() == (
         0.8, 0.8)
     with pytest.raises(ValueError):
         at.triangular_draws(assumptions, 9_999, 1)
@@ -92,6 +93,38 @@ def test_lift_tiers_and_sensitivity(run):
     assert {r.assumption_id: r.direction for r in top if r.ticker == "X"}["s1"] == "decreases"
 
 
+def test_block_size_changes_no_draw(spark):
+    priors = bundle(spark)[0]
+    whole = {(r.assumption_id, r.draw): r.value for r in at.triangular_draws(priors, 10_000, 3).collect()}
+    odd = at.long_draws(at.draw_blocks(priors, 10_000, 3, size=777), 777)
+    assert {(r.assumption_id, r.draw): r.value for r in odd.collect()} == whole
+
+
+def test_blocks_agree_with_numpy(run):
+    _, _, a, b, companies, draws, _, ratios = run
+    values = {}
+    for r in sorted(draws.collect(), key=lambda r: r.block):
+        values.setdefault(r.assumption_id, []).extend(r["values"])
+    rows = {}
+    for r in sorted(ratios.collect(), key=lambda r: r.block):
+        rows.setdefault(r.ticker, []).extend(r.ratio)
+    x = {k: np.array(v) for k, v in values.items()}
+    want = x["flow:p"] * (x["a1"] * x["b1"] + x["a2"] * 0.25) / (4000 / 4 * x["s1"]) * 100
+    assert np.allclose(rows["X"], want, rtol=1e-12)
+    band = {r.ticker: r for r in at.company_bands(ratios).collect()}["X"]
+    assert np.allclose([band.low, band.mid, band.high], np.quantile(want, [0.1, 0.5, 0.9]), rtol=1e-12)
+    top = at.sensitivity_top_k(ratios, draws, at.used_assumptions(a, b, companies)).collect()
+    for r in top:
+        c = np.corrcoef(x[r.assumption_id], rows[r.ticker])[0, 1]
+        assert r.absolute_correlation == pytest.approx(abs(c), rel=1e-9)
+
+
+def test_named_assumption_without_draws_stops(spark, run):
+    _, flows, a, b, _, draws, _, _ = run
+    with pytest.raises(Exception, match="no draws for assumption b1"):
+        at.contributions(flows, a, b, draws.filter("assumption_id <> 'b1'")).collect()
+
+
 def test_fallback_needs_another_group_and_widens(spark):
     reg = spark.createDataFrame(
         [("x", 0.2, 0.3, 0.9, "p", ["same", "far"], 2.0), ("y", 0.2, 0.3, 0.4, "p", ["same"], 2.0),

@@ -11,6 +11,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date, datetime
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from vintagekit.operators import pit
 
 # Fixed values.
 MIN_DRAWS = 10_000
+DRAW_BLOCK = 1_000
 TIERS = (1, 2, 3)
 QUANTILES = (0.1, 0.5, 0.9)
 CRITICAL_SHARE = 0.05
@@ -193,83 +196,129 @@ def all_priors(assumptions: DataFrame, flows: DataFrame) -> DataFrame:
     return a.unionByName(f)
 
 
-def triangular_draws(
-    priors: DataFrame, n: int, seed: int, minimum: int = MIN_DRAWS
+def draw_blocks(
+    priors: DataFrame, n: int, seed: int, minimum: int = MIN_DRAWS, size: int = DRAW_BLOCK
 ) -> DataFrame:
-    """n draws per prior in long form (assumption_id, draw, value).
+    """n draws per prior as arrays of up to `size`: (assumption_id, block, values).
 
     Each number comes from a hash of seed, id and draw, so adding a prior changes no other draw and
-    a lost task recomputes the same numbers. low = high is constant.
+    a lost task recomputes the same numbers, whatever the block size. low = high is constant.
     """
     if n < minimum or seed < 0:
         raise ValueError(f"need at least {minimum} draws and a non-negative seed")
     spread = int(priors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = priors.repartition(spread, "assumption_id").withColumn(
-        "draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    u = k.uniform(F.lit(seed), "assumption_id", F.col("draw"))
+    blocks = F.sequence(F.lit(0), F.lit((n - 1) // size))
+    rows = priors.withColumn("block", F.explode(blocks)).repartition(spread, "assumption_id", "block")
+    first = F.col("block") * size + 1
+    draws = F.sequence(first, F.least(first + size - 1, F.lit(n)))
     low, mid, high = F.col("low"), F.col("mid"), F.col("high")
     width = high - low
-    left = low + F.sqrt(F.col("_u") * width * (mid - low))
-    right = high - F.sqrt((1 - F.col("_u")) * width * (high - mid))
-    value = F.when(low == high, mid).when(F.col("_u") * width < mid - low, left).otherwise(right)
-    return rows.withColumn("_u", u).select("assumption_id", "draw", value.alias("value"))
+
+    def triangle(u: Column) -> Column:
+        left = low + F.sqrt(u * width * (mid - low))
+        right = high - F.sqrt((1 - u) * width * (high - mid))
+        return F.when(low == high, mid).when(u * width < mid - low, left).otherwise(right)
+
+    us = F.transform(draws, lambda d: k.uniform(F.lit(seed), "assumption_id", d))
+    return rows.select("assumption_id", "block", F.transform(us, triangle).alias("values"))
+
+
+def long_draws(blocks: DataFrame, size: int = DRAW_BLOCK) -> DataFrame:
+    """The draws of blocks one a row: (assumption_id, draw, value)."""
+    return blocks.select("assumption_id", "block", F.posexplode("values").alias("_pos", "value")).select(
+        "assumption_id", (F.col("block") * size + F.col("_pos") + 1).alias("draw"), "value")
+
+
+def triangular_draws(
+    priors: DataFrame, n: int, seed: int, minimum: int = MIN_DRAWS
+) -> DataFrame:
+    """n draws per prior, one a row (assumption_id, draw, value)."""
+    return long_draws(draw_blocks(priors, n, seed, minimum))
+
+
+def _summed(arrays: Column) -> Column:
+    """Element-wise sum of arrays of one length over a group; partial sums combine on the map side."""
+    return vector_to_array(Summarizer.sum(array_to_vector(arrays)))
+
+
+def _zeros(like: str) -> Column:
+    return F.transform(like, lambda _: F.lit(0.0))
+
+
+def _kept(when: Column, arrays: str) -> Column:
+    return F.when(when, F.col(arrays)).otherwise(_zeros(arrays))
 
 
 def contributions(
-    flows: DataFrame, matrix_a: DataFrame, matrix_b: DataFrame, draws: DataFrame
+    flows: DataFrame, matrix_a: DataFrame, matrix_b: DataFrame, blocks: DataFrame
 ) -> DataFrame:
-    """Amount per (category, tier, ticker, draw).
+    """Amounts per (category, tier, ticker, block) of draws.
 
-    The sum over products does not depend on the company, so it is taken first: the long frame is
-    categories by companies by draws, without the product factor. Draws are shared, so the same
-    assumption moves every company together.
+    The sum over products does not depend on the company, so it is taken first. Draws are shared, so
+    the same assumption moves every company together. A constant weight stands only where no
+    assumption is named; a named one without draws stops the run.
     """
     fd = flows.select("product", F.concat(F.lit(FLOW_PREFIX), "product").alias("assumption_id")
-                      ).join(draws, "assumption_id").select(
-        "product", "draw", F.col("value").alias("_f"))
+                      ).join(blocks, "assumption_id").select(
+        "product", "block", F.col("values").alias("_f"))
     ad = matrix_a.select("product", "category", "tier", "assumption_id").join(
-        draws, "assumption_id").select("product", "category", "tier", "draw",
-                                       F.col("value").alias("_a"))
-    per_category = ad.join(fd, ["product", "draw"]).groupBy("category", "tier", "draw").agg(
-        F.sum(F.col("_a") * F.col("_f")).alias("_amount"))
-    b = matrix_b.select("category", "ticker", F.col("mid").alias("_fixed"), "assumption_id")
-    moving = draws.withColumnRenamed("value", "_moving")
-    rows = per_category.join(b, "category").join(moving, ["assumption_id", "draw"], "left")
-    # A constant stands only where no assumption is named; a named one without draws stops the run.
+        blocks, "assumption_id").select("product", "category", "tier", "block",
+                                        F.col("values").alias("_a"))
+    per_category = ad.join(fd, ["product", "block"]).groupBy("category", "tier", "block").agg(
+        _summed(F.zip_with("_a", "_f", lambda a, f: a * f)).alias("_amounts"))
+    fixed = per_category.join(
+        matrix_b.filter("assumption_id is null").select("category", "ticker", "mid"), "category"
+    ).select("category", "tier", "ticker", "block",
+             F.transform("_amounts", lambda x: x * F.col("mid")).alias("amounts"))
     undrawn = F.raise_error(F.concat(F.lit("no draws for assumption "), F.col("assumption_id")))
-    share = F.when(F.col("assumption_id").isNull(), F.col("_fixed")).otherwise(
-        F.coalesce(F.col("_moving"), undrawn.cast("double")))
-    return rows.select("category", "tier", "ticker", "draw",
-                       (F.col("_amount") * share).alias("amount"))
+    moving = matrix_b.filter("assumption_id is not null").select(
+        "category", "ticker", "assumption_id").join(blocks, "assumption_id", "left").select(
+        "category", "ticker", F.coalesce("block", undrawn.cast("int")).alias("block"), "values")
+    moved = per_category.join(moving, ["category", "block"]).select(
+        "category", "tier", "ticker", "block",
+        F.zip_with("_amounts", "values", lambda x, v: x * v).alias("amounts"))
+    return fixed.unionByName(moved)
 
 
 def company_ratios(
-    contrib: DataFrame, companies: DataFrame, draws: DataFrame, broad: Sequence[str] = ()
+    contrib: DataFrame, companies: DataFrame, blocks: DataFrame, broad: Sequence[str] = ()
 ) -> DataFrame:
-    """Numerator, broad-category numerator, denominator and percent per (ticker, draw)."""
-    num = contrib.groupBy("ticker", "draw").agg(
-        F.sum("amount").alias("numerator"),
-        F.sum(F.when(F.col("category").isin(list(broad)), F.col("amount")).otherwise(0.0))
-        .alias("broad_numerator"))
+    """Numerators, broad-category numerators, denominators and percents per (ticker, block)."""
+    num = contrib.groupBy("ticker", "block").agg(
+        _summed(F.col("amounts")).alias("numerator"),
+        _summed(_kept(F.col("category").isin(list(broad)), "amounts")).alias("broad_numerator"))
     den = companies.select("ticker", "revenue_millions",
                            F.col("share_assumption_id").alias("assumption_id")).join(
-        draws, "assumption_id").select(
-        "ticker", "draw", (F.col("revenue_millions") / 4 * F.col("value")).alias("denominator"))
-    rows = den.join(num, ["ticker", "draw"], "left").fillna(0.0, ["numerator", "broad_numerator"])
+        blocks, "assumption_id").select(
+        "ticker", "block", F.transform("values", lambda v: F.col("revenue_millions") / 4 * v)
+        .alias("denominator"))
+    rows = den.join(num, ["ticker", "block"], "left").withColumns({
+        c: F.coalesce(c, _zeros("denominator")) for c in ("numerator", "broad_numerator")})
     return rows.withColumns({
-        "ratio": F.col("numerator") / F.col("denominator") * 100,
-        "broad_ratio": F.col("broad_numerator") / F.col("denominator") * 100,
-    })
+        out: F.zip_with(c, "denominator", lambda n, d: n / d * 100)
+        for out, c in (("ratio", "numerator"), ("broad_ratio", "broad_numerator"))})
+
+
+def _all_draws(arrays: str) -> Column:
+    """A group's draws, sorted: as many numbers as the caller asked to draw."""
+    return F.sort_array(F.flatten(F.collect_list(arrays)))
+
+
+def _quantile(ordered: str, q: float) -> Column:
+    """Linear quantile of a sorted array."""
+    at = (F.size(ordered) - 1) * F.lit(q)
+    low, high = F.get(ordered, F.floor(at).cast("int")), F.get(ordered, F.ceil(at).cast("int"))
+    return low + (high - low) * (at - F.floor(at))
 
 
 def company_bands(ratios: DataFrame, q: Sequence[float] = QUANTILES) -> DataFrame:
     """Linear quantiles of the ratio per company, with the midpoints of both parts."""
-    p = F.percentile("ratio", F.array(*[F.lit(x) for x in q]))
-    return ratios.groupBy("ticker").agg(
-        p.alias("_p"), F.percentile("numerator", 0.5).alias("numerator_mid"),
-        F.percentile("denominator", 0.5).alias("denominator_mid"),
-    ).select("ticker", F.col("_p")[0].alias("low"), F.col("_p")[1].alias("mid"),
-             F.col("_p")[2].alias("high"), "numerator_mid", "denominator_mid")
+    parts = ("ratio", "numerator", "denominator")
+    rows = ratios.groupBy("ticker").agg(*[_all_draws(c).alias(c) for c in parts])
+    return rows.select(
+        "ticker", *[_quantile("ratio", x).alias(name) for x, name in
+                    zip(q, ("low", "mid", "high"), strict=True)],
+        *[_quantile(c, 0.5).alias(f"{c}_mid") for c in parts[1:]])
 
 
 def baseline_and_lift(
@@ -277,8 +326,9 @@ def baseline_and_lift(
 ) -> DataFrame:
     """Midpoint from broad categories alone, and how far the full one lies above it."""
     mids = ratios.groupBy("ticker").agg(
-        F.percentile("ratio", 0.5).alias("mid"),
-        F.percentile("broad_ratio", 0.5).alias("baseline_mid"))
+        *[_all_draws(c).alias(c) for c in ("ratio", "broad_ratio")]).select(
+        "ticker", _quantile("ratio", 0.5).alias("mid"),
+        _quantile("broad_ratio", 0.5).alias("baseline_mid"))
     specific = matrix_b.groupBy("ticker").agg(
         F.bool_or(~F.col("category").isin(list(broad))).alias("_specific"))
     return mids.join(specific, "ticker", "left").select(
@@ -292,13 +342,25 @@ def invalid_lift(lifts: DataFrame) -> DataFrame:
     return lifts.filter(F.col("lift").isNull() | F.isnan("lift") | (F.col("lift") < 1))
 
 
+def result_violations(ratios: DataFrame, bands: DataFrame, lifts: DataFrame) -> DataFrame:
+    """What no result may hold, as (rule, ticker): denominators that are not positive, quantiles out
+    of order or not finite, lifts below one or absent."""
+    bad_draw = F.exists("denominator", lambda d: ~F.coalesce((d > 0) & (d < float("inf")), F.lit(False)))
+    low, mid, high = F.col("low"), F.col("mid"), F.col("high")
+    finite = [~F.isnan(c) & (F.abs(c) < float("inf")) for c in (low, mid, high)]
+    ordered = (low <= mid) & (mid <= high) & finite[0] & finite[1] & finite[2]
+    return ratios.filter(bad_draw).select(F.lit("denominator").alias("rule"), "ticker").distinct() \
+        .unionByName(bands.filter(~F.coalesce(ordered, F.lit(False)))
+                     .select(F.lit("quantiles").alias("rule"), "ticker")) \
+        .unionByName(invalid_lift(lifts).select(F.lit("lift").alias("rule"), "ticker"))
+
+
 def tier_shares(contrib: DataFrame, entity: Sequence[str] = ("ticker",)) -> DataFrame:
     """Share of each tier's median contribution; a tier absent from a draw counts as zero there."""
-    per_draw = contrib.groupBy(*entity, "draw").agg(*[
-        F.sum(F.when(F.col("tier") == t, F.col("amount")).otherwise(0.0)).alias(f"_t{t}")
-        for t in TIERS])
-    mids = per_draw.groupBy(*entity).agg(*[
-        F.percentile(f"_t{t}", 0.5).alias(f"_m{t}") for t in TIERS])
+    per_draw = contrib.groupBy(*entity, "block").agg(*[
+        _summed(_kept(F.col("tier") == t, "amounts")).alias(f"_t{t}") for t in TIERS])
+    mids = per_draw.groupBy(*entity).agg(*[_all_draws(f"_t{t}").alias(f"_t{t}") for t in TIERS])
+    mids = mids.select(*entity, *[_quantile(f"_t{t}", 0.5).alias(f"_m{t}") for t in TIERS])
     total = F.col("_m1") + F.col("_m2") + F.col("_m3")
     s1, s2 = F.col("_m1") / total, F.col("_m2") / total
     return mids.select(*entity, s1.alias("tier1_share"), s2.alias("tier2_share"),
@@ -307,13 +369,13 @@ def tier_shares(contrib: DataFrame, entity: Sequence[str] = ("ticker",)) -> Data
 
 def aggregate_band(ratios: DataFrame, q: Sequence[float] = QUANTILES) -> DataFrame:
     """Band of the summed numerators over the summed denominators: revenue-weighted."""
-    per_draw = ratios.groupBy("draw").agg(
-        F.sum("numerator").alias("n"), F.sum("denominator").alias("d"))
-    p = F.percentile(F.col("n") / F.col("d") * 100, F.array(*[F.lit(x) for x in q]))
-    return per_draw.agg(p.alias("_p"), F.percentile("n", 0.5).alias("numerator_mid"),
-                        F.percentile("d", 0.5).alias("denominator_mid")).select(
-        F.col("_p")[0].alias("low"), F.col("_p")[1].alias("mid"), F.col("_p")[2].alias("high"),
-        "numerator_mid", "denominator_mid")
+    per_draw = ratios.groupBy("block").agg(
+        _summed(F.col("numerator")).alias("n"), _summed(F.col("denominator")).alias("d")).withColumn(
+        "r", F.zip_with("n", "d", lambda n, d: n / d * 100))
+    rows = per_draw.agg(*[_all_draws(c).alias(c) for c in ("r", "n", "d")])
+    return rows.select(
+        *[_quantile("r", x).alias(name) for x, name in zip(q, ("low", "mid", "high"), strict=True)],
+        _quantile("n", 0.5).alias("numerator_mid"), _quantile("d", 0.5).alias("denominator_mid"))
 
 
 def used_assumptions(
@@ -327,21 +389,41 @@ def used_assumptions(
     return via_a.unionByName(via_b).unionByName(share).distinct()
 
 
+def _moments(blocks: DataFrame, key: str, arrays: str, name: str) -> DataFrame:
+    """A block's draws as differences from their mean, with count, mean, squares and extremes."""
+    mean = F.aggregate(arrays, F.lit(0.0), lambda s, v: s + v) / F.size(arrays)
+    centred = blocks.select(key, "block", F.col(arrays).alias("_v"), mean.alias(f"_m{name}")).select(
+        key, "block", f"_m{name}", F.array_min("_v").alias(f"_lo{name}"),
+        F.array_max("_v").alias(f"_hi{name}"), F.size("_v").alias(f"_n{name}"),
+        F.transform("_v", lambda v: v - F.col(f"_m{name}")).alias(f"_d{name}"))
+    return centred.withColumn(
+        f"_q{name}", F.aggregate(f"_d{name}", F.lit(0.0), lambda s, v: s + v * v))
+
+
 def sensitivity_top_k(
-    ratios: DataFrame, draws: DataFrame, used: DataFrame, top: int = 5
+    ratios: DataFrame, blocks: DataFrame, used: DataFrame, top: int = 5
 ) -> DataFrame:
     """Each company's strongest correlations of draws with its ratio.
 
-    A constant on either side has no correlation and is left out.
+    A block of draws gives its co-moments about its own means; blocks merge by the spread of their
+    means. A constant on either side has no correlation and is left out.
     """
-    pairs = used.join(ratios.select("ticker", "draw", "ratio"), "ticker").join(
-        draws, ["assumption_id", "draw"])
-    spread = F.stddev_pop("value") * F.stddev_pop("ratio")
+    x, y = _moments(blocks, "assumption_id", "values", "x"), _moments(ratios, "ticker", "ratio", "y")
+    cross = F.aggregate(F.zip_with("_dx", "_dy", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    pairs = used.join(y, "ticker").join(x, ["assumption_id", "block"]).select(
+        "ticker", "assumption_id", "block", F.col("_nx").alias("_n"), "_mx", "_my", "_qx", "_qy",
+        cross.alias("_qxy"), "_lox", "_hix", "_loy", "_hiy")
+    n, mx, my = F.col("_n"), F.col("_mx"), F.col("_my")
+
+    def merged(inner: str, a: Column, b: Column) -> Column:
+        return F.sum(inner) + F.sum(n * a * b) - F.sum(n * a) * F.sum(n * b) / F.sum(n)
+
     scored = pairs.groupBy("ticker", "assumption_id").agg(
-        F.covar_pop("value", "ratio").alias("_cov"), spread.alias("_spread"),
-        F.min("value").alias("_lo"), F.max("value").alias("_hi"),
-    ).filter("_lo < _hi and _spread > 0").withColumn("_c", F.col("_cov") / F.col("_spread"))
-    scored = scored.filter(~F.isnan("_c"))
+        merged("_qxy", mx, my).alias("_xy"), merged("_qx", mx, mx).alias("_xx"),
+        merged("_qy", my, my).alias("_yy"), F.min("_lox").alias("_lox"), F.max("_hix").alias("_hix"),
+        F.min("_loy").alias("_loy"), F.max("_hiy").alias("_hiy"))
+    scored = scored.filter("_lox < _hix and _loy < _hiy and _xx > 0 and _yy > 0").withColumn(
+        "_c", F.col("_xy") / F.sqrt(F.col("_xx") * F.col("_yy"))).filter(~F.isnan("_c"))
     w = Window.partitionBy("ticker").orderBy(F.desc("absolute_correlation"), "assumption_id")
     return scored.select(
         "ticker", "assumption_id", F.abs("_c").alias("absolute_correlation"),

@@ -14,7 +14,7 @@ from vintagekit.plans.tables import cents
 from vintagekit.session import materialize
 
 BROAD = ["HOUSEHOLD", "MACHINERY"]
-DRAWS, SEED = 10_000, 7
+DRAWS, SEED = 20_000, 7
 BAND = ["low", "mid", "high"]
 
 
@@ -85,7 +85,7 @@ class Bundle:
     @cached_property
     def draw_table(self):
         priors = at.all_priors(self.assumptions, self.flows)
-        return materialize(at.triangular_draws(priors, DRAWS, SEED), "draws")
+        return materialize(at.draw_blocks(priors, DRAWS, SEED), "draws")
 
     def draws(self):
         return self.draw_table
@@ -288,7 +288,7 @@ FROM at_draws GROUP BY 1
 """, "at_draws")
 def _(t):
     v = F.col("value")
-    return Bundle(t).draws().groupBy("assumption_id").agg(
+    return at.long_draws(Bundle(t).draws()).groupBy("assumption_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.round(v * 1000000).cast("bigint")).alias("checksum"),
         F.round(F.min(v), 6).alias("least"), F.round(F.max(v), 6).alias("greatest"))
 
@@ -300,8 +300,9 @@ SELECT category, tier, ticker, count(*) AS draws, round(sum(amount) / count(*),
 def _(t):
     x = Bundle(t)
     out = x.contributions(x.draws()).groupBy("category", "tier", "ticker").agg(
-        F.count(F.lit(1)).alias("draws"), F.avg("amount").alias("mean_amount"),
-        F.max("amount").alias("greatest"))
+        F.sum(F.size("amounts")).alias("draws"),
+        (F.sum(F.aggregate("amounts", F.lit(0.0), lambda s, x: s + x)) / F.sum(F.size("amounts")))
+        .alias("mean_amount"), F.max(F.array_max("amounts")).alias("greatest"))
     return rounded(out, ["mean_amount", "greatest"])
 
 
@@ -315,6 +316,26 @@ def _(t):
     return rounded(at.company_bands(Bundle(t).ratios()), [*BAND, "numerator_mid", "denominator_mid"])
 
 
+@query("a05_result_violations", """
+SELECT 'denominator' AS rule, ticker FROM at_companies WHERE c_nationkey % 5 = 0 UNION ALL
+SELECT 'quantiles', ticker FROM at_companies WHERE c_nationkey % 5 = 1 UNION ALL
+SELECT 'lift', ticker FROM at_lift WHERE lift * (CASE WHEN CAST(substr(ticker, 2) AS INTEGER) % 5 = 2
+  THEN 0.001 ELSE 1 END) < 1
+""", "at_companies at_lift")
+def _(t):
+    # Results damaged on purpose: a draw of zero, a band upside down, a shrunken lift.
+    x = Bundle(t)
+    key = F.substring("ticker", 2, 2).cast("int") % 5
+    ratios = materialize(x.ratios(), "ratios")
+    bands = at.company_bands(ratios).withColumn("high", F.when(key == 1, -1.0).otherwise(F.col("high")))
+    lifts = at.baseline_and_lift(ratios, x.b, BROAD).withColumn(
+        "lift", F.col("lift") * F.when(key == 2, 0.001).otherwise(1.0))
+    spoilt = ratios.withColumn("denominator", F.when(
+        key == 0, F.transform("denominator", lambda d, i: F.when(i == 7, 0.0).otherwise(d))
+    ).otherwise(F.col("denominator")))
+    return at.result_violations(spoilt, bands, lifts)
+
+
 @query("a06_baseline_and_lift", """
 SELECT ticker, round(mid, 6) AS mid, round(baseline_mid, 6) AS baseline_mid, round(lift, 6) AS lift,
        'evidence-supported' AS lift_status FROM at_lift
