@@ -27,9 +27,9 @@ from pyspark.sql import types as T
 
 from vintagekit.session import materialize
 
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# Letters, digits and all beyond ASCII make terms; A-Z is lowered, all else parts them.
 LETTERS = bytes(b if b >= 0x80 else ord(chr(b).lower()) if chr(b).isalnum() else 0x20 for b in range(256))
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 12 << 20
 SHARD_ROWS = 1 << 15
 BLOCK = 128
 RANGE = 2048
@@ -43,12 +43,15 @@ def terms_of(text: str | None) -> list[bytes]:
 
 def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers as seven bits a byte, the last byte of each below 128; and each number's bytes."""
-    v = values.astype(np.uint64)
-    size = 1 + sum((v >= np.uint64(1 << 7 * k)).astype(np.int64) for k in range(1, 5))
-    shifts = (np.arange(5) * 7).astype(np.uint64)
-    digits = (v[:, None] >> shifts & np.uint64(127)).astype(np.uint8)
-    digits[np.arange(5) < size[:, None] - 1] |= 128
-    return digits[np.arange(5) < size[:, None]], size
+    size = np.ones(len(values), np.uint8)
+    for k in range(1, 5):
+        size += values >= 1 << 7 * k
+    first = np.cumsum(size, dtype=np.int64) - size
+    out = np.empty(int(size.sum(dtype=np.int64)), np.uint8)
+    for k in range(int(size.max(initial=0))):
+        here = np.flatnonzero(size > k)
+        out[first[here] + k] = (values[here] >> 7 * k & 127) | ((size[here] > k + 1) * np.uint8(128))
+    return out, size
 
 
 def numbers(raw: np.ndarray) -> np.ndarray:
@@ -81,7 +84,7 @@ class Shard:
         number = self.number
         words = terms_of(text)
         self.ids.append(doc_id)
-        self.rows.append(np.array([number.setdefault(w, len(number)) for w in words], np.int64))
+        self.rows.append(np.array([number.setdefault(w, len(number)) for w in words], np.int32))
         self.bytes += len(text or "")
 
     @property
@@ -100,7 +103,7 @@ class Shard:
         if not self.number:
             return
         doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        keys, tf = np.unique(np.concatenate(rows) << 16 | doc, return_counts=True)
+        keys, tf = np.unique(np.concatenate(rows).astype(np.int64) << 16 | doc, return_counts=True)
         term, doc = keys >> 16, keys & 0xFFFF
         firsts = np.flatnonzero(np.diff(term, prepend=-1))
         within = np.arange(len(term)) - np.repeat(firsts, np.diff(np.append(firsts, len(term))))
@@ -108,7 +111,7 @@ class Shard:
         gaps = np.diff(doc, prepend=0)
         gaps[starts] = doc[starts]
         payload, size = varints(np.stack([gaps, tf], axis=1).ravel())
-        at = np.concatenate(([0], np.cumsum(size.reshape(-1, 2).sum(axis=1))))
+        at = np.concatenate(([0], np.cumsum(size.reshape(-1, 2).sum(axis=1, dtype=np.int64))))
         best = np.maximum.reduceat(impacts(tf, m[doc]), starts)
         last = doc[np.append(starts[1:], len(doc)) - 1]
         block_of = np.searchsorted(starts, np.append(firsts, len(doc)))  # blocks before each term
@@ -157,9 +160,15 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     a null id is kept and ranks behind equal scores. Other columns are not read.
     """
     texts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    n = F.coalesce(F.regexp_count("_text", F.lit(TERM)), F.lit(0))
-    total = texts.select(n.alias("n")).agg(F.count_if(F.col("n") > 0), F.sum("n")).first()
-    docs, terms = total[0], total[1] or 0
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(terms_of(t)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"docs": [sum(map(bool, n))], "terms": [sum(n)]})
+
+    total = texts.select("_text").mapInArrow(count, "docs long, terms long").agg(
+        F.sum("docs"), F.sum("terms")).first()
+    docs, terms = total[0] or 0, total[1] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, shard = TaskContext.get().partitionId(), 0, Shard()
