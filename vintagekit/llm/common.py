@@ -42,10 +42,22 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def bounded_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
-    """At most `rows` rows (ties of the hash aside), the ones whose id hashes lowest.
+    """At most `rows` rows, the ones whose id hashes lowest; an id's rows are in or out together.
 
-    Only ids are ranked, so that texts stay where they are.
+    The cut is found from counts of rows by twelve bits of the hash, then by the next twelve within
+    the step at the cut, and so on, so that only counts reach the driver.
     """
     key = F.xxhash64(F.col(id_col).cast("string"))
-    edge = df.select(key.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    return df.where(key <= F.lit(edge)) if edge is not None else df.limit(0)
+    edge, within, taken = -(1 << 63), F.lit(True), 0
+    for shift in (52, 40, 28, 16, 4):
+        step = F.shiftright(key, shift)
+        counts = {r["s"]: r["count"] for r in df.where(within).groupBy(step.alias("s")).count().collect()}
+        for s in sorted(counts):
+            if taken + counts[s] > rows:
+                edge, within = s << shift, step == s
+                break
+            taken += counts[s]
+        else:
+            edge = (max(counts) + 1) << shift if counts else edge
+            break
+    return df.where(key < F.lit(edge)) if edge < 1 << 63 else df

@@ -34,9 +34,9 @@ HEAD = 100_000
 CLASSES, CLASS_SIZE = 40, 40
 DIM, HIDDEN = 12, 20
 WINDOW = 32
-STREAMS = 64
+STREAMS = 128
 ROUNDS = 2
-RATE = 0.15
+RATE = 0.25
 FAN_IN = 32
 FLUSH = 400_000
 SIDE_BY_SIDE = 2048
@@ -85,18 +85,44 @@ class Counts:
 
 
 def totals(counts: DataFrame, head: int = HEAD) -> Counts:
+    """Totals, and at most `head` of the most frequent words, with all ties or none at the cut.
+
+    The cut comes from a histogram of the counts by their logarithm, then of the counts within the
+    step at the cut, so that no more words reach the driver than are kept.
+    """
     n = counts.agg(F.sum("c"), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(head).collect()
-    return Counts(n[0] or 0, n[1], {bytes(r["word"]): r["c"] for r in top})
+    step = F.floor(F.log2("c") * 64)
+    cut = cut_of(counts.groupBy(step.cast("long").alias("s")).count().collect(), head)
+    above, level = counts.where(step > cut[0]), counts.where(step == cut[0])
+    room = head - cut[1]
+    # Within one step counts differ by a hundredth, so few values of them are there.
+    value = cut_of(level.groupBy(F.col("c").alias("s")).count().collect(), room)
+    top = above.union(level.where(F.col("c") > value[0])).collect()
+    ordered = sorted(((-r["c"], bytes(r["word"])) for r in top))
+    return Counts(n[0] or 0, n[1], {w: -c for c, w in ordered})
+
+
+def cut_of(steps: list, head: int) -> tuple[int, int]:
+    """The highest step that does not fit whole into `head` rows, and the rows above it."""
+    taken = 0
+    for r in sorted(steps, key=lambda r: -r["s"]):
+        if taken + r["count"] > head:
+            return r["s"], taken
+        taken += r["count"]
+    return -1, taken
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
+    return 1 / (1 + np.exp(np.minimum(-x, 80)))
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def errors(x: np.ndarray, at: np.ndarray, scale: np.floating) -> np.ndarray:
+    """Each row's softmax less one at its target, by `scale`; works in the given array."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x *= scale / x.sum(axis=1, keepdims=True)
+    x[np.arange(len(x)), at] -= scale
+    return x
 
 
 def log_chosen(x: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -166,53 +192,58 @@ class Network:
 
     def gradients(self, given: np.ndarray, targets: np.ndarray, real: np.ndarray,
                   h0: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """Back-propagation through one window (words x streams); the state after it."""
-        p, steps = self.p, len(given)
-        emb = p["e"][given]
-        x = emb @ p["wx"] + p["b"]
-        hs, kept = [h0], []
+        """Back-propagation through one window (words x streams); the state after it.
+
+        A stream that has ended stays so to the window's end: what follows has no target, so nothing
+        comes back from it, and its state is not carried on.
+        """
+        p, (steps, streams) = self.p, given.shape
+        x = (p["e"] @ p["wx"] + p["b"])[given]
+        hs = np.empty((steps + 1, streams, HIDDEN), x.dtype)
+        hs[0] = h0
+        z, r, n, part = np.empty((4, steps, streams, HIDDEN), x.dtype)
         for t in range(steps):
-            z, r, n, part, h = self.step(x[t], hs[-1])
-            h = np.where(real[t][:, None], h, hs[-1])
-            kept.append((z, r, n, part))
-            hs.append(h)
-        states = np.stack(hs[1:])
+            z[t], r[t], n[t], part[t], hs[t + 1] = self.step(x[t], hs[t])
+        states = hs[1:]
         at = np.nonzero(real)
-        flat, want = states[at], targets[at]
-        cls, word = want // CLASS_SIZE, want % CLASS_SIZE
-        scale = 1 / max(1, len(want))
-        dc = np.exp(log_softmax(flat @ p["wc"] + p["bc"]))
-        dc[np.arange(len(want)), cls] -= 1
-        dc *= scale
+        want = targets[at]
+        order = np.argsort(want // CLASS_SIZE, kind="stable")  # words of a class side by side
+        at, want = (at[0][order], at[1][order]), want[order]
+        flat, cls, word = states[at], want // CLASS_SIZE, want % CLASS_SIZE
+        scale = x.dtype.type(1 / max(1, len(want)))
+        dc = errors(flat @ p["wc"] + p["bc"], cls, scale)
         g = {k: np.zeros_like(v) for k, v in p.items()}
         g["wc"], g["bc"] = flat.T @ dc, dc.sum(axis=0)
         dflat = dc @ p["wc"].T
-        for c, rows in by_class(cls):
-            d = np.exp(log_softmax(flat[rows] @ p["wo"][c] + p["bo"][c]))
-            d[np.arange(len(rows)), word[rows]] -= 1
-            d *= scale
-            g["wo"][c], g["bo"][c] = flat[rows].T @ d, d.sum(axis=0)
-            dflat[rows] += d @ p["wo"][c].T
+        edge = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+        for c in range(CLASSES):
+            of = slice(edge[c], edge[c + 1])
+            if of.start < of.stop:
+                d = errors(flat[of] @ p["wo"][c] + p["bo"][c], word[of], scale)
+                g["wo"][c], g["bo"][c] = flat[of].T @ d, d.sum(axis=0)
+                dflat[of] += d @ p["wo"][c].T
         dh_out = np.zeros_like(states)
         dh_out[at] = dflat
-        dx = np.zeros_like(x)
-        dh = np.zeros_like(h0)
+        to_n, to_z, to_r = (1 - z) * (1 - n * n), (hs[:-1] - n) * z * (1 - z), part * r * (1 - r)
+        dx, dg = np.empty((2, steps, streams, 3 * HIDDEN), x.dtype)
+        dh, back = np.zeros_like(h0), np.ascontiguousarray(p["u"].T)
         for t in range(steps - 1, -1, -1):
-            z, r, n, part = kept[t]
-            dh = dh + dh_out[t]
-            live = real[t][:, None]
-            d = np.where(live, dh, 0)
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (hs[t] - n) * z * (1 - z)
-            dr = dn * part * r * (1 - r)
-            dx[t] = np.hstack((dz, dr, dn))
-            dg = np.hstack((dz, dr, dn * r))
-            g["u"] += hs[t].T @ dg
-            dh = np.where(live, d * z + dg @ p["u"].T, dh)
-        flat_dx = dx.reshape(-1, 3 * HIDDEN)
-        g["b"] = flat_dx.sum(axis=0)
-        g["wx"] = emb.reshape(-1, DIM).T @ flat_dx
-        np.add.at(g["e"], given.ravel(), flat_dx @ p["wx"].T)
+            d = dh + dh_out[t]
+            dn = d * to_n[t]
+            dx[t, :, :HIDDEN] = d * to_z[t]
+            dx[t, :, HIDDEN:2 * HIDDEN] = dn * to_r[t]
+            dx[t, :, 2 * HIDDEN:] = dn
+            dg[t] = dx[t]
+            dg[t, :, 2 * HIDDEN:] *= r[t]
+            dh = d * z[t] + dg[t] @ back
+        g["u"] = hs[:-1].reshape(-1, HIDDEN).T @ dg.reshape(-1, 3 * HIDDEN)
+        # Gradients of the table of inputs by word, then of its two factors.
+        order = np.argsort(given, axis=None, kind="stable")
+        words, first = np.unique(given.ravel()[order], return_index=True)
+        by_word = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+        g["b"] = by_word.sum(axis=0)
+        g["wx"] = p["e"][words].T @ by_word
+        g["e"][words] = by_word @ p["wx"].T
         return g, hs[-1]
 
     def fit(self, texts: Iterator[np.ndarray], seen: dict[str, np.ndarray]) -> tuple[int, int]:
