@@ -139,6 +139,26 @@ def test_fallback_needs_another_group_and_widens(spark):
     assert (got["x"].active_source_id, got["x"].source_status) == ("far", "FALLBACK")
     assert got["x"].low == pytest.approx(0.1) and got["x"].high == 1.0
     assert got["y"].source_status == "BLOCKED" and got["z"].source_status == "PRIMARY"
+    flows = bundle(spark)[1]
+    resolved = at.resolve_sources(reg, src, ["p"])
+    with pytest.raises(Exception, match="BLOCKED: no source left for y"):
+        at.draw_blocks(at.all_priors(resolved, flows), 10_000, 1).collect()
+    at.draw_blocks(at.all_priors(resolved.filter("assumption_id <> 'y'"), flows), 10_000, 1).collect()
+
+
+def test_unregistered_and_repeated_sources_are_violations(spark):
+    reg = spark.createDataFrame(
+        [("x", 0.2, 0.3, 0.9, "p", ["far", "far"], 2.0), ("y", 0.2, 0.3, 0.4, "none", ["far"], 2.0),
+         ("z", 0.2, 0.3, 0.4, "p", ["gone"], 2.0)],
+        "assumption_id string, low double, mid double, high double, primary_source_id string, "
+        "fallback_source_ids array<string>, band_multiplier double")
+    src = spark.createDataFrame(
+        [("p", "g", "PERMITTED", True), ("p", "g", "PERMITTED", True), ("far", "h", "REVIEW", True)],
+        "source_id string, independent_group string, terms_status string, available boolean")
+    rows = at.source_violations(reg, src, at.resolve_sources(reg, src.distinct()))
+    assert sorted(map(tuple, rows.collect())) == [
+        ("BLOCKED", "y"), ("available without permission", "far"), ("fallback named twice", "x"),
+        ("fallback not registered", "z"), ("primary not registered", "y"), ("source listed twice", "p")]
 
 
 def test_ttm_from_a_filing_pair(spark):

@@ -2,6 +2,7 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vintagekit.functions import keys as k
 from vintagekit.operators import contracts as c
@@ -175,3 +176,57 @@ def test_late_earlier_release_wins_in_a_stream(spark, folder):
         assert name
     assert [r.v for r in inc.first_prints(spark, folder, schema, keys, order).collect()] == [1]
     assert tb.read_table(spark, folder, "first_prints", schema).count() == 2
+
+
+LISTS = "name string, tags array<string>, ingested_at timestamp"
+
+
+def listed(spark, *rows):
+    return spark.createDataFrame([(n, tags, None) for n, tags in rows], LISTS)
+
+
+def test_rows_that_differ_in_a_list_are_both_kept(spark, folder):
+    rows = listed(spark, ("x", ["a"]), ("x", ["b"]), ("x", ["b"]), ("x", None), ("x", []))
+    receipt = lake.append_new(rows, folder, "tagged", ["name"], rows.schema)
+    assert receipt.row_count == 4
+    stored = tb.read_table(spark, folder, "tagged", rows.schema).collect()
+    assert sorted(str(r.tags) for r in stored) == ["None", "['a']", "['b']", "[]"]
+    assert lake.append_new(rows, folder, "tagged", ["name"], rows.schema) is None
+    with pytest.raises(c.ContractError):
+        lake.append_new(listed(spark, ("x", ["c"])), folder, "tagged", ["name"], rows.schema)
+
+
+def test_null_identity_is_one_identity(spark, folder):
+    rows = listed(spark, (None, ["a"]), ("y", ["b"]))
+    assert lake.append_new(rows, folder, "tagged", ["name"], rows.schema).row_count == 2
+    assert lake.append_new(rows, folder, "tagged", ["name"], rows.schema) is None
+
+
+def test_index_is_read_by_pieces_and_can_be_compacted(spark, folder):
+    for i in range(4):
+        rows = listed(spark, *[(f"k{i}-{j}", ["a"]) for j in range(5)])
+        assert lake.append_new(rows, folder, "tagged", ["name"], rows.schema).row_count == 5
+    ids = spark.read.parquet(f"{folder}/tagged_index").select(
+        "name", "content_hash", F.col("piece").cast("bigint").alias("piece")).schema
+    before = {r.name for r in spark.read.parquet(f"{folder}/tagged_index").collect()}
+    lake.compact_index(spark, folder, "tagged", ids)
+    after = spark.read.parquet(f"{folder}/tagged_index")
+    assert {r.name for r in after.collect()} == before and len(before) == 20
+    assert after.select("batch_id").distinct().count() == 1
+    assert lake.append_new(rows, folder, "tagged", ["name"], rows.schema) is None
+
+
+def test_null_in_a_required_column_leaves_nothing(spark, folder):
+    schema = T.StructType([T.StructField("a", T.StringType(), False)])
+    loose = spark.createDataFrame([(None,)], "a string")
+    with pytest.raises(Exception, match="null|contract"):
+        lake.append_batch(loose, folder, "strict", schema)
+    assert tb.read_table(spark, folder, "strict", schema).count() == 0
+
+
+def test_replayed_publication_leaves_the_published_files(spark, folder, tmp_path):
+    lake.publish_atomically(spark.range(3), folder, "v1")
+    files = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("data/**/*.parquet")}
+    lake.publish_atomically(spark.range(3), folder, "v1")
+    assert files and all(p.stat().st_mtime_ns == at for p, at in files.items())
+    assert lake.read_published(spark, folder, spark.range(1).schema).count() == 3

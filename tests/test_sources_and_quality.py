@@ -163,3 +163,14 @@ def test_path_rules_name_lines_not_text(spark):
     got = {(r.line, r.rule) for r in qa.scan_text(df, "d", "t").collect()}
     assert got == {(2, "windows-user-profile"), (2, "unix-user-profile"), (3, "workstation-name")}
     assert qa.scan_text(df, "d", "t").columns == ["d", "line", "rule"]
+
+
+def test_repeated_audit_key_stops_the_audit(spark):
+    row = ("g", "s", "a", dt.date(2024, 1, 31), "u", "https://x", "c", 1.0)
+    cols = [*qa.AUDIT_KEYS, "value"]
+    one = spark.createDataFrame([row], cols)
+    two = spark.createDataFrame([row, (*row[:-1], 2.0)], cols)
+    assert [r.status for r in qa.spot_audit(one, one, "seed", 5).collect()] == ["PASS"]
+    for stored, live in ((two, one), (one, two)):
+        with pytest.raises(Exception, match="audit key is repeated"):
+            qa.spot_audit(stored, live, "seed", 5).collect()

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -186,11 +187,55 @@ def resolve_sources(
     )
 
 
+def source_violations(
+    assumptions: DataFrame, sources: DataFrame, resolved: DataFrame,
+    fallbacks: DataFrame | None = None,
+) -> DataFrame:
+    """Everything that forbids a run on these sources, as (rule, key).
+
+    A source listed twice, one that is available without permission, a primary or fallback that is not
+    registered, a fallback named twice, and assumptions that are left without a source. Takes the
+    inputs and the output of `resolve_sources`.
+    """
+    if fallbacks is None:
+        fallbacks = assumptions.select(
+            "assumption_id", F.posexplode("fallback_source_ids").alias("position", "source_id"))
+    known = sources.select("source_id").distinct()
+
+    def found(df: DataFrame, rule: str, key: str) -> DataFrame:
+        return df.select(F.lit(rule).alias("rule"), F.col(key).cast("string").alias("key"))
+
+    def repeated(df: DataFrame, *by: str) -> DataFrame:
+        return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+    primary = assumptions.select("assumption_id", F.col("primary_source_id").alias("source_id"))
+    banned = sources.filter(F.col("available") & ~F.coalesce(
+        F.col("terms_status") == "PERMITTED", F.lit(False)))
+    parts = [
+        found(repeated(sources, "source_id"), "source listed twice", "source_id"),
+        found(banned, "available without permission", "source_id"),
+        found(primary.join(known, "source_id", "left_anti"), "primary not registered", "assumption_id"),
+        found(fallbacks.join(known, "source_id", "left_anti"), "fallback not registered",
+              "assumption_id").distinct(),
+        found(repeated(fallbacks, "assumption_id", "source_id"), "fallback named twice",
+              "assumption_id").distinct(),
+        found(resolved.filter("source_status = 'BLOCKED'"), "BLOCKED", "assumption_id"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # ---- draws and bands ------------------------------------------------------------------------
 
 def all_priors(assumptions: DataFrame, flows: DataFrame) -> DataFrame:
-    """Assumption and flow priors in one frame, flows under their own ids."""
-    a = assumptions.select("assumption_id", "low", "mid", "high")
+    """Assumption and flow priors in one frame, flows under their own ids.
+
+    Resolved assumptions carry a source status; one that is BLOCKED stops the run.
+    """
+    low = F.col("low")
+    if "source_status" in assumptions.columns:
+        stop = F.raise_error(F.concat(F.lit("BLOCKED: no source left for "), "assumption_id"))
+        low = F.when(F.col("source_status") == "BLOCKED", stop.cast("double")).otherwise(low)
+    a = assumptions.select("assumption_id", low.alias("low"), "mid", "high")
     f = flows.select(F.concat(F.lit(FLOW_PREFIX), "product").alias("assumption_id"), "low", "mid",
                      "high")
     return a.unionByName(f)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,10 +149,23 @@ def overall_status(sources: DataFrame) -> DataFrame:
                        F.count(F.lit(1)).alias("source_count"))
 
 
-def _audit_pairs(stored: DataFrame, live: DataFrame, value: str) -> DataFrame:
+def _one_each(df: DataFrame, value: str, name: str) -> DataFrame:
+    """One row per audit key; a repeated key stops the run, as a pair would not be one pair."""
     keys = list(AUDIT_KEYS)
-    return stored.select(*keys, F.col(value).alias("stored_value")).join(
-        live.select(*keys, F.col(value).alias("live_value")), keys)
+    rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.any_value(value).alias(name))
+    stop = F.raise_error(F.concat(F.lit("audit key is repeated: "), F.concat_ws("/", *keys)))
+    checked = F.when(F.col("_n") > 1, stop.cast("double")).otherwise(F.col(name))
+    return rows.select(*keys, checked.alias(name))
+
+
+def repeated_audit_keys(df: DataFrame) -> DataFrame:
+    """Audit keys with more than one row, which `spot_audit` refuses."""
+    return df.groupBy(*AUDIT_KEYS).agg(F.count(F.lit(1)).alias("row_count")).filter("row_count > 1")
+
+
+def _audit_pairs(stored: DataFrame, live: DataFrame, value: str) -> DataFrame:
+    return _one_each(stored, value, "stored_value").join(
+        _one_each(live, value, "live_value"), list(AUDIT_KEYS))
 
 
 def spot_audit(
@@ -245,6 +259,38 @@ def reconcile_multiset(
         F.abs("_net").alias("row_count"))
 
 
+def membership_violations(
+    current: DataFrame, lagged: DataFrame, events: DataFrame, aliases: DataFrame,
+    t: date | str, name: str = "name",
+) -> DataFrame:
+    """What makes a reconciliation void, as (rule, key).
+
+    A due removal must be in the lagged list exactly once, and its name not be current any more; a due
+    addition must be current. An alias is given once, is used by the lagged list and leads to a
+    current name.
+    """
+    due = events.filter(F.col("effective") <= F.lit(t).cast("date"))
+    held = lagged.groupBy(F.col(name).alias("key")).agg(F.count(F.lit(1)).alias("_n"))
+    now = current.select(F.col(name).alias("key")).distinct()
+    removed = due.filter("removed is not null").groupBy(F.col("removed").alias("key")).agg(
+        F.count(F.lit(1)).alias("_times"))
+    # A name that is removed twice would have to be there once for each removal.
+    wrong = removed.join(held, "key", "left").filter("coalesce(_n, 0) <> 1 or _times <> 1")
+    added = due.filter("added is not null").select(F.col("added").alias("key")).distinct()
+    by_alias = aliases.groupBy(F.col("alias").alias("key")).agg(F.count(F.lit(1)).alias("_n"))
+    target = aliases.select(F.col("name").alias("key")).distinct()
+    parts = {
+        "removal absent or ambiguous": wrong,
+        "removal still current": removed.join(now, "key", "left_semi"),
+        "addition not current": added.join(now, "key", "left_anti"),
+        "alias repeated": by_alias.filter("_n > 1"),
+        "alias not used": by_alias.join(held, "key", "left_anti"),
+        "alias target not current": target.join(now, "key", "left_anti"),
+    }
+    rows = [df.select(F.lit(rule).alias("rule"), "key") for rule, df in parts.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 # Fixed value: how long before a release a run still counts for it.
 BEFORE_WINDOW_SECONDS = 4 * 86_400
 

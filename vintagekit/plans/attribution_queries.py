@@ -281,6 +281,41 @@ def _(t):
         "assumption_id", "active_source_id", "source_status", "low", "high")
 
 
+@query("a02_source_violations", """
+WITH l AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem),
+pr AS (SELECT p, min(s) AS s0 FROM l GROUP BY 1),
+src AS (SELECT s_suppkey AS s, s_nationkey AS g, s_acctbal > 1000 AS av, s_acctbal < 9000 AS pm FROM supplier
+        WHERE s_nationkey <> 24),
+fb AS (SELECT p, s FROM l UNION ALL SELECT p, s FROM l WHERE p % 7 = 0),
+ok AS (SELECT DISTINCT pr.p FROM pr JOIN fb ON fb.p = pr.p JOIN src a ON a.s = pr.s0
+       JOIN src b ON b.s = fb.s WHERE b.av AND b.pm AND a.g <> b.g)
+SELECT 'source listed twice' AS rule, CAST(s AS VARCHAR) AS key FROM src WHERE g = 3 UNION ALL
+SELECT 'available without permission', CAST(s AS VARCHAR) FROM src WHERE av AND NOT pm UNION ALL
+SELECT 'available without permission', CAST(s AS VARCHAR) FROM src WHERE av AND NOT pm AND g = 3 UNION ALL
+SELECT 'primary not registered', CAST(p AS VARCHAR) FROM pr WHERE s0 NOT IN (SELECT s FROM src) UNION ALL
+SELECT DISTINCT 'fallback not registered', CAST(p AS VARCHAR) FROM l WHERE s NOT IN (SELECT s FROM src) UNION ALL
+SELECT DISTINCT 'fallback named twice', CAST(p AS VARCHAR) FROM l WHERE p % 7 = 0 UNION ALL
+SELECT 'BLOCKED', CAST(pr.p AS VARCHAR) FROM pr LEFT JOIN src a ON a.s = pr.s0
+WHERE NOT coalesce(a.av AND a.pm, false) AND pr.p NOT IN (SELECT p FROM ok)
+""")
+def _(t):
+    # Faults on purpose: one nation's sources unregistered, another's listed twice, lists repeated.
+    pairs = t.lineitem.select(F.col("l_partkey").alias("assumption_id"),
+                              F.col("l_suppkey").alias("source_id")).distinct()
+    pairs = t.once("pairs", lambda: pairs).withColumn("position", F.col("source_id"))
+    reg = pairs.groupBy("assumption_id").agg(F.min("source_id").alias("primary_source_id")).select(
+        "*", F.lit(1.5).alias("band_multiplier"), F.lit(0.4).alias("low"), F.lit(0.5).alias("mid"),
+        F.lit(0.6).alias("high"))
+    once = t.supplier.filter("s_nationkey <> 24").select(
+        F.col("s_suppkey").alias("source_id"), F.col("s_nationkey").alias("independent_group"),
+        F.when(F.col("s_acctbal") < 9000, "PERMITTED").otherwise("REVIEW").alias("terms_status"),
+        (F.col("s_acctbal") > 1000).alias("available"))
+    fallbacks = pairs.unionByName(pairs.filter("assumption_id % 7 = 0"))
+    resolved = at.resolve_sources(reg, once, fallbacks=fallbacks)
+    twice = once.unionByName(once.filter("independent_group = 3"))
+    return at.source_violations(reg, twice, resolved, fallbacks)
+
+
 @query("a03_triangular_draws", """
 SELECT assumption_id, count(*) AS n, CAST(sum(CAST(round(value * 1000000) AS BIGINT)) AS BIGINT)
          AS checksum, round(min(value), 6) AS least, round(max(value), 6) AS greatest

@@ -339,13 +339,15 @@ SELECT s.series_id, count(prediction_id) AS graded_count,
        round(avg(CASE WHEN inside95 THEN 1.0 WHEN NOT inside95 THEN 0 END), 6) AS coverage95,
        round(avg(abs_error), 5) AS mae, round(avg(naive_abs_error), 5) AS naive_mae,
        round(avg(abs_error) - avg(naive_abs_error), 5) AS mae_difference
-FROM (SELECT DISTINCT series_id FROM flows) s
-LEFT JOIN (SELECT * FROM calibrated WHERE series_id <> '5-LOW') c ON c.series_id = s.series_id
+FROM (SELECT DISTINCT series_id FROM flows UNION ALL SELECT '6-NONE') s
+LEFT JOIN calibrated c ON c.series_id = s.series_id
 GROUP BY 1
 """, "calibrated flows")
 def _(t):
-    rows = calibrated(t).filter("series_id <> '5-LOW'")
-    out = ev.calibration_by_series(rows, flows(t))
+    # A series without any grade is added, as every given one has some.
+    series = flows(t).select("series_id")
+    out = ev.calibration_by_series(calibrated(t), series.unionByName(series.filter(
+        "series_id = '5-LOW'").select(F.lit("6-NONE").alias("series_id"))))
     out = rounded(out, ["coverage80", "coverage95"], 6)
     return rounded(out, ["mae", "naive_mae", "mae_difference"], 5)
 

@@ -184,6 +184,16 @@ def _(t):
     return audit(t)[2]
 
 
+@query("q05_repeated_audit_keys", """
+SELECT source_group, source, series_id, obs_period, unit, source_url, checksum, 2::BIGINT AS row_count
+FROM audit_rows WHERE month(obs_period) = 12
+""", "audit_rows")
+def _(t):
+    stored = audit_rows(t)
+    return qa.repeated_audit_keys(stored.unionByName(
+        stored.filter("month(obs_period) = 12").withColumn("value", F.col("value") + 1)))
+
+
 @query("q05_audit_receipt", f"""
 SELECT count(*) AS audited_rows, count(*) FILTER (status = 'FAIL') AS failed_rows,
        2::BIGINT AS blocked_groups, 'BLOCKED' AS status FROM ({AUDIT})
@@ -213,8 +223,10 @@ def _(t):
 
 
 @query("q06_scan_paths", """
-WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\r\\n|[\\n\\r]')) AS s,
-  generate_subscripts(regexp_split_to_array(text, '\\r\\n|[\\n\\r]'), 1) AS line FROM documents)
+WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(x, '\\r\\n|[\\n\\r]')) AS s,
+  generate_subscripts(regexp_split_to_array(x, '\\r\\n|[\\n\\r]'), 1) AS line FROM (
+  SELECT doc_id, text || CASE doc_id % 9 WHEN 0 THEN chr(10) || 'see C:\\Users\\ann\\notes' WHEN 1 THEN chr(10) || '/home/ann/x'
+    WHEN 2 THEN chr(10) || '/mnt/c/Users/ann/x' WHEN 3 THEN ' on DESKTOP-AB12' ELSE '' END AS x FROM documents))
 SELECT doc_id, CAST(line AS INTEGER) AS line, 'windows-user-profile' AS rule FROM l
 WHERE regexp_matches(s, '(?i)(^|[^A-Za-z0-9_])[A-Z]:[\\\\/](Users|Documents and Settings)[\\\\/][^\\\\/\\s:]+')
 UNION ALL SELECT doc_id, CAST(line AS INTEGER), 'unix-user-profile' FROM l
@@ -225,39 +237,74 @@ UNION ALL SELECT doc_id, CAST(line AS INTEGER), 'workstation-name' FROM l
 WHERE regexp_matches(s, '(?i)\\b(DESKTOP-[A-Z0-9-]+|[A-Z0-9]+-PC)\\b')
 """)
 def _(t):
-    return qa.scan_text(t.documents, "doc_id", "text")
+    # Details of workstations put into texts, as the given ones hold none.
+    kind = F.col("doc_id") % 9
+    added = F.when(kind == 0, "\nsee C:\\Users\\ann\\notes").when(kind == 1, "\n/home/ann/x").when(
+        kind == 2, "\n/mnt/c/Users/ann/x").when(kind == 3, " on DESKTOP-AB12").otherwise("")
+    docs = t.documents.select("doc_id", F.concat("text", added).alias("text"))
+    return qa.scan_text(docs, "doc_id", "text")
 
 
 @query("q07_credential_urls", """
-SELECT page_id, url || '&key=abc' AS url FROM pages WHERE page_id % 2 = 0 AND url LIKE '%?%'
+SELECT page_id, url || CASE WHEN url LIKE '%?%' THEN '&' ELSE '?' END || 'key=abc' AS url FROM pages
+WHERE page_id % 2 = 0
 """)
 def _(t):
+    mark = F.when(F.col("url").contains("?"), "&key=abc").otherwise("?key=abc")
     made = t.pages.select("page_id", F.when(
-        F.col("page_id") % 2 == 0, F.concat("url", F.lit("&key=abc"))).otherwise(F.col("url"))
-        .alias("url")).filter("url like '%?%'")
+        F.col("page_id") % 2 == 0, F.concat("url", mark)).otherwise(F.col("url")).alias("url"))
     return qa.credential_urls(made, "url")
 
 
-@query("q08_reconcile_multiset", """
-WITH lag AS (SELECT regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS n FROM part WHERE p_size <= 40),
-cur AS (SELECT regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS n FROM part WHERE p_size <= 30),
-ev AS (SELECT regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS n FROM part WHERE p_size BETWEEN 36 AND 40),
-net AS (SELECT n, sum(w) AS w FROM (SELECT n, 1 AS w FROM lag UNION ALL SELECT n, -1 FROM cur
-        UNION ALL SELECT n, -1 FROM ev UNION ALL SELECT 'newname', 1 FROM ev) GROUP BY 1)
-SELECT CASE WHEN n = 'newname' THEN 'renamed' ELSE n END AS name,
-       CASE WHEN w > 0 THEN 'extra' ELSE 'missing' END AS problem, CAST(abs(w) AS BIGINT) AS row_count
-FROM net WHERE w <> 0
-""")
-def _(t):
-    name = F.col("p_name").alias("name")
-    moves = t.part.filter("p_size between 36 and 45").select(
-        F.date_add(F.lit("2020-01-01").cast("date"), F.col("p_size")).alias("effective"),
+def membership(t):
+    """Today's names, those of an older filing, dated moves and aliases, over all parts.
+
+    Parts of size 36 to 45 were renamed since, the larger of them only after the day asked for; of size
+    48 and more, the filing writes a name that no list has.
+    """
+    size = F.col("p_size")
+    moved = size.between(36, 45)
+    current = t.part.select(F.when(size.between(36, 40), "The Renamed Group").otherwise(
+        F.col("p_name")).alias("name"))
+    lagged = t.part.select(F.when(size >= 48, F.concat("p_name", F.lit(" Stray"))).otherwise(
+        F.col("p_name")).alias("name"))
+    moves = t.part.filter(moved).select(
+        F.date_add(F.lit("2020-01-01").cast("date"), size).alias("effective"),
         F.col("p_name").alias("removed"), F.lit("New Name Inc").alias("added"))
     alias = moves.select(F.lit("New Name Inc").alias("alias"),
                          F.lit("The Renamed Group").alias("name")).distinct()
-    return qa.reconcile_multiset(t.part.filter("p_size <= 30").select(name),
-                                 t.part.filter("p_size <= 40").select(name), moves, alias,
-                                 "2020-02-10")
+    return current, lagged, moves, alias
+
+
+@query("q08_reconcile_multiset", """
+WITH p AS (SELECT regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS n, p_size AS z FROM part),
+net AS (SELECT n, sum(w) AS w FROM (
+  SELECT CASE WHEN z >= 48 THEN n || 'stray' ELSE n END AS n, 1 AS w FROM p UNION ALL
+  SELECT CASE WHEN z BETWEEN 36 AND 40 THEN 'renamed' ELSE n END, -1 FROM p UNION ALL
+  SELECT n, -1 FROM p WHERE z BETWEEN 36 AND 40 UNION ALL
+  SELECT 'renamed', 1 FROM p WHERE z BETWEEN 36 AND 40) GROUP BY 1)
+SELECT n AS name, CASE WHEN w > 0 THEN 'extra' ELSE 'missing' END AS problem,
+       CAST(abs(w) AS BIGINT) AS row_count FROM net WHERE w <> 0
+""")
+def _(t):
+    current, lagged, moves, alias = membership(t)
+    return qa.reconcile_multiset(current, lagged, moves, alias, "2020-02-10")
+
+
+@query("q08_membership_violations", """
+WITH due AS (SELECT p_name AS n, count(*) AS times FROM part WHERE p_size BETWEEN 36 AND 40 GROUP BY 1),
+held AS (SELECT CASE WHEN p_size >= 48 THEN p_name || ' Stray' ELSE p_name END AS n, count(*) AS c
+         FROM part GROUP BY 1),
+cur AS (SELECT DISTINCT CASE WHEN p_size BETWEEN 36 AND 40 THEN 'The Renamed Group' ELSE p_name END AS n FROM part)
+SELECT 'removal absent or ambiguous' AS rule, due.n AS key FROM due LEFT JOIN held USING (n)
+WHERE coalesce(c, 0) <> 1 OR times <> 1 UNION ALL
+SELECT 'removal still current', n FROM due WHERE n IN (SELECT n FROM cur) UNION ALL
+SELECT 'addition not current', 'New Name Inc' UNION ALL
+SELECT 'alias not used', 'New Name Inc'
+""")
+def _(t):
+    current, lagged, moves, alias = membership(t)
+    return qa.membership_violations(current, lagged, moves, alias, "2020-02-10")
 
 
 @query("q09_normalize_issuer", """
@@ -278,8 +325,11 @@ def job_frames(t):
         F.when(F.col("source") == "click", "before").when(
             F.col("source") == "signup", "after").otherwise("none").alias("release_mode"),
         F.lit(14400).alias("release_sla_seconds"))
-    receipts = t.seen.filter("user_id % 50 = 7").select(
-        F.col("source").alias("job_id"), F.col("ingested_at").alias("succeeded_at"))
+    # Two jobs ran ten and five days before their data came, so that runs and releases are missed.
+    late = F.when(F.col("source") == "error", 240).when(F.col("source") == "signup", 120).otherwise(0)
+    receipts = t.seen.select(
+        F.col("source").alias("job_id"),
+        (F.col("ingested_at") - F.make_dt_interval(hours=late)).alias("succeeded_at"))
     releases = t.seen.select(F.col("source").alias("job_id"), (
         F.col("obs_date").cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(14)))
         .alias("release_at")).distinct()
@@ -287,8 +337,9 @@ def job_frames(t):
 
 
 @query("q10_job_status", """
-WITH r AS (SELECT source AS job_id, ingested_at AS evt FROM seen WHERE user_id % 50 = 7
-           AND ingested_at <= TIMESTAMP '2024-01-20'),
+WITH r AS (SELECT * FROM (SELECT source AS job_id, ingested_at - CASE source WHEN 'error'
+  THEN INTERVAL 240 HOUR WHEN 'signup' THEN INTERVAL 120 HOUR ELSE INTERVAL 0 HOUR END AS evt FROM seen)
+  WHERE evt <= TIMESTAMP '2024-01-20'),
 j AS (SELECT DISTINCT source AS job_id FROM seen),
 d AS (SELECT job_id, (SELECT max(evt) FROM r WHERE r.job_id = j.job_id) AS last_success,
   CASE job_id WHEN 'view' THEN TIMESTAMP '2024-01-19 23:17:00' WHEN 'error'

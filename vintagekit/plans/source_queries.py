@@ -158,6 +158,28 @@ def _(t):
                             if f.dataType.typeName() == "decimal"})
 
 
+@query("r07_bad_tape_values", """
+SELECT field, row_count FROM (
+  SELECT 'period_end' AS field, count(*) FILTER (l_linenumber = 2) AS row_count FROM lineitem UNION ALL
+  SELECT 'remaining_term', count(*) FILTER (l_linenumber = 3) FROM lineitem UNION ALL
+  SELECT 'recovered', count(*) FILTER (l_linenumber = 4) FROM lineitem UNION ALL
+  SELECT 'added', count(*) FILTER (l_linenumber = 5) FROM lineitem) WHERE row_count > 0
+""")
+def _(t):
+    # A tape of all lines; each line number from two to five has one field of the wrong kind.
+    no, q = F.col("l_linenumber"), F.col("l_quantity").cast("int").cast("string")
+    rows = t.lineitem.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("assetNumber"),
+        F.when(no == 2, "soon").otherwise(F.date_format(F.to_date("l_shipdate"), "MM-dd-yyyy"))
+        .alias("reportingPeriodEndingDate"),
+        F.when(no == 3, F.concat(q, F.lit(".5"))).otherwise(q).alias("remainingTermToMaturityNumber"),
+        F.when(no == 4, F.lit("-1")).otherwise(q).alias("recoveredAmount"),
+        F.when(no == 5, "maybe").otherwise("true").alias("assetAddedIndicator"))
+    path = scratch_path(t.spark, "bad_tape")
+    rows.write.format("xml").option("rowTag", "assets").option("rootTag", "assetData").save(path)
+    return xs.bad_tape_values(t.spark, path)
+
+
 @query("r08_read_fund_holdings", """
 SELECT p_name AS name, lpad(CAST(p_size AS VARCHAR), 9, '0') AS cusip, count(*) AS row_count
 FROM part GROUP BY ALL HAVING count(*) > 1
@@ -296,6 +318,26 @@ def _(t):
 SELECT series_id, obs_period, value_cents AS amount, 1::BIGINT AS match_count FROM monthly
 """, "monthly")
 def _(t):
+    return sh.select_current_month_row(statements(t), keys=["series_id"]).select(
+        "series_id", "obs_period", "amount", "match_count")
+
+
+@query("r13_statement_violations", """
+SELECT series_id, obs_period, CASE WHEN month(obs_period) = 3 THEN 2 ELSE 0 END::BIGINT AS match_count
+FROM monthly WHERE month(obs_period) IN (3, 5)
+""", "monthly")
+def _(t):
+    # March rows stand twice, May rows are of another kind.
+    rows = statements(t)
+    month = F.month("obs_period")
+    rows = rows.withColumn("data_type_cd", F.when(month == 5, "X").otherwise(F.col("data_type_cd")))
+    rows = rows.unionByName(rows.filter((month == 3) & (F.col("classification_id") == "11")))
+    chosen = sh.select_current_month_row(rows, keys=["series_id"])
+    return sh.statement_violations(rows, chosen, keys=["series_id"])
+
+
+def statements(t):
+    """Each month as a statement: two fiscal years, the month under both, and a line to date."""
     fiscal = F.year("obs_period") + F.when(F.month("obs_period") >= 10, 1).otherwise(0)
     base = t.monthly.select("series_id", "obs_period", "value_cents", fiscal.alias("fy"))
 
@@ -306,15 +348,13 @@ def _(t):
 
     month = F.date_format("obs_period", "MMMM")
     no = F.lit(None).cast("string")
-    rows = base.select("series_id", "obs_period", F.inline(F.array(
+    return base.select("series_id", "obs_period", F.inline(F.array(
         row(F.lit("1"), no, F.concat(F.lit("FY "), "fy"), "T", "SUM", F.col("value_cents") * 9),
         row(F.lit("2"), no, F.concat(F.lit("FY "), (F.col("fy") - 1)), "T", "SUM",
             F.col("value_cents") * 8),
         row(F.lit("11"), F.lit("1"), month, "D", "MTH", F.col("value_cents")),
         row(F.lit("21"), F.lit("2"), month, "D", "MTH", F.col("value_cents") + 1),
         row(F.lit("12"), F.lit("1"), month, "D", "YTD", F.col("value_cents") + 2))))
-    return sh.select_current_month_row(rows, keys=["series_id"]).select(
-        "series_id", "obs_period", "amount", "match_count")
 
 
 @query("r14_unpivot_wide_sheet", """
@@ -323,13 +363,31 @@ SELECT series_id, last_day(CAST(date_trunc('quarter', obs_period) + INTERVAL 2 M
 FROM monthly GROUP BY ALL
 """, "monthly")
 def _(t):
+    return sh.unpivot_wide_sheet(wide_sheet(t))
+
+
+@query("r14_sheet_lag_violations", """
+WITH q AS (SELECT series_id, max(last_day(CAST(date_trunc('quarter', obs_period) + INTERVAL 2 MONTH AS DATE)))
+             AS latest FROM monthly GROUP BY 1),
+l(series_id, lag) AS (VALUES ('1-URGENT', 0), ('2-HIGH', 1), ('3-MEDIUM', 1), ('6-NONE', 1))
+SELECT l.series_id, CAST(lag AS INTEGER) AS lag, latest,
+       CAST(last_day(CAST(DATE '2001-12-31' - lag * INTERVAL 3 MONTH AS DATE)) AS DATE) AS expected
+FROM l LEFT JOIN q USING (series_id)
+WHERE latest IS DISTINCT FROM last_day(CAST(DATE '2001-12-31' - lag * INTERVAL 3 MONTH AS DATE))
+""", "monthly")
+def _(t):
+    long = sh.unpivot_wide_sheet(wide_sheet(t)).filter("value is not null")
+    return sh.sheet_lag_violations(
+        long, "2001-12-31", {"1-URGENT": 0, "2-HIGH": 1, "3-MEDIUM": 1, "6-NONE": 1})
+
+
+def wide_sheet(t):
+    """Quarters by priority, one column each."""
     names = [f"{i}-{n}" for i, n in enumerate(
         ("URGENT", "HIGH", "MEDIUM", "NOT SPECIFIED", "LOW"), start=1)]
     label = F.concat(F.date_format("obs_period", "yy"), F.lit(":Q"),
                      F.quarter("obs_period").cast("string"))
-    wide = t.monthly.groupBy(label.alias("period")).pivot("series_id", names).agg(
-        F.sum("value_cents"))
-    return sh.unpivot_wide_sheet(wide)
+    return t.monthly.groupBy(label.alias("period")).pivot("series_id", names).agg(F.sum("value_cents"))
 
 
 @query("r15_extract_html_tables", """
@@ -643,6 +701,7 @@ def _(t):
     early = F.col("obs_period") < F.lit("1998-01-01").cast("date")
     lake.publish_atomically(t.vintages.filter(early), root, "v1")
     lake.publish_atomically(t.vintages.filter(~early), root, "v2")
+    lake.publish_atomically(t.vintages.filter(~early), root, "v2")  # a replay
     return lake.read_published(t.spark, root, t.vintages.schema)
 
 
