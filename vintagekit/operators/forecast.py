@@ -6,7 +6,7 @@ Scale comes from the number of series, which the shuffle spreads.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from datetime import date, datetime
 
 import numpy as np
@@ -17,13 +17,10 @@ from pyspark.sql import functions as F
 from vintagekit.functions import calendar as cal
 from vintagekit.operators import features as feat
 from vintagekit.operators import pit
+from vintagekit.operators.bridge import MIN_MONTHS, RIDGE, RIDGE_ALPHA, Z80, Z95, ridge_bridge
 from vintagekit.operators.features import FLAT
 
 # Fixed values.
-Z80 = 1.2815515655446004
-Z95 = 1.959963984540054
-RIDGE_ALPHA = 10.0
-MIN_MONTHS = 36
 MIN_BASELINE_MONTHS = 24
 MIN_ERRORS = 24
 TRANSITION_RIDGE = 1e-6
@@ -31,7 +28,7 @@ MAX_ABS_PHI = 0.98
 VARIANCE_FLOOR = 1e-6
 TARGET_VARIANCE_FLOOR = 1e-8
 RANDOM_WALK, SEASONAL, AR2 = "random_walk", "seasonal_naive", "ar2"
-RIDGE, KALMAN = "ridge_bridge", "kalman_nowcast"
+KALMAN = "kalman_nowcast"
 
 
 def _solve_ar2(y0: Column, a: Column, b: Column, w) -> tuple[Column, Column]:
@@ -151,42 +148,6 @@ def _bands(point: float, std: float) -> tuple[float, ...]:
     return (point, point - Z80 * std, point + Z80 * std, point - Z95 * std, point + Z95 * std)
 
 
-def _scale_of(values: np.ndarray) -> tuple[float, float]:
-    seen = values[~np.isnan(values)]
-    if seen.size == 0:
-        return 0.0, 1.0
-    std = float(seen.std())
-    return float(seen.mean()), std if std > FLAT else 1.0
-
-
-def _ridge_fits(
-    y: np.ndarray, paced: np.ndarray, cover: np.ndarray, flow: np.ndarray, month: np.ndarray,
-    alpha: float, min_history: int,
-) -> Iterator[tuple[int, int, float, float]]:
-    """(row, training rows, point, spread) of each row that has enough earlier values."""
-    dummies = (month[:, None] == np.arange(2, 13)[None, :]).astype(float)
-    has_flow = (~np.isnan(flow)).astype(float)
-    penalty = np.diag([0.0] + [alpha] * 15)
-    for i in range(len(y)):
-        train = np.flatnonzero(~np.isnan(y[:i]))
-        if len(train) < min_history:
-            continue
-        upto = np.append(train, i)
-        columns = [np.ones(len(upto))]
-        for raw in (paced, flow):
-            mean, std = _scale_of(raw[train])
-            columns.append(np.nan_to_num((raw[upto] - mean) / std, nan=0.0))
-        x = np.column_stack([columns[0], columns[1], cover[upto], columns[2], has_flow[upto],
-                             dummies[upto]])
-        x, ahead, target = x[:-1], x[-1], y[train]
-        gram = x.T @ x + penalty
-        beta = np.linalg.solve(gram, x.T @ target)
-        rss = float(np.sum((target - x @ beta) ** 2))
-        free = max(len(target) - int(np.linalg.matrix_rank(x)), 1)
-        leverage = float(ahead @ np.linalg.solve(gram, ahead))
-        yield i, len(train), float(ahead @ beta), float(np.sqrt(max(rss / free * (1 + leverage), 0)))
-
-
 FORECAST_COLUMNS = (
     "{series} string, {period} date, model string, training_months int, point double, "
     "low80 double, high80 double, low95 double, high95 double"
@@ -200,34 +161,6 @@ def _forecast_frame(name, pdf, series, period, model, found) -> pd.DataFrame:
                                        "low80", "high80", "low95", "high95"])
 
 
-def ridge_bridge(
-    rows: DataFrame, alpha: float = RIDGE_ALPHA, min_history: int = MIN_MONTHS,
-    start: date | str | None = None, series: str = "series_id", period: str = "target_period",
-    value: str = "value",
-) -> DataFrame:
-    """Ridge of the target on its design row, refitted for each month on all earlier months.
-
-    `rows` holds the target (null while open) with paced_change, coverage and monthly_change. The
-    fits of one series run in one task over its few hundred months.
-    """
-    if alpha <= 0 or min_history < 24:
-        raise ValueError("alpha must be positive and min_history at least 24")
-
-    def fit(key, pdf):
-        pdf = pdf.sort_values(period, ignore_index=True)
-        month = pd.to_datetime(pdf[period]).dt.month.to_numpy()
-        cols = [pdf[c].to_numpy(dtype=float) for c in
-                (value, "paced_change", "coverage", "monthly_change")]
-        found = _ridge_fits(*cols, month, alpha, min_history)
-        return _forecast_frame(key[0], pdf, series, period, RIDGE, found)
-
-    need = rows.select(series, period, F.col(value).cast("double").alias(value),
-                       *[F.col(c).cast("double").alias(c) for c in
-                         ("paced_change", "coverage", "monthly_change")])
-    out = _by_series(need, fit, FORECAST_COLUMNS.format(series=series, period=period), series)
-    return out.filter(F.col(period) >= F.lit(start).cast("date")) if start else out
-
-
 def _penalised(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     penalty = np.diag([0.0] + [TRANSITION_RIDGE] * (x.shape[1] - 1))
     return np.linalg.solve(x.T @ x + penalty, x.T @ y)
@@ -385,12 +318,11 @@ def predict_open_periods(
     targets: DataFrame, weekly: DataFrame, monthly: DataFrame, t: date | datetime | str,
     alpha: float = RIDGE_ALPHA, min_history: int = MIN_MONTHS,
 ) -> DataFrame:
-    """One ridge forecast per series and unreleased month."""
+    """One ridge forecast per series and unreleased month, under the hash of all its inputs."""
     rows = open_period_rows(targets, weekly, monthly, t)
     made = ridge_bridge(rows, alpha, min_history)
     ahead = rows.filter("is_open").select(
-        "series_id", "target_period", F.col("origin").alias("made_at"), "origin_ok",
-        "inputs_hash")
+        "series_id", "target_period", F.col("origin").alias("made_at"), "origin_ok")
     return ahead.join(made, ["series_id", "target_period"])
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from vintagekit.operators import bridge as br
 from vintagekit.operators import evaluate as ev
 from vintagekit.operators import features as feat
 from vintagekit.operators import forecast as fc
@@ -290,9 +291,88 @@ def bridge_rows(t):
     return history(t).join(values, ["series_id", "target_period"])
 
 
-@query("m06_ridge_bridge")
+view("bridge_train", """
+SELECT f.series_id, f.target_period, t.value AS y, month(f.target_period) AS m,
+       change_cents / 1e8 / (weeks_observed / weeks_expected) AS p,
+       weeks_observed / weeks_expected AS c, flow_cents / 1e8 AS w
+FROM features f JOIN targets t USING (series_id, target_period)
+""", "features targets")
+view("bridge_scale", """
+SELECT o.series_id, o.target_period, count(*) AS n, coalesce(avg(t.p), 0) AS pm,
+       coalesce(avg(t.w), 0) AS wm,
+       CASE WHEN stddev_pop(t.p) > 1e-12 THEN stddev_pop(t.p) ELSE 1 END AS ps,
+       CASE WHEN stddev_pop(t.w) > 1e-12 THEN stddev_pop(t.w) ELSE 1 END AS ws, avg(t.y) AS ym
+FROM bridge_train o JOIN bridge_train t
+  ON t.series_id = o.series_id AND t.target_period < o.target_period GROUP BY ALL HAVING count(*) >= 36
+""", "bridge_train")
+DESIGN = """[1.0::DOUBLE, coalesce(({t}.p - s.pm) / s.ps, 0), {t}.c, coalesce(({t}.w - s.wm) / s.ws, 0),
+  CASE WHEN {t}.w IS NULL THEN 0.0 ELSE 1.0 END] || list_transform(range(2, 13),
+  lambda k: CASE WHEN {t}.m = k THEN 1.0::DOUBLE ELSE 0.0 END)"""
+view("bridge_rows", f"""
+SELECT s.series_id, s.target_period, s.n, s.ym, t.y - s.ym AS y, {DESIGN.format(t="t")} AS x,
+       {DESIGN.format(t="o")} AS a
+FROM bridge_scale s
+JOIN bridge_train o ON o.series_id = s.series_id AND o.target_period = s.target_period
+JOIN bridge_train t ON t.series_id = s.series_id AND t.target_period < s.target_period
+""", "bridge_scale bridge_train")
+view("bridge_cells", """
+SELECT series_id, target_period, i, j, sum(x[i] * x[j]) AS g, sum(x[i] * y) AS xy, any_value(a[i]) AS a
+FROM bridge_rows CROSS JOIN range(1, 17) r(i) CROSS JOIN range(1, 17) q(j) GROUP BY ALL
+""", "bridge_rows")
+view("bridge_system", """
+SELECT series_id, target_period, list(g ORDER BY i) AS g, list(r ORDER BY i) AS m FROM (
+  SELECT series_id, target_period, i, list(g ORDER BY j) AS g,
+    list(g + CASE WHEN i = j AND i > 1 THEN 10.0 ELSE 0.0 END ORDER BY j)
+      || [any_value(xy), any_value(a)] AS r
+  FROM bridge_cells GROUP BY ALL) GROUP BY ALL
+""", "bridge_cells")
+
+
+@query("m06_ridge_bridge", """
+WITH RECURSIVE el AS (
+  SELECT series_id, target_period, 1 AS k, g, m, list_transform(range(1, 17), lambda i: g[i][i]) AS d
+  FROM bridge_system UNION ALL
+  SELECT series_id, target_period, k + 1,
+    CASE WHEN g[k][k] <= d[k] * 1e-11 THEN g ELSE list_transform(range(1, 17), lambda i:
+      CASE WHEN i <= k THEN g[i]
+      ELSE list_transform(range(1, 17), lambda j: g[i][j] - g[i][k] / g[k][k] * g[k][j]) END) END,
+    list_transform(range(1, 17), lambda i: list_transform(range(1, 19), lambda j:
+      CASE WHEN i = k THEN m[k][j] / m[k][k] ELSE m[i][j] - m[i][k] * m[k][j] / m[k][k] END)), d
+  FROM el WHERE k <= 16),
+b AS (SELECT series_id, target_period, list_transform(range(1, 17), lambda i: m[i][17]) AS beta,
+        list_transform(range(1, 17), lambda i: m[i][18]) AS back,
+        len(list_filter(range(1, 17), lambda i: g[i][i] > d[i] * 1e-11)) AS rank FROM el WHERE k = 17),
+f AS (SELECT series_id, target_period, any_value(n) AS n, any_value(ym) + list_inner_product(
+        any_value(a), any_value(beta)) AS point,
+        sum((y - list_inner_product(x, beta)) ** 2) / greatest(any_value(n) - any_value(rank), 1)
+          * (1 + list_inner_product(any_value(a), any_value(back))) AS v
+      FROM bridge_rows JOIN b USING (series_id, target_period) GROUP BY ALL)
+SELECT series_id, target_period, 'ridge_bridge' AS model, CAST(n AS INTEGER) AS training_months,
+       round(point, 4) AS point, round(point - 1.2815515655446004 * sqrt(v), 4) AS low80,
+       round(point + 1.2815515655446004 * sqrt(v), 4) AS high80,
+       round(point - 1.959963984540054 * sqrt(v), 4) AS low95,
+       round(point + 1.959963984540054 * sqrt(v), 4) AS high95, 64 AS hash_length FROM f
+""", "bridge_rows bridge_system")
 def _(t):
-    return fc.ridge_bridge(bridge_rows(t))
+    out = fc.ridge_bridge(bridge_rows(t)).withColumn("hash_length", F.length("inputs_hash"))
+    return rounded(out, ["point", "low80", "high80", "low95", "high95"], 4).drop("inputs_hash")
+
+
+@query("m06_bridge_violations", """
+SELECT 'feature after release' AS rule, series_id, target_period FROM features WHERE month(target_period) = 2
+UNION ALL SELECT 'coverage', series_id, target_period FROM features WHERE month(target_period) = 3
+UNION ALL SELECT 'feature hash', series_id, target_period FROM features WHERE month(target_period) = 4
+UNION ALL SELECT 'period twice', series_id, target_period FROM features WHERE month(target_period) = 5
+""", "features")
+def _(t):
+    # A fault on purpose in the features of four months.
+    month = F.month("target_period")
+    releases = t.targets.select("series_id", "target_period", "release_at")
+    rows = bridge_rows(t).join(releases, ["series_id", "target_period"]).withColumns({
+        "origin": F.when(month == 2, F.col("release_at")).otherwise(F.col("origin")),
+        "coverage": F.when(month == 3, 1.5).otherwise(F.col("coverage")),
+        "inputs_hash": F.when(month == 4, "none").otherwise(F.col("inputs_hash"))})
+    return br.bridge_violations(rows.unionByName(rows.filter(month == 5)))
 
 
 @query("m07_kalman_nowcast")
