@@ -194,12 +194,9 @@ def align_classes(asked: DataFrame, classes: DataFrame, max_error: float = MAX_E
     votes = probed.hint("merge").join(
         classes.select("id", F.posexplode("fp").alias("at", "sub")), "sub").groupBy(
         "q", "id", (F.col("at") - F.col("qt")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("q", "id").agg(F.max(
-        F.struct("votes", (-F.abs("offset")).alias("_near"), "offset")).alias("b")).select(
-        "q", "id", "b.offset", "b.votes")
     a = asked.select(F.col("id").alias("q"), F.col("fp").alias("a"), F.col("copies").alias("n_copies"))
     b = classes.select("id", F.col("fp").alias("b"), F.col("copies").alias("match_copies"))
-    laid = best.join(a, "q").join(b, "id").withColumn(
+    laid = votes.join(a, "q").join(b, "id").withColumn(
         "_a", F.expr("slice(a, greatest(1 - offset, 1), size(a))")).withColumn(
         "_b", F.expr("slice(b, greatest(1 + offset, 1), size(b))")).withColumn(
         "_n", F.least(F.size("_a"), F.size("_b")))
@@ -207,6 +204,11 @@ def align_classes(asked: DataFrame, classes: DataFrame, max_error: float = MAX_E
                   "(x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
     measured = laid.where("2 * _n >= least(size(a), size(b))").withColumn(
         "bit_error", bits / (32 * F.col("_n"))).where(F.col("bit_error") <= max_error)
+    # Of a pair's offsets the one with the fewest bit errors stays, which votes alone may not name.
+    rest = ("votes", "n_copies", "match_copies")
+    measured = measured.groupBy("q", "id").agg(F.min_by(F.struct("offset", "bit_error", *rest), F.struct(
+        "bit_error", (-F.col("votes")).alias("_v"), F.abs("offset").alias("_near"), "offset")).alias("m")) \
+        .select("q", "id", "m.*")
     if top is not None:
         order = Window.partitionBy("q").orderBy("bit_error", F.desc("votes"), "id")
         measured = measured.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top)

@@ -27,6 +27,7 @@ from vintagekit.session import materialize
 WEIGHTS = (1, 2, 3)
 MOST = 3
 BLOCK = 4096
+SHARED_ID = 16
 HELD = 12
 EPS = 1e-9
 
@@ -90,7 +91,7 @@ def settler(seed: int, level: int, last: bool, block: int) -> Callable[[tuple, p
 
     def settle(key: tuple, part: pa.Table) -> pa.Table:
         part = part.take(pc.sort_indices(
-            part, [("size", "descending"), ("_id", "ascending")]))
+            part, [("size", "descending"), ("_id", "ascending"), ("_row", "ascending")]))
         sizes = [float(x) for x in part["size"].to_pylist()]
         draw = random.Random(f"{seed}|{level}|{key[0].as_py()}|{key[1].as_py()}")
         whole = last or part["n_docs"][0].as_py() <= block
@@ -135,16 +136,22 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     """(id, source, size, source_size, target, copies, taken) of every input row.
 
     Null texts have size 0; a null source is a source of its own and comes last. Repeated rows are rows
-    of their own. An empty table gives an empty result. Draws depend on the seed, source and ids alone.
+    of their own. An empty table gives an empty result. Draws depend on the seed, source and ids alone;
+    rows of an id that more than `SHARED_ID` rows have, null among them, are dealt out by their place
+    in the input, so that no block holds one id's rows whatever their number.
     """
     sized = materialize(df.select(
         F.col(id_col).alias("_id"), F.col(source_col).alias("source"),
-        n_words(F.col(text_col)).cast("long").alias("size")), "sizes")
+        n_words(F.col(text_col)).cast("long").alias("size"),
+        F.monotonically_increasing_id().alias("_row")), "sizes")
+    shared = sized.groupBy("_id").agg(F.count("*").alias("_n")).where(F.col("_n") > SHARED_ID)
+    sized = sized.alias("s").join(shared.alias("h"), F.expr("s._id <=> h._id"), "left").select(
+        "s._id", "source", "size", F.when(F.col("_n") > 0, F.col("_row")).otherwise(0).alias("_row"))
     targets = materialize(source_targets(sized, weights, most), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = sized.alias("s").join(
         targets.alias("t"), F.expr("s.source <=> t.source")).select(
-        "_id", "s.source", "size", "source_size", "target", "n_docs",
+        "_id", "_row", "s.source", "size", "source_size", "target", "n_docs",
         F.floor(ratio).cast("long").alias("_whole"), (ratio - F.floor(ratio)).alias("_p"))
     largest = targets.agg(F.max("n_docs")).first()[0] or 0
     schema = T.StructType([*joined.schema.fields])
@@ -155,7 +162,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         blocks = F.ceil(F.col("n_docs") / block) if level == 0 else F.ceil(
             F.col("n_docs") * (3 / block) ** level / block)
         salt = F.lit(0).cast("long") if last else F.pmod(
-            F.xxhash64(F.col("_id"), F.lit(level)), blocks.cast("long"))
+            F.xxhash64(F.col("_id"), F.col("_row"), F.lit(level)), blocks.cast("long"))
         moved = materialize(
             todo.groupBy(F.col("source"), salt.alias("_salt")).applyInArrow(
                 settler(seed, level, last, block), schema), "mix")

@@ -223,10 +223,15 @@ def score_all(model: Model, docs: list[np.ndarray], tables: dict) -> np.ndarray:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                     label_col: str = "toxic", rows: int = FIT_ROWS) -> DataFrame:
-    """Documents of at most `rows` labels, picked among the labels, so that no text is moved for it."""
-    chosen = bounded_sample(
-        labels.select(id_col, label_col).where(F.col(label_col).isin(0, 1)), id_col, rows)
-    return docs.join(materialize(chosen, "labels"), id_col)
+    """Documents of at most `rows` labels, picked among the labels, so that no text is moved for it.
+
+    Repeated label rows count once; ids with both labels and null ids teach nothing. A column of the
+    documents that is named as the label is left out.
+    """
+    one = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(
+        F.min(label_col).alias(label_col), F.max(label_col).alias("_most")).where(
+        F.col(label_col) == F.col("_most")).select(id_col, label_col)
+    return docs.drop(label_col).join(materialize(bounded_sample(one, id_col, rows), "labels"), id_col)
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",

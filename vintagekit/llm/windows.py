@@ -249,7 +249,8 @@ def _cut(df: DataFrame, id_col: str, text_col: str, width: int, digest: bool) ->
     replies = asked.groupBy("_bucket").applyInArrow(answer, "_chunk long, _bucket long, _bits binary")
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("n_words", T.LongType())])
     schema = schema.add("n_removed", "long").add("kept_sha256", "string") if digest else \
-        schema.add("spans", "array<struct<start: bigint, end: bigint>>").add("kept", "string")
+        schema.add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))) \
+        .add("kept", "string")
     return rows.groupBy("_chunk").cogroup(replies.groupBy("_chunk")).applyInArrow(cut, schema)
 
 
