@@ -9,8 +9,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date, datetime
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,17 +16,12 @@ from vintagekit.functions import calendar as cal
 from vintagekit.operators import features as feat
 from vintagekit.operators import pit
 from vintagekit.operators.bridge import MIN_MONTHS, RIDGE, RIDGE_ALPHA, Z80, Z95, ridge_bridge
-from vintagekit.operators.features import FLAT
+from vintagekit.operators.state_space import KALMAN, kalman_nowcast
 
 # Fixed values.
 MIN_BASELINE_MONTHS = 24
 MIN_ERRORS = 24
-TRANSITION_RIDGE = 1e-6
-MAX_ABS_PHI = 0.98
-VARIANCE_FLOOR = 1e-6
-TARGET_VARIANCE_FLOOR = 1e-8
 RANDOM_WALK, SEASONAL, AR2 = "random_walk", "seasonal_naive", "ar2"
-KALMAN = "kalman_nowcast"
 
 
 def _solve_ar2(y0: Column, a: Column, b: Column, w) -> tuple[Column, Column]:
@@ -140,116 +133,6 @@ def expanding_baselines(
     return p.select(series, period, F.inline(pairs)).filter("point is not null")
 
 
-def _by_series(rows: DataFrame, fit, schema: str, series: str) -> DataFrame:
-    return rows.groupBy(series).applyInPandas(fit, schema)
-
-
-def _bands(point: float, std: float) -> tuple[float, ...]:
-    return (point, point - Z80 * std, point + Z80 * std, point - Z95 * std, point + Z95 * std)
-
-
-FORECAST_COLUMNS = (
-    "{series} string, {period} date, model string, training_months int, point double, "
-    "low80 double, high80 double, low95 double, high95 double"
-)
-
-
-def _forecast_frame(name, pdf, series, period, model, found) -> pd.DataFrame:
-    rows = [(name, pdf[period].iloc[i], model, n, *_bands(point, std))
-            for i, n, point, std in found]
-    return pd.DataFrame(rows, columns=[series, period, "model", "training_months", "point",
-                                       "low80", "high80", "low95", "high95"])
-
-
-def _penalised(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    penalty = np.diag([0.0] + [TRANSITION_RIDGE] * (x.shape[1] - 1))
-    return np.linalg.solve(x.T @ x + penalty, x.T @ y)
-
-
-def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Intercept, slope and floored residual variance."""
-    c = _penalised(np.column_stack([np.ones(len(x)), x]), y)
-    return float(c[0]), float(c[1]), max(float(np.mean((y - c[0] - c[1] * x) ** 2)), VARIANCE_FLOOR)
-
-
-def _kalman_point(
-    y: np.ndarray, months: np.ndarray, weekly: list[np.ndarray], flow: np.ndarray, entering: bool
-) -> tuple[float, float] | None:
-    """Filter one latent monthly state to the last row, which has no target; (point, spread)."""
-    n = len(y)
-    week_values = np.concatenate(weekly[:n]) if n else np.array([])
-    has_flow = np.flatnonzero(~np.isnan(flow[:n]))
-    if len(week_values) < n or len(has_flow) < MIN_BASELINE_MONTHS:
-        return None
-    stats = [(v.mean(), v.std()) for v in (y, week_values, flow[has_flow])]
-    if any(s <= FLAT for _, s in stats):
-        return None
-    (ym, ys), (wm, ws), (fm, fs) = stats
-    z = (y - ym) / ys
-
-    dummies = (months[1:n, None] == np.arange(2, 13)[None, :]).astype(float)
-    coef = _penalised(np.column_stack([np.ones(n - 1), z[:-1], dummies]), z[1:])
-    phi = float(np.clip(coef[1], -MAX_ABS_PHI, MAX_ABS_PHI))
-    by_month = coef[0] + np.concatenate([[0.0], coef[2:]])
-    step = by_month[months - 1]
-    q = max(float(np.mean((z[1:] - step[1:n] - phi * z[:-1]) ** 2)), VARIANCE_FLOOR)
-    r = max(q * 1e-6, TARGET_VARIANCE_FLOOR)
-    z_of_week = np.repeat(z, [len(w) for w in weekly[:n]])
-    w0, w1, wr = _line(z_of_week, (week_values - wm) / ws)
-    f0, f1, fr = _line(z[has_flow], (flow[has_flow] - fm) / fs)
-
-    mean, var = 0.0, 1.0
-    for t in range(n + 1):
-        if t:
-            mean, var = phi * mean + step[t if entering else t - 1], phi * phi * var + q
-        seen = [(z[t], 0.0, 1.0, r)] if t < n else []
-        seen += [((w - wm) / ws, w0, w1, wr) for w in weekly[t]]
-        if not np.isnan(flow[t]):
-            seen.append(((flow[t] - fm) / fs, f0, f1, fr))
-        for obs, base, load, noise in seen:
-            gain = var * load / (load * load * var + noise)
-            mean, var = mean + gain * (obs - base - load * mean), (1 - gain * load) * var
-    return ym + ys * mean, float(ys * np.sqrt(max(var, 0.0) + r))
-
-
-def kalman_nowcast(
-    rows: DataFrame, min_history: int = MIN_MONTHS, start: date | str | None = None,
-    entering: bool = False, series: str = "series_id", period: str = "target_period",
-    value: str = "value",
-) -> DataFrame:
-    """Nowcast from a scalar Kalman filter over target, weekly changes and monthly flow.
-
-    Missing channels are skipped. A step takes the month effect of the period being left, unless
-    `entering` asks for that of the period being entered.
-    """
-
-    def fit(key, pdf):
-        pdf = pdf.sort_values(period, ignore_index=True)
-        months = pd.to_datetime(pdf[period]).dt.month.to_numpy()
-        y = pdf[value].to_numpy(dtype=float)
-        flow = pdf["monthly_change"].to_numpy(dtype=float)
-        weekly = [np.asarray(w, dtype=float) for w in pdf["weekly"]]
-        found = []
-        for i in range(len(pdf)):
-            train = np.flatnonzero(~np.isnan(y[:i]))
-            if len(train) < min_history:
-                continue
-            upto = np.append(train, i)
-            got = _kalman_point(y[train], months[upto], [weekly[j] for j in upto], flow[upto],
-                                entering)
-            if got is not None:
-                found.append((i, len(train), *got))
-        return _forecast_frame(key[0], pdf, series, period, KALMAN, found)
-
-    changes = F.transform(
-        F.sort_array("weekly_changes"), lambda c: c["change"].cast("double"))
-    need = rows.select(series, period, F.col(value).cast("double").alias(value),
-                       F.col("monthly_change").cast("double").alias("monthly_change"),
-                       F.filter(changes, lambda c: c.isNotNull()).alias("weekly"))
-    out = _by_series(need, fit, FORECAST_COLUMNS.format(series=series, period=period), series)
-    return out.filter(F.col(period) >= F.lit(start).cast("date")) if start else out
-
-
 def select_benchmark(metrics: DataFrame, series: str = "series_id") -> DataFrame:
     """Lowest MAE per series, the earlier name on a tie."""
     return metrics.groupBy(series).agg(

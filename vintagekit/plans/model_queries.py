@@ -375,9 +375,94 @@ def _(t):
     return br.bridge_violations(rows.unionByName(rows.filter(month == 5)))
 
 
-@query("m07_kalman_nowcast")
+view("kalman_rows", """
+SELECT f.series_id, f.target_period, t.value AS y, month(f.target_period) AS m, flow_cents / 1e8 AS f,
+       nw, sw, sww, row_number() OVER o - 1 AS i, lag(t.value) OVER o AS l,
+       lag(month(f.target_period)) OVER o AS lm
+FROM features f JOIN targets t USING (series_id, target_period) JOIN (
+  SELECT s.series_id, s.target_period, count(a.v - b.v) AS nw, coalesce(sum((a.v - b.v) / 1e8), 0) AS sw,
+         coalesce(sum(((a.v - b.v) / 1e8) ** 2), 0) AS sww
+  FROM (SELECT asked.*, CAST(date_trunc('month', target_period) AS DATE) + CAST(i AS INTEGER) AS d
+        FROM asked CROSS JOIN range(0, 31) r(i)) s
+  LEFT JOIN known a ON a.series_id = s.series_id AND a.origin = s.origin AND a.obs_period = s.d
+  LEFT JOIN known b ON b.series_id = s.series_id AND b.origin = s.origin
+                   AND b.obs_period = CAST(s.d - 7 AS DATE)
+  WHERE isodow(s.d) = 3 AND s.d <= s.target_period GROUP BY ALL) w USING (series_id, target_period)
+WINDOW o AS (PARTITION BY f.series_id ORDER BY f.target_period)
+""", "features targets asked known")
+view("kalman_scale", """
+SELECT * FROM (
+  SELECT o.series_id, o.i AS k, count(*) AS n, avg(t.y) AS ym, stddev_pop(t.y) AS ys, sum(t.nw) AS wn,
+         sum(t.sw) / sum(t.nw) AS wm, sqrt(sum(t.sww) / sum(t.nw) - (sum(t.sw) / sum(t.nw)) ** 2) AS ws,
+         avg(t.f) AS fm, stddev_pop(t.f) AS fs, count(t.f) AS fn
+  FROM kalman_rows o JOIN kalman_rows t ON t.series_id = o.series_id AND t.i < o.i GROUP BY ALL)
+WHERE n >= 36 AND wn >= n AND fn >= 24 AND ys > 1e-12 AND ws > 1e-12 AND fs > 1e-12
+""", "kalman_rows")
+view("kalman_train", """
+SELECT s.*, t.i, t.m, (y - ym) / ys AS z, (l - ym) / ys AS zl, (f - fm) / fs AS zf, nw,
+       (sw - nw * wm) / ws AS zw, [1.0::DOUBLE, (l - ym) / ys] || list_transform(range(2, 13),
+         lambda x: CASE WHEN t.m = x THEN 1.0::DOUBLE ELSE 0.0 END) AS x
+FROM kalman_scale s JOIN kalman_rows t ON t.series_id = s.series_id AND t.i < s.k
+""", "kalman_scale kalman_rows")
+view("kalman_system", """
+SELECT series_id, k, list(r ORDER BY i) AS m FROM (
+  SELECT series_id, k, i, list(g ORDER BY j) || [any_value(v)] AS r FROM (
+    SELECT series_id, k, a.i, b.j, sum(x[a.i] * x[b.j])
+             + any_value(CASE WHEN a.i = b.j AND a.i > 1 THEN 1e-6 ELSE 0 END) AS g, sum(x[a.i] * z) AS v
+    FROM kalman_train CROSS JOIN range(1, 14) a(i) CROSS JOIN range(1, 14) b(j)
+    WHERE zl IS NOT NULL GROUP BY ALL) GROUP BY ALL) GROUP BY ALL
+""", "kalman_train")
+view("kalman_lines", """
+SELECT series_id, k, w1, -sz * w1 / n AS w0, f1, -fz * f1 / fn AS f0,
+  greatest((n - 2 * w1 * sxz + (sz * w1) ** 2 / n - 2 * sz * w1 / n * w1 * sz + w1 ** 2 * szz) / n, 1e-6) AS wr,
+  greatest((fn - 2 * f1 * fxz + (fz * f1) ** 2 / fn - 2 * fz * f1 / fn * f1 * fz + f1 ** 2 * fzz) / fn, 1e-6) AS fr
+FROM (SELECT *, n * sxz / (n * (szz + 1e-6) - sz * sz) AS w1, fn * fxz / (fn * (fzz + 1e-6) - fz * fz) AS f1
+  FROM (SELECT series_id, k, sum(nw) AS n, sum(nw * z) AS sz, sum(nw * z * z) AS szz, sum(zw * z) AS sxz,
+               count(zf) AS fn, sum(z) FILTER (zf IS NOT NULL) AS fz,
+               sum(z * z) FILTER (zf IS NOT NULL) AS fzz, sum(z * zf) AS fxz
+        FROM kalman_train GROUP BY ALL))
+""", "kalman_train")
+
+
+@query("m07_kalman_nowcast", """
+WITH RECURSIVE el AS (
+  SELECT series_id, k, 1 AS pos, m FROM kalman_system UNION ALL
+  SELECT series_id, k, pos + 1, list_transform(range(1, 14), lambda i: list_transform(range(1, 15), lambda j:
+    CASE WHEN i = pos THEN m[pos][j] / m[pos][pos] ELSE m[i][j] - m[i][pos] * m[pos][j] / m[pos][pos] END))
+  FROM el WHERE pos <= 13),
+beta AS (SELECT series_id, k, greatest(least(m[2][14], 0.98), -0.98) AS phi,
+  list_transform(range(1, 13), lambda x: m[1][14] + CASE WHEN x = 1 THEN 0 ELSE m[x + 1][14] END) AS step
+  FROM el WHERE pos = 14),
+noise AS (SELECT series_id, k, any_value(phi) AS phi, any_value(step) AS step,
+  greatest(avg((z - step[t.m] - phi * zl) ** 2) FILTER (zl IS NOT NULL), 1e-6) AS q
+  FROM kalman_train t JOIN beta USING (series_id, k) GROUP BY ALL),
+par AS (SELECT *, greatest(q * 1e-6, 1e-8) AS r FROM noise JOIN kalman_lines USING (series_id, k)
+        JOIN kalman_scale USING (series_id, k)),
+fl AS (
+  SELECT series_id, k, CAST(-1 AS BIGINT) AS i, 0.0::DOUBLE AS mean, 1.0::DOUBLE AS var FROM par UNION ALL
+  SELECT series_id, k, i, CASE WHEN f THEN m2 + v2 * f1 / (f1 * f1 * v2 + fr) * (zf - f0 - f1 * m2) ELSE m2 END,
+    CASE WHEN f THEN (1 - v2 * f1 / (f1 * f1 * v2 + fr) * f1) * v2 ELSE v2 END
+  FROM (SELECT *, v2 * (m1 / v1 + w1 / wr * (zw - nw * w0)) AS m2
+  FROM (SELECT *, 1 / (1 / v1 + nw * w1 * w1 / wr) AS v2
+  FROM (SELECT *, CASE WHEN i < k THEN pm + pv / (pv + r) * (z - pm) ELSE pm END AS m1,
+               CASE WHEN i < k THEN r / (pv + r) * pv ELSE pv END AS v1
+  FROM (SELECT fl.series_id, fl.k, t.i, (t.y - ym) / ys AS z, (t.f - fm) / fs AS zf, t.f IS NOT NULL AS f,
+               t.nw, (t.sw - t.nw * wm) / ws AS zw, w0, w1, wr, f0, f1, fr, r,
+               CASE WHEN t.i = 0 THEN 0 ELSE phi * mean + step[t.lm] END AS pm,
+               CASE WHEN t.i = 0 THEN 1 ELSE phi * phi * var + q END AS pv
+        FROM fl JOIN par USING (series_id, k)
+        JOIN kalman_rows t ON t.series_id = fl.series_id AND t.i = fl.i + 1 AND t.i <= fl.k)))))
+SELECT fl.series_id, t.target_period, 'kalman_nowcast' AS model, CAST(n AS INTEGER) AS training_months,
+       round(ym + ys * mean, 5) AS point,
+       round(ym + ys * mean - 1.2815515655446004 * ys * sqrt(var + r), 5) AS low80,
+       round(ym + ys * mean + 1.2815515655446004 * ys * sqrt(var + r), 5) AS high80,
+       round(ym + ys * mean - 1.959963984540054 * ys * sqrt(var + r), 5) AS low95,
+       round(ym + ys * mean + 1.959963984540054 * ys * sqrt(var + r), 5) AS high95
+FROM fl JOIN par USING (series_id, k) JOIN kalman_rows t ON t.series_id = fl.series_id AND t.i = fl.k
+WHERE fl.i = fl.k
+""", "kalman_rows kalman_system kalman_lines")
 def _(t):
-    return fc.kalman_nowcast(bridge_rows(t))
+    return rounded(fc.kalman_nowcast(bridge_rows(t)), ["point", "low80", "high80", "low95", "high95"], 5)
 
 
 METRICS_SQL = """
