@@ -61,70 +61,77 @@ def coverage_and_pace(
     )
 
 
+def reached_edges(weekly: DataFrame) -> DataFrame:
+    """(series_id, release_date, latest_release, latest_observation): how far each release reached."""
+    per_release = weekly.groupBy("series_id", "release_date").agg(F.max("obs_period").alias("_p"))
+    return per_release.select(
+        "series_id", "release_date", F.col("release_date").alias("latest_release"),
+        F.max("_p").over(Window.partitionBy("series_id").orderBy("release_date"))
+        .alias("latest_observation"))
+
+
+EDGE = ["latest_release", "latest_observation"]
+
+
 def ragged_edge_feature(
     targets: DataFrame, weekly: DataFrame, monthly: DataFrame, bound: str = "origin"
 ) -> DataFrame:
     """One feature row per (series, target period, boundary).
 
-    Each target asks only for its own five or six weeks, so vintages meet targets in an equi-join
-    on (series, week); nothing is crossed. `weekly` and `monthly` hold series_id, obs_period,
-    value, release_date (weekly also checksum).
+    A month asks only for its own weeks and the one before them, so weeks, flows and questions are one
+    tagged union keyed by (series, month): a single shuffle brings a month's few vintages together, and
+    each question reads its answers from them. `weekly` and `monthly` hold series_id, obs_period,
+    value, release_date (weekly also checksum). Targets that carry `latest_release` and
+    `latest_observation` already, as those of `historical_features` do, are not asked for them again.
     """
     id_cols = ["series_id", "target_period", bound]
-    t = targets.select(*id_cols).dropDuplicates()
-    month_slots = cal.weekdays_in_month("target_period", WEEKDAY)
-    asked = t.withColumn("_slots", month_slots).withColumn(
-        "obs_period",
-        F.explode(F.array_insert("_slots", 1, F.date_sub(F.col("_slots")[0], 7))),
-    ).drop("_slots")
-    known = asked.join(weekly, ["series_id", "obs_period"]).filter(
-        F.col("release_date") <= F.col(bound))
-    latest = known.groupBy(*id_cols, "obs_period").agg(
-        F.max_by(F.struct("value", "release_date", "checksum"),
-                 F.struct("release_date", "checksum")).alias("v"))
-    evidence = k.row_hash(["obs_period", F.col("v.release_date"), F.col("v.checksum")])
-    per_target = latest.groupBy(*id_cols).agg(
-        F.map_from_entries(F.collect_list(F.struct("obs_period", "v.value"))).alias("_levels"),
-        k.digest(evidence).alias("_weekly_hash"),
-    )
-    reached = weekly.groupBy("series_id", "release_date").agg(
-        F.max("obs_period").alias("_p")).select(
-        "series_id", "release_date", F.col("release_date").alias("latest_release"),
-        F.max("_p").over(Window.partitionBy("series_id").orderBy("release_date"))
-        .alias("latest_observation"))
-    edge = pit.as_of_join(t, reached, ["series_id"], bound, "release_date",
-                          ["latest_release", "latest_observation"])
-    flow = monthly.select("series_id", F.col("obs_period").alias("target_period"),
-                          F.col("release_date").alias("_r"), F.col("value").alias("_m"))
-    first_flow = t.join(flow, ["series_id", "target_period"]).filter(
-        F.col("_r") <= F.col(bound)).groupBy(*id_cols).agg(
-        F.min(F.struct("_r", "_m")).alias("_f"))
-    rows = edge.join(per_target, id_cols, "left").join(first_flow, id_cols, "left")
-
-    levels = F.coalesce("_levels", F.create_map().cast("map<date,double>"))
-    rows = rows.withColumn("_levels", levels).withColumn("_slots", month_slots)
-    seen = F.filter("_slots", lambda w: F.map_contains_key(F.col("_levels"), w))
-    rows = rows.withColumn("_seen", seen)
-    rows = rows.withColumn("weekly_changes", F.transform("_seen", lambda w: F.struct(
-        w.alias("obs_period"),
-        (F.try_element_at("_levels", w) - F.try_element_at("_levels", F.date_sub(w, 7)))
-        .alias("change"))))
+    if not set(EDGE) <= set(targets.columns):
+        targets = pit.as_of_join(targets.select(*id_cols).dropDuplicates(), reached_edges(weekly),
+                                 ["series_id"], bound, "release_date", EDGE)
+    key = ["series_id", "target_period"]
+    asked = targets.select(*key, F.struct(bound, *EDGE).alias("_q"))
+    months = F.array_distinct(F.array(
+        F.last_day("obs_period"), F.last_day(F.date_add("obs_period", 7))))
+    weeks = weekly.select("series_id", F.explode(months).alias("target_period"), F.struct(
+        "obs_period", "release_date", "checksum", F.col("value").cast("double").alias("value")).alias("_w"))
+    flows = monthly.select("series_id", F.col("obs_period").alias("target_period"), F.struct(
+        F.col("release_date").alias("r"), F.col("value").alias("m")).alias("_f"))
+    union = asked.unionByName(weeks, True).unionByName(flows, True)
+    rows = union.groupBy(*key).agg(
+        F.collect_set("_q").alias("_qs"), F.collect_list("_w").alias("_w"),
+        F.collect_list("_f").alias("_f")).select(*key, F.explode("_qs").alias("_q"), "_w", "_f")
+    at = F.col("_q").getField(bound)
+    slots = cal.weekdays_in_month("target_period", WEEKDAY)
+    rows = rows.select(
+        *key, at.alias(bound), *[F.col(f"_q.{c}").alias(c) for c in EDGE],
+        F.array_insert(slots, 1, F.date_sub(slots[0], 7)).alias("_dates"),
+        F.filter("_w", lambda x: x["release_date"] <= at).alias("_w"),
+        F.array_min(F.filter("_f", lambda x: x["r"] <= at)).alias("_f"))
+    # The latest vintage of each date known at the boundary, null where there is none.
+    rows = rows.withColumn("_levels", F.transform("_dates", lambda d: F.array_max(F.transform(
+        F.filter("_w", lambda x: x["obs_period"] == d), lambda x: F.struct(
+            x["release_date"], x["checksum"], x["value"])))))
+    places = F.sequence(F.lit(1), F.size("_dates") - 1)
+    seen = F.filter(places, lambda i: F.get("_levels", i).isNotNull())
+    rows = rows.withColumn("weekly_changes", F.transform(seen, lambda i: F.struct(
+        F.get("_dates", i).alias("obs_period"),
+        (F.get("_levels", i)["value"] - F.get("_levels", i - 1)["value"]).alias("change"))))
     total = F.aggregate("weekly_changes", F.lit(0.0),
                         lambda acc, c: acc + F.coalesce(c["change"], F.lit(0.0)))
     missing = F.size(F.filter("weekly_changes", lambda c: c["change"].isNull()))
+    evidence = F.array_compact(F.zip_with("_dates", "_levels", lambda d, v: F.when(
+        v.isNotNull(), k.row_text([d, v["release_date"], v["checksum"]]))))
     rows = rows.select(
         *id_cols, "weekly_changes", total.alias("change_sum"),
-        F.size("_seen").alias("weeks_observed"), F.size("_slots").alias("weeks_expected"),
-        missing.alias("missing_predecessors"), "latest_release", "latest_observation",
-        F.col("_f._m").alias("monthly_change"), F.col("_f._r").alias("monthly_release"),
-        "_weekly_hash",
-    )
+        F.size("weekly_changes").alias("weeks_observed"),
+        (F.size("_dates") - 1).alias("weeks_expected"), missing.alias("missing_predecessors"), *EDGE,
+        F.col("_f.m").alias("monthly_change"), F.col("_f.r").alias("monthly_release"),
+        F.sha2(F.array_join(evidence, ""), 256).alias("_weekly_hash"))
     coverage = F.col("weeks_observed") / F.col("weeks_expected")
     return rows.select(
         *id_cols, "change_sum", "weeks_observed", "weeks_expected", coverage.alias("coverage"),
         F.when(F.col("weeks_observed") > 0, F.col("change_sum") / coverage).alias("paced_change"),
-        "latest_release", "latest_observation", "monthly_change", "monthly_release",
-        "missing_predecessors", "weekly_changes",
+        *EDGE, "monthly_change", "monthly_release", "missing_predecessors", "weekly_changes",
         k.row_hash([*id_cols, "_weekly_hash", "monthly_release",
                     F.round("monthly_change", 9).cast("decimal(38,9)")]).alias("inputs_hash"),
     )
@@ -133,10 +140,14 @@ def ragged_edge_feature(
 def historical_features(
     targets: DataFrame, weekly: DataFrame, monthly: DataFrame
 ) -> DataFrame:
-    """The feature of every target at its own origin, in one plan."""
-    at = pit.forecast_origin(targets.select("series_id", "target_period", "release_at"), weekly,
-                             ["series_id"]).filter(F.col("origin").isNotNull())
-    return ragged_edge_feature(at, weekly, monthly, "origin")
+    """The feature of every target at its own origin, the last release strictly before its own.
+
+    One as-of join answers the origin and how far the weeks reached by then.
+    """
+    edges = reached_edges(weekly).withColumn("origin", F.col("release_date"))
+    at = pit.as_of_join(targets.select("series_id", "target_period", "release_at"), edges, ["series_id"],
+                        "release_at", "release_date", ["origin", *EDGE], strict=True)
+    return ragged_edge_feature(at.filter(F.col("origin").isNotNull()), weekly, monthly, "origin")
 
 
 def window_scale(

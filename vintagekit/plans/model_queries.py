@@ -6,7 +6,7 @@ from vintagekit.operators import bridge as br
 from vintagekit.operators import evaluate as ev
 from vintagekit.operators import features as feat
 from vintagekit.operators import forecast as fc
-from vintagekit.plans.registry import query, view
+from vintagekit.plans.registry import query, row_sha, row_text, view
 
 NAIVE = (fc.RANDOM_WALK, fc.SEASONAL, fc.AR2)
 
@@ -77,12 +77,19 @@ SELECT q.series_id, q.target_period, q.origin,
         WHERE w.series_id = q.series_id AND w.release_date <= q.origin) AS latest_release,
        (SELECT max(w.obs_period) FROM weekly w
         WHERE w.series_id = q.series_id AND w.release_date <= q.origin) AS latest_observation,
-       x.change_cents, x.weeks_observed, x.weeks_expected, x.missing_predecessors,
-       f.value_cents AS flow_cents, f.release_date AS monthly_release
+       x.change_cents, x.weeks_observed, x.weeks_expected, x.missing_predecessors, x.weekly_changes,
+       f.value_cents AS flow_cents, f.release_date AS monthly_release, sha256(coalesce((
+         SELECT string_agg({text}, '' ORDER BY e.obs_period) FROM known e
+         WHERE e.series_id = q.series_id AND e.origin = q.origin AND isodow(e.obs_period) = 3
+           AND e.obs_period BETWEEN CAST(date_trunc('month', q.target_period) + INTERVAL
+             ((10 - isodow(date_trunc('month', q.target_period))) % 7 - 7) DAY AS DATE) AND q.target_period
+       ), '')) AS weekly_hash
 FROM asked q
 JOIN (SELECT s.series_id, s.target_period, s.origin, count(*) AS weeks_expected,
              count(a.v) AS weeks_observed, coalesce(sum(a.v - b.v), 0) AS change_cents,
-             count(*) FILTER (a.v IS NOT NULL AND b.v IS NULL) AS missing_predecessors
+             count(*) FILTER (a.v IS NOT NULL AND b.v IS NULL) AS missing_predecessors,
+             coalesce(string_agg(CAST(s.d AS VARCHAR) || '=' || coalesce(CAST(a.v - b.v AS VARCHAR), '?'),
+               ' ' ORDER BY s.d) FILTER (a.v IS NOT NULL), '') AS weekly_changes
       FROM (SELECT asked.*, CAST(date_trunc('month', target_period) AS DATE) + CAST(i AS INTEGER)
                    AS d FROM asked CROSS JOIN range(0, 31) r(i)) s
       LEFT JOIN known a ON a.series_id = s.series_id AND a.origin = s.origin AND a.obs_period = s.d
@@ -92,9 +99,10 @@ JOIN (SELECT s.series_id, s.target_period, s.origin, count(*) AS weeks_expected,
   ON x.series_id = q.series_id AND x.target_period = q.target_period AND x.origin = q.origin
 LEFT JOIN monthly_flow f ON f.series_id = q.series_id AND f.obs_period = q.target_period
                         AND f.release_date <= q.origin
-"""
+""".format(text=row_text("e.obs_period", "e.r", "e.c"))
 KNOWN_VIEW = """
-SELECT o.series_id, o.origin, w.obs_period, max_by(w.value_cents, w.release_date) AS v
+SELECT o.series_id, o.origin, w.obs_period, max_by(w.value_cents, w.release_date) AS v,
+       max(w.release_date) AS r, max_by(w.checksum, w.release_date) AS c
 FROM (SELECT DISTINCT series_id, origin FROM asked) o JOIN weekly w
   ON w.series_id = o.series_id AND w.release_date <= o.origin
  AND w.obs_period >= CAST(o.origin - 95 AS DATE) GROUP BY ALL
@@ -115,14 +123,19 @@ SELECT series_id, target_period, origin, latest_release, latest_observation,
        CASE WHEN weeks_observed > 0
             THEN round(change_cents / 1e8 / (weeks_observed / weeks_expected), 10) END AS paced_change,
        round(flow_cents / 1e8, 8) AS monthly_change, monthly_release,
-       CAST(missing_predecessors AS INTEGER) AS missing_predecessors
+       CAST(missing_predecessors AS INTEGER) AS missing_predecessors, weekly_changes,
+       {hash} AS inputs_hash
 FROM features
-"""
+""".format(hash=row_sha("series_id", "target_period", "origin", "weekly_hash", "monthly_release",
+                        "CAST(round(flow_cents / 1e8, 9) AS DECIMAL(38, 9))"))
 
 
 def shown_features(df):
     df = rounded(rounded(df, ["coverage"]), ["change_sum", "monthly_change"], 8)
-    return rounded(df, ["paced_change"], 10).drop("weekly_changes", "inputs_hash")
+    changes = F.transform("weekly_changes", lambda c: F.concat(
+        c["obs_period"].cast("string"), F.lit("="),
+        F.coalesce(F.round(c["change"] * 1e8).cast("bigint").cast("string"), F.lit("?"))))
+    return rounded(df, ["paced_change"], 10).withColumn("weekly_changes", F.array_join(changes, " "))
 
 
 @query("f04_ragged_edge_feature", FEATURE_SQL.replace("features", "mid_features"), "mid_features")

@@ -40,11 +40,14 @@ def query(name: str, sql: str | None = None, needs: str = ""):
     return register
 
 
-def row_sha(*fields: str) -> str:
-    """DuckDB SQL of the hash of a row's fields, each after its length, nulls marked."""
+def row_text(*fields: str) -> str:
+    """DuckDB SQL of a row's text: its fields, each after its length, nulls marked."""
     texts = (f"CAST({f} AS VARCHAR)" for f in fields)
-    return "sha256(" + " || ".join(
-        f"coalesce(CAST(length({t}) AS VARCHAR) || ':' || {t}, '~')" for t in texts) + ")"
+    return " || ".join(f"coalesce(CAST(length({t}) AS VARCHAR) || ':' || {t}, '~')" for t in texts)
+
+
+def row_sha(*fields: str) -> str:
+    return f"sha256({row_text(*fields)})"
 
 
 VIEWS: dict[str, tuple[str, str]] = {}
