@@ -81,7 +81,7 @@ def inputs_hash(
 ) -> DataFrame:
     """Hash of all strictly earlier evidence rows of the key, one per row, as a running sum."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    salt = F.concat_ws("|", F.lit(label), *[F.col(c).cast("string") for c in order])
+    salt = row_text([F.lit(label), *order])
     hashed = df.withColumn("_row_hash", row_hash(evidence))
     return hashed.withColumn(out, digest("_row_hash", w, salt)).drop("_row_hash")
 

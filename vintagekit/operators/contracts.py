@@ -30,6 +30,43 @@ def check_columns(df: DataFrame, expected: Sequence[str] | T.StructType) -> Data
     return df.sparkSession.createDataFrame(rows, "rule string, column_name string")
 
 
+def column_differences(df: DataFrame, expected: Sequence[str] | T.StructType) -> DataFrame:
+    """Missing and extra columns with the rows that hold a value in them, which a rename would lose."""
+    found = check_columns(df, expected)
+    extra = [r["column_name"] for r in found.filter("rule = 'extra'").collect()]
+    counts = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(F.col(f"`{c}`")).alias(c) for c in extra])
+    held = F.map_from_arrays(F.array(*[F.lit(c) for c in extra]).cast("array<string>"), F.array(
+        *[F.col(f"`{c}`") for c in extra]).cast("array<bigint>"))
+    return found.crossJoin(counts.select(F.col("_n").alias("row_count"), held.alias("_held"))).select(
+        "rule", "column_name", F.coalesce(F.try_element_at("_held", "column_name"), F.lit(0).cast("bigint"))
+        .alias("rows_with_value"), "row_count")
+
+
+def column_profile(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """How a table's rows fill each column of a contract, in one pass.
+
+    (column_name, kind, row_count, null_count, unconvertible_count, least, greatest): values that the
+    contract's type cannot hold are counted, and the extremes are those of converted values, as text.
+    A column that is not there is null in every row.
+    """
+    aggs, out = [F.count(F.lit(1)).alias("_n")], []
+    for i, f in enumerate(schema.fields):
+        raw = F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None).cast(f.dataType)
+        value = raw.try_cast(f.dataType)
+        aggs += [F.count_if(raw.isNull()).alias(f"_z{i}"),
+                 F.count_if(raw.isNotNull() & value.isNull()).alias(f"_b{i}")]
+        orderable = not isinstance(f.dataType, (T.ArrayType, T.MapType))
+        for name, pick in (("_lo", F.min), ("_hi", F.max)):
+            aggs.append((pick(value).cast("string") if orderable else F.max(
+                F.lit(None).cast("string"))).alias(f"{name}{i}"))
+        out.append(F.struct(
+            F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("kind"),
+            F.col("_n").alias("row_count"), F.col(f"_z{i}").alias("null_count"),
+            F.col(f"_b{i}").alias("unconvertible_count"), F.col(f"_lo{i}").alias("least"),
+            F.col(f"_hi{i}").alias("greatest")))
+    return df.agg(*aggs).select(F.inline(F.array(*out)))
+
+
 def count_rules(df: DataFrame, rules: Mapping[str, Column], by: Sequence[str] = ()) -> DataFrame:
     """Failing rows per rule in one pass. A rule is true for a good row; null counts as failing."""
     named = list(rules)

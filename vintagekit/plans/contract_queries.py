@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from vintagekit.functions import calendar as cal
 from vintagekit.functions import keys
 from vintagekit.operators import contracts as c
-from vintagekit.plans.registry import query, row_sha, view
+from vintagekit.plans.registry import query, row_sha, row_text, view
+from vintagekit.schemas import schema_for
 
 OBS = ["source", "series_id", "obs_period", "value", "unit", "release_date", "vintage_date",
        "ingested_at", "source_url", "checksum"]
@@ -20,35 +21,45 @@ def loan_rules():
     }
 
 
-@query("c01_table_columns", """
-WITH c AS (SELECT 'series_id' AS column_name, 'string' AS kind UNION ALL
-           SELECT 'obs_period', 'date' UNION ALL SELECT 'value', 'double' UNION ALL
-           SELECT 'unit', 'string' UNION ALL SELECT 'source', 'string' UNION ALL
-           SELECT 'checksum', 'string' UNION ALL SELECT 'source_url', 'string' UNION ALL
-           SELECT 'release_date', 'timestamp' UNION ALL SELECT 'vintage_date', 'date' UNION ALL
-           SELECT 'ingested_at', 'timestamp')
-SELECT column_name, kind, (SELECT count(*) FROM observations) AS row_count FROM c
-""", "observations")
+def profile_sql(columns, source):
+    """DuckDB SQL of a column profile: (name, kind, text of the column, type to convert to)."""
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS column_name, '{kind}' AS kind, count(*) AS row_count, "
+        f"count(*) FILTER ({text} IS NULL) AS null_count, count(*) FILTER ({text} IS NOT NULL AND "
+        f"try_cast({text} AS {duck}) IS NULL) AS unconvertible_count, "
+        f"CAST(min(try_cast({text} AS {duck})) AS VARCHAR) AS least, "
+        f"CAST(max(try_cast({text} AS {duck})) AS VARCHAR) AS greatest FROM {source}"
+        for name, kind, text, duck in columns)
+
+
+@query("c01_table_columns", "WITH x AS (SELECT *, CASE WHEN month(obs_period) = 3 THEN 'soon' "
+       "ELSE CAST(obs_period AS VARCHAR) END AS p, CASE WHEN month(obs_period) <> 4 THEN unit END AS u "
+       "FROM observations) " + profile_sql([
+           ("source", "string", "source", "VARCHAR"), ("series_id", "string", "series_id", "VARCHAR"),
+           ("obs_period", "date", "p", "DATE"), ("unit", "string", "u", "VARCHAR"),
+           ("release_date", "timestamp", "release_date", "TIMESTAMP"),
+           ("vintage_date", "date", "vintage_date", "DATE"),
+           ("ingested_at", "timestamp", "ingested_at", "TIMESTAMP"),
+           ("source_url", "string", "source_url", "VARCHAR"), ("checksum", "string", "checksum", "VARCHAR"),
+       ], "x"), "observations")
 def _(t):
-    from vintagekit.schemas import schema_for
-
-    schema = schema_for("raw_observations")
-    typed = t.observations.select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-    kinds = F.array(*[F.struct(F.lit(f.name).alias("column_name"),
-                               F.lit(f.dataType.simpleString()).alias("kind"))
-                      for f in typed.schema.fields])
-    return typed.agg(F.count(F.lit(1)).alias("row_count")).select("row_count", F.inline(kinds))
+    # Dates as text, a month of them unreadable, and a month without a unit.
+    month = F.month("obs_period")
+    raw = t.observations.withColumns({
+        "obs_period": F.when(month == 3, "soon").otherwise(F.col("obs_period").cast("string")),
+        "unit": F.when(month != 4, F.col("unit"))})
+    return c.column_profile(raw, schema_for("raw_observations")).filter("column_name <> 'value'")
 
 
 @query("c02_check_columns", """
-SELECT rule, column_name, (SELECT count(*) FROM lineitem) AS row_count FROM (VALUES
-  ('missing', 'l_comment'), ('extra', 'l_tax')) v(rule, column_name)
+SELECT 'missing' AS rule, 'l_comment' AS column_name, 0::BIGINT AS rows_with_value, count(*) AS row_count
+FROM lineitem UNION ALL
+SELECT 'extra', 'l_tax', count(*) FILTER (l_linenumber <> 2), count(*) FROM lineitem
 """)
 def _(t):
     want = [x for x in t.lineitem.columns if x != "l_tax"] + ["l_comment"]
-    bad = c.check_columns(t.lineitem, want)
-    return bad.withColumn("row_count", t.lineitem.agg(F.count(F.lit(1))).scalar())
+    rows = t.lineitem.withColumn("l_tax", F.when(F.col("l_linenumber") != 2, F.col("l_tax")))
+    return c.column_differences(rows, want)
 
 
 @query("c03_check_not_null", """
@@ -320,7 +331,7 @@ s AS (SELECT series_id, obs_period, count(h) OVER w AS n,
   sum(CAST('0x' || substr(h, 46, 15) AS BIGINT)) OVER w AS d FROM r
   WINDOW w AS (PARTITION BY series_id ORDER BY obs_period
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT series_id, obs_period, sha256(concat_ws('|', 'ar2|' || CAST(obs_period AS VARCHAR),
+SELECT series_id, obs_period, sha256(concat_ws('|', {row_text("'ar2'", "obs_period")},
   CAST(n AS VARCHAR), CAST(coalesce(a, 0) AS VARCHAR), CAST(coalesce(b, 0) AS VARCHAR),
   CAST(coalesce(c, 0) AS VARCHAR), CAST(coalesce(d, 0) AS VARCHAR))) AS inputs_hash FROM s
 """, "first_prints")

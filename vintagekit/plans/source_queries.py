@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vintagekit.functions import keys as k
+from vintagekit.operators import contracts as c
 from vintagekit.operators import loans as ln
 from vintagekit.plans import ledger_queries as lq
 from vintagekit.plans.attribution_queries import company_facts
@@ -668,18 +669,19 @@ def _(t):
     return out
 
 
-@query("w04_feed_schema", """
-SELECT column_name, count(*) OVER () AS column_count, (SELECT count(*) FROM preds) AS row_count
-FROM (VALUES ('prediction_id'), ('made_at'), ('model_version'), ('inputs_hash'), ('target_series'),
-  ('target_period'), ('point'), ('low80'), ('high80'), ('low95'), ('high95'), ('status')) v(column_name)
-""", "preds")
+@query("w04_feed_schema", " UNION ALL ".join(
+    f"SELECT '{name}' AS column_name, '{kind}' AS kind, count(*) AS row_count, "
+    f"count(*) FILTER ({name} IS NULL) AS null_count, CAST(min({name}) AS VARCHAR) AS least FROM preds"
+    for name, kind in (("prediction_id", "string"), ("made_at", "date"), ("model_version", "string"),
+                       ("inputs_hash", "string"), ("target_series", "string"), ("target_period", "date"),
+                       ("status", "string"))), "preds")
 def _(t):
+    # How the rows of the first version fill its documented columns; numbers are checked elsewhere.
     v1 = feeds.as_version(lq.predictions(t), "predictions", 1)
-    docs = feeds.feed_schema(t.spark, 1).filter("feed = 'predictions'")
-    held = docs.filter(F.col("column_name").isin(v1.columns)).select("column_name")
-    return held.withColumns({
-        "column_count": F.lit(len(v1.columns)).cast("bigint"),
-        "row_count": v1.agg(F.count(F.lit(1))).scalar()})
+    made = c.column_profile(v1, T.StructType([v1.schema[n] for n in v1.columns]))
+    docs = feeds.feed_schema(t.spark, 1).filter("feed = 'predictions'").select("column_name")
+    return made.join(docs, "column_name", "left_semi").filter("kind <> 'double'").select(
+        "column_name", "kind", "row_count", "null_count", "least")
 
 
 @query("w05_file_manifest", "SELECT 5::BIGINT AS file_count, true AS same_tree, count(*) AS row_count "
