@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from vintagekit.functions import keys as k
 from vintagekit.operators import pit
+from vintagekit.operators.quantiles import exact_quantile
+from vintagekit.session import materialize
 
 # Fixed values.
 MIN_DRAWS = 10_000
@@ -477,12 +479,11 @@ def sensitivity_top_k(
 
 
 def lift_headline(lifts: DataFrame) -> DataFrame:
-    """The company with the greatest (lift, ticker), beside the median lift."""
-    return lifts.agg(
-        F.max(F.struct("lift", "ticker")).alias("_top"), F.percentile("lift", 0.5)
-        .alias("median_lift"),
-    ).select(F.col("_top.ticker").alias("ticker"), F.col("_top.lift").alias("lift"),
-             "median_lift")
+    """The company with the greatest (lift, ticker), beside the exact median lift."""
+    stored = materialize(lifts.select("ticker", "lift"), "lifts")
+    return stored.agg(F.max(F.struct("lift", "ticker")).alias("_top")).select(
+        F.col("_top.ticker").alias("ticker"), F.col("_top.lift").alias("lift"),
+        F.lit(exact_quantile(stored, "lift", 0.5)).cast("double").alias("median_lift"))
 
 
 def midpoint_amounts(flows: DataFrame, matrix_a: DataFrame, matrix_b: DataFrame) -> DataFrame:

@@ -796,29 +796,54 @@ def _(t):
 META = {"methodology_version": "weights-1", "publication_mode": "preview", "license": "CC-BY-4.0"}
 
 
+view("at_used", """
+SELECT b.ticker, a.assumption_id FROM at_b b JOIN at_a a USING (category) UNION
+SELECT ticker, assumption_id FROM at_b WHERE assumption_id IS NOT NULL UNION
+SELECT ticker, share_assumption_id FROM at_companies
+""", "at_a at_b at_companies")
+
+
 @query("a27_company_feed", """
-SELECT l.ticker, round(l.mid, 6) AS mid, round(l.lift, 6) AS lift, u.n AS assumption_count,
-       '/companies/' || lower(l.ticker) || '/' AS permalink, 5 AS sensitivity_count,
+WITH q AS (SELECT ticker, quantile_cont(ratio, 0.1) AS low, quantile_cont(ratio, 0.9) AS high,
+  quantile_cont(numerator, 0.5) AS nm, quantile_cont(denominator, 0.5) AS dm FROM at_ratios GROUP BY 1),
+d AS (SELECT ticker, draw, sum(CASE WHEN tier = 1 THEN amount ELSE 0 END) AS a,
+    sum(CASE WHEN tier = 2 THEN amount ELSE 0 END) AS b,
+    sum(CASE WHEN tier = 3 THEN amount ELSE 0 END) AS c FROM at_contrib GROUP BY ALL),
+m AS (SELECT ticker, quantile_cont(a, 0.5) AS a, quantile_cont(b, 0.5) AS b,
+             quantile_cont(c, 0.5) AS c FROM d GROUP BY 1),
+s AS (SELECT u.ticker, u.assumption_id, corr(d.value, r.ratio) AS c FROM at_used u
+      JOIN at_ratios r ON r.ticker = u.ticker
+      JOIN at_draws d ON d.assumption_id = u.assumption_id AND d.draw = r.draw GROUP BY ALL),
+top AS (SELECT ticker, string_agg(assumption_id || CASE WHEN c >= 0 THEN ' increases' ELSE ' decreases' END,
+          ',' ORDER BY place) AS sensitivity
+  FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY abs(c) DESC, assumption_id) AS place FROM s)
+  WHERE place <= 5 GROUP BY 1)
+SELECT l.ticker, round(q.low, 6) AS low, round(l.mid, 6) AS mid, round(q.high, 6) AS high,
+       round(nm, 6) AS numerator_mid, round(dm, 6) AS denominator_mid,
+       round(l.baseline_mid, 6) AS baseline_mid, round(l.lift, 6) AS lift,
+       'evidence-supported' AS lift_status, round(a / (a + b + c), 6) AS tier1_share,
+       round(b / (a + b + c), 6) AS tier2_share, round(1 - a / (a + b + c) - b / (a + b + c), 6) AS tier3_share,
+       u.ids AS assumption_ids, top.sensitivity, '/companies/' || lower(l.ticker) || '/' AS permalink,
        'weights-1' AS methodology_version, 'preview' AS publication_mode, 'CC-BY-4.0' AS license
-FROM at_lift l JOIN (SELECT ticker, count(DISTINCT assumption_id) AS n FROM (
-    SELECT b.ticker, a.assumption_id FROM at_b b JOIN at_a a USING (category) UNION ALL
-    SELECT ticker, assumption_id FROM at_b WHERE assumption_id IS NOT NULL UNION ALL
-    SELECT ticker, share_assumption_id FROM at_companies) GROUP BY 1) u USING (ticker)
-""", "at_lift at_a at_b at_companies")
+FROM at_lift l JOIN q USING (ticker) JOIN m USING (ticker) JOIN top USING (ticker)
+JOIN (SELECT ticker, string_agg(assumption_id, '|' ORDER BY assumption_id) AS ids FROM at_used GROUP BY 1) u
+  USING (ticker)
+""", "at_lift at_used at_ratios at_contrib at_draws")
 def _(t):
     x = Bundle(t)
     ratios = materialize(x.ratios(), "ratios")
-    sensitivity = at.sensitivity_top_k(ratios, x.draws(),
-                                       at.used_assumptions(x.a, x.b, x.companies))
-    shares = at.tier_shares(x.contributions(x.draws()))
+    used = at.used_assumptions(x.a, x.b, x.companies)
     feed = at.company_feed(
-        at.company_bands(ratios), at.baseline_and_lift(ratios, x.b, BROAD), shares,
-        at.used_assumptions(x.a, x.b, x.companies), sensitivity, META)
-    count = F.size(F.from_json("sensitivity", "array<struct<assumption_id string>>"))
-    return rounded(feed, ["mid", "lift"]).select(
-        "ticker", "mid", "lift",
-        F.size(F.split("assumption_ids", "[|]")).cast("bigint").alias("assumption_count"),
-        "permalink", count.alias("sensitivity_count"), *META)
+        at.company_bands(ratios), at.baseline_and_lift(ratios, x.b, BROAD),
+        at.tier_shares(x.contributions(x.draws())), used,
+        at.sensitivity_top_k(ratios, x.draws(), used), META)
+    # Correlations are compared in a09; here their order and direction.
+    read = F.from_json("sensitivity", "array<struct<assumption_id string, absolute_correlation double, "
+                       "direction string>>")
+    text = F.array_join(F.transform(read, lambda r: F.concat_ws(
+        " ", r["assumption_id"], r["direction"])), ",")
+    return rounded(feed, [c for c in feed.columns if feed.schema[c].dataType.typeName() == "double"]
+                   ).withColumn("sensitivity", text)
 
 
 @query("a27_assumption_feed", """

@@ -614,8 +614,8 @@ def _(t):
         F.when(F.col("name") != "error", "08:30").alias("clock"))
     holidays = t.events.select(F.to_date("ts").alias("day")).filter(
         "day = date'2024-01-12'").distinct()
-    span = t.events.agg(F.min(F.to_date("ts")).alias("a"), F.max(F.to_date("ts")).alias("b")).first()
-    return rt.release_calendar(t.spark, span["a"], span["b"], announced, holidays)
+    first, last = (t.events.agg(f(F.to_date("ts"))).scalar() for f in (F.min, F.max))
+    return rt.release_calendar(t.spark, first, last, announced, holidays)
 
 
 # ---- sinks ----------------------------------------------------------------------------------

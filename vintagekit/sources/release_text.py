@@ -102,17 +102,19 @@ def discover_by_pattern(
 
 
 def release_calendar(
-    spark: SparkSession, start: date | str, end: date | str, announced: DataFrame,
+    spark: SparkSession, start: date | str | Column, end: date | str | Column, announced: DataFrame,
     holidays: DataFrame, weekly_name: str = "Weekly", weekly_clock: str = "16:15",
 ) -> DataFrame:
     """Expected releases in a window, times in UTC; what is unknown is an explicit blocked row.
 
     `announced` holds name, month, release_date (null while unknown), clock (null if only the day
-    is known). The weekly release is on Fridays, on the Thursday before a holiday Friday.
+    is known). The weekly release is on Fridays, on the Thursday before a holiday Friday. The window's
+    ends may be scalar subqueries.
     """
-    days = F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))
-    fridays = spark.range(1).select(
-        F.explode(F.filter(days, lambda d: F.weekday(d) == 4)).alias("friday"))
+    first, last = (d if isinstance(d, Column) else F.lit(d).cast("date") for d in (start, end))
+    span = spark.range(1).select(first.alias("_a"), last.alias("_z"))
+    fridays = span.select(F.explode(F.filter(
+        F.sequence("_a", "_z"), lambda d: F.weekday(d) == 4)).alias("friday"))
     off = holidays.select(F.col("day").alias("friday"), F.lit(True).alias("_off")).distinct()
     moved = F.when(F.col("_off"), F.date_sub("friday", 1)).otherwise(F.col("friday"))
     weekly = fridays.join(off, "friday", "left").select(
@@ -125,7 +127,7 @@ def release_calendar(
         F.concat(F.col("release_date").cast("string"), F.lit(" "), F.col("clock")),
         F.lit("yyyy-MM-dd HH:mm"))
     fixed = announced.filter(cal.month_end("month").between(
-        F.last_day(F.lit(start).cast("date")), F.last_day(F.lit(end).cast("date")))).select(
+        F.last_day(first), F.last_day(last))).select(
         F.concat("name", F.lit(" "), F.date_format("month", "yyyy-MM")).alias("release_name"),
         F.when(known, F.convert_timezone(F.lit(EASTERN), F.lit("UTC"), local))
         .alias("expected_at"),
