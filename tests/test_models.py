@@ -166,3 +166,49 @@ def test_evaluate_and_comparability(spark):
     short = ev.check_comparable(f.filter(F.col("point") < 5), h, ENDS[1], ["m", "n"])
     assert {(r.model, r.problem, r.row_count) for r in short.collect()} == {
         ("m", "missing period", 1), ("n", "missing period", 3)}
+
+
+def calibration_frames(spark, n=40):
+    h = spark.createDataFrame(
+        [("s", ENDS[i], float((i * 7) % 11), ENDS[i] + dt.timedelta(days=40), f"https://x/{i}") for i in range(n)],
+        "series_id string, obs_period date, value double, release_date date, source_url string")
+    p = spark.createDataFrame(
+        [("p", "s", ENDS[n - 1], ENDS[n - 1], 3.0, 2.0, 4.0, 1.0, 5.0)],
+        "prediction_id string, target_series string, target_period date, made_at date, point double, "
+        "low80 double, high80 double, low95 double, high95 double")
+    value = float(((n - 1) * 7) % 11)
+    g = spark.createDataFrame([("p", value, f"https://x/{n - 1}", abs(3.0 - value))],
+                              "prediction_id string, actual_first_print double, vintage_url string, "
+                              "abs_error double")
+    return p, g, h, spark.createDataFrame([("s", fc.AR2)], "series_id string, model string")
+
+
+def test_calibration_rules(spark):
+    p, g, h, best = calibration_frames(spark)
+
+    def problem(*frames):
+        rows = ev.live_calibration(*frames).collect()
+        assert len(rows) == 1
+        return rows[0].problem
+
+    assert problem(p, g, h, best) is None
+    assert problem(p.union(p), g, h, best) == "prediction repeated"
+    assert problem(p, g.withColumn("vintage_url", F.lit("https://y")), h, best) == "vintage differs"
+    assert problem(p, g, h.union(h), best) == "first print repeated"
+    assert problem(p, g, h.withColumn("value", F.col("value") + 1), best) == "first print differs"
+    assert problem(p, g, h, best.limit(0)) == "no comparator"
+    assert problem(p.limit(0), g, h, best) == "no prediction"
+
+
+def test_scheduled_series_step_from_the_calendar(spark):
+    p, g, h, best = calibration_frames(spark)
+    a = ev.live_calibration(p, g, h, best).first()
+    b = ev.live_calibration(p, g, h, best, scheduled=["s"]).first()
+    # The month before the target is not out when the prediction is made.
+    assert a.problem is None and b.problem == "comparator unavailable"
+    early = h.withColumn("release_date", F.col("obs_period"))
+    late = early.filter(F.col("obs_period") < F.lit(ENDS[39])).union(
+        h.filter(F.col("obs_period") == F.lit(ENDS[39])))
+    a = ev.live_calibration(p, g, late, best).first()
+    b = ev.live_calibration(p, g, late, best, scheduled=["s"]).first()
+    assert a.naive_point == pytest.approx(b.naive_point)

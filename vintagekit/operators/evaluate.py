@@ -185,30 +185,42 @@ def best_naive(metrics: DataFrame, naive: Sequence[str], series: str = "series_i
 
 def live_calibration(
     predictions: DataFrame, grades: DataFrame, history: DataFrame, best: DataFrame,
-    min_history: int = 3,
+    min_history: int = 3, scheduled: Sequence[str] = (),
 ) -> DataFrame:
     """Per grade: inside the bands, the error, and the best naive forecast made with what was known.
 
-    `history` holds series_id, obs_period, value, release_date; `best` holds series_id, model. The
-    naive point uses only months before the target whose release was out when the prediction was
-    made. Broken relations come out in `problem`; none is dropped.
+    `history` holds series_id, obs_period, value, release_date, and source_url where grades name their
+    vintage; `best` holds series_id, model. The naive point uses only months before the target whose
+    release was out when the prediction was made; AR(2) steps from the months before the target for
+    `scheduled` series, else from the last two known ones. Broken relations come out in `problem`, one
+    row per grade; none is dropped, and a prediction or a first print that stands twice is a problem.
     """
-    p = predictions.withColumnRenamed("target_series", "series_id")
-    g = grades.join(p, "prediction_id", "left")
-    actual = history.select("series_id", F.col("obs_period").alias("target_period"),
-                            F.col("value").alias("_actual"), F.col("release_date").alias("_rel"))
+    one = predictions.withColumnRenamed("target_series", "series_id").groupBy("prediction_id").agg(
+        F.count(F.lit(1)).alias("_predictions"), *[F.any_value(c).alias(c) for c in (
+            "series_id", "target_period", "made_at", "point", "low80", "high80", "low95", "high95")])
+    g = grades.join(one, "prediction_id", "left")
+    url = F.col("source_url") if "source_url" in history.columns else F.lit(None).cast("string")
+    first = F.min(F.struct("release_date", "value", url.alias("url")))
+    actual = history.groupBy("series_id", F.col("obs_period").alias("target_period")).agg(
+        F.count(F.lit(1)).alias("_prints"), first.alias("_first")).select(
+        "series_id", "target_period", "_prints", F.col("_first.value").alias("_actual"),
+        F.col("_first.release_date").alias("_rel"), F.col("_first.url").alias("_url"))
     rows = g.join(actual, ["series_id", "target_period"], "left").join(
         best.select("series_id", F.col("model").alias("naive_model")), "series_id", "left")
-    naive = naive_at(rows, history, min_history)
+    naive = naive_at(rows.filter("made_at is not null"), history, min_history)
     rows = rows.join(naive, ["series_id", "target_period", "made_at"], "left")
+    ar2 = F.when(F.col("series_id").isin(list(scheduled)), F.col("_ar2_calendar")).otherwise(F.col("_ar2"))
     point = F.when(F.col("naive_model") == fc.RANDOM_WALK, F.col("_walk")).when(
-        F.col("naive_model") == fc.SEASONAL, F.col("_season")).when(
-        F.col("naive_model") == fc.AR2, F.col("_ar2"))
+        F.col("naive_model") == fc.SEASONAL, F.col("_season")).when(F.col("naive_model") == fc.AR2, ar2)
     a = F.col("actual_first_print")
+    named = F.col("vintage_url") if "vintage_url" in grades.columns else F.lit(None).cast("string")
     problem = (
-        F.when(F.col("made_at").isNull(), "no prediction")
-        .when(F.col("_actual").isNull(), "no first print")
+        F.when(F.col("_predictions").isNull(), "no prediction")
+        .when(F.col("_predictions") > 1, "prediction repeated")
+        .when(F.col("_prints").isNull(), "no first print")
+        .when(F.col("_prints") > 1, "first print repeated")
         .when(F.abs(F.col("_actual") - a) > TOLERANCE, "first print differs")
+        .when(F.col("_url").isNotNull() & ~F.col("_url").eqNullSafe(named), "vintage differs")
         .when(F.col("_rel") <= F.col("made_at"), "already released")
         .when(F.abs(F.abs(F.col("point") - a) - F.col("abs_error")) > TOLERANCE, "error differs")
         .when(F.col("naive_model").isNull(), "no comparator")
@@ -224,13 +236,13 @@ def live_calibration(
 
 
 def naive_at(
-    asked: DataFrame, history: DataFrame, min_history: int = 3, calendar_lags: bool = False
+    asked: DataFrame, history: DataFrame, min_history: int = 3
 ) -> DataFrame:
     """Random walk, seasonal and AR(2) points per (series, target, made_at), as known when made.
 
     Each distinct question meets the earlier months of its series once; the fit is a plain
-    aggregate. AR(2) steps from the last two known months, or with `calendar_lags` from the two
-    months before the target.
+    aggregate. `_ar2` steps from the last two known months, `_ar2_calendar` from the two months before
+    the target, which must be known.
     """
     key = ["series_id", "target_period", "made_at"]
     h = history.select("series_id", "obs_period", F.col("value").cast("double").alias("_v"),
@@ -254,14 +266,11 @@ def naive_at(
         return F.sum(F.when(ok, e)).alias(name)
 
     back = F.months_between("target_period", "obs_period", False)
-    if calendar_lags:
-        p1, p2 = F.max(F.when(back == 1, y)), F.max(F.when(back == 2, y))
-    else:
-        p1 = F.max_by("_v", "obs_period")
-        p2 = F.max_by(F.when(lag_known, x1), F.col("obs_period"))
     sums = known.groupBy(*key).agg(
         F.max_by("_v", "obs_period").alias("_walk"),
-        F.max(F.when(back == 12, y)).alias("_season"), p1.alias("_p1"), p2.alias("_p2"),
+        F.max(F.when(back == 12, y)).alias("_season"), F.max_by("_v", "obs_period").alias("_p1"),
+        F.max_by(F.when(lag_known, x1), F.col("obs_period")).alias("_p2"),
+        F.max(F.when(back == 1, y)).alias("_c1"), F.max(F.when(back == 2, y)).alias("_c2"),
         F.count(F.lit(1)).alias("_months"),
         F.count(F.when(ok, 1)).alias("_n"), s(x1, "_sa"), s(x2, "_sb"), s(y, "_sy"),
         s(x1 * x1, "_saa"), s(x2 * x2, "_sbb"), s(x1 * x2, "_sab"), s(x1 * y, "_say"),
@@ -274,9 +283,11 @@ def naive_at(
     say, sby = c("_say") - c("_sa") * c("_sy") / n, c("_sby") - c("_sb") * c("_sy") / n
     det = saa * sbb - sab * sab
     b1, b2 = (say * sbb - sby * sab) / det, (sby * saa - say * sab) / det
-    fit = (c("_sy") - b1 * c("_sa") - b2 * c("_sb")) / n + b1 * c("_p1") + b2 * c("_p2")
+    level = (c("_sy") - b1 * c("_sa") - b2 * c("_sb")) / n
     enough = (n >= 3) & (c("_months") >= min_history) & (det > saa * sbb * 1e-12)
-    return sums.select(*key, "_walk", "_season", F.when(enough, fit).alias("_ar2"))
+    return sums.select(
+        *key, "_walk", "_season", F.when(enough, level + b1 * c("_p1") + b2 * c("_p2")).alias("_ar2"),
+        F.when(enough, level + b1 * c("_c1") + b2 * c("_c2")).alias("_ar2_calendar"))
 
 
 def calibration_by_series(comparisons: DataFrame, series: DataFrame) -> DataFrame:

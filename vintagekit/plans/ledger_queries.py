@@ -332,6 +332,27 @@ def _(t):
     return rounded(out, ["abs_error"], 6)
 
 
+@query("e07_calibration_problems", """
+SELECT prediction_id, CASE month(target_period) WHEN 1 THEN 'prediction repeated'
+  WHEN 2 THEN 'first print repeated' WHEN 3 THEN 'vintage differs' WHEN 4 THEN 'first print differs'
+  WHEN 5 THEN 'error differs' WHEN 6 THEN 'no prediction' END AS problem
+FROM grades WHERE month(target_period) <= 6
+""", "grades")
+def _(t):
+    # A fault on purpose in the rows of every month from January to June.
+    month, p, g = F.month("target_period"), predictions(t), t.once("grades", lambda: grades(t))
+    p = p.filter(month != 6).unionByName(p.filter(month == 1))
+    periods = predictions(t).select("prediction_id", "target_period")
+    g = g.join(periods, "prediction_id").withColumns({
+        "vintage_url": F.when(month == 3, "https://data.example/other").otherwise(F.col("vintage_url")),
+        "actual_first_print": F.col("actual_first_print") + F.when(month == 4, 1.0).otherwise(0.0),
+        "abs_error": F.col("abs_error") + F.when(month == 5, 1.0).otherwise(0.0)}).drop("target_period")
+    h = flows(t).unionByName(flows(t).filter(F.month("obs_period") == 2).withColumn(
+        "release_date", F.date_add("release_date", 9)))
+    return ev.live_calibration(p, g, h, naive(t)).filter("problem is not null").select(
+        "prediction_id", "problem")
+
+
 @query("e08_calibration_by_series", """
 SELECT s.series_id, count(prediction_id) AS graded_count,
        count(*) FILTER (inside80) AS inside80_count, count(*) FILTER (inside95) AS inside95_count,
