@@ -12,8 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import ODD, frame
-from vintagekit.llm import mixing, search, toxicity, trie, windows
-from vintagekit.llm.common import bounded_sample
+from tests.llm.test_brute_force import SF
+from vintagekit.llm import langid, mixing, queries, recurrent, search, toxicity, trie, windows
+from vintagekit.llm.common import bounded_sample, documents
 
 CONVERSATIONS = "conv_id long, turn int, role string, text string, depth string, _conv string"
 
@@ -286,3 +287,80 @@ def test_toxicity_without_usable_labels(spark, odd):
         model = toxicity.fit(toxicity.labelled_sample(clash, table), rows=None)
         got = toxicity.score(clash, model).collect()
         assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_language_by_plain_backoff(spark):
+    """Every prediction and score again, from dictionaries and loops."""
+    docs = {r["doc_id"]: (r["text"], r["lang"]) for r in documents(spark, SF).collect()}
+    counts = [defaultdict(Counter) for _ in range(6)]
+    for i, (text, lang) in docs.items():
+        if zlib.crc32(str(i).encode()) % 3 != 1 and text is not None and lang is not None:
+            for w in langid.LETTERS.findall(text.lower()):
+                counts[0][w][lang] += 1
+                for n in range(1, 6):
+                    for at in range(len(w) + 3 - n):
+                        counts[n][f"<{w}>"[at:at + n]][lang] += 1
+    langs = sorted({x for c in counts[0].values() for x in c})
+    logs = []
+    for n, table in enumerate(counts):
+        most = langid.GRAMS_KEPT if n else langid.WORDS_KEPT
+        kept = sorted(table, key=lambda g: (-sum(table[g].values()), g))[:most]
+        total = {x: sum(table[g][x] + 0.5 for g in kept) + 0.5 for x in langs}
+        logs.append({g: [math.log((table[g][x] + 0.5) / total[x]) for x in langs] for g in kept})
+
+    def word(w):
+        if w in logs[0]:
+            return logs[0][w]
+        for n in range(5, 0, -1):
+            known = [logs[n][g] for g in langid.grams(w, n) if g in logs[n]]
+            if known:
+                return [sum(k[j] for k in known) / len(known) for j in range(len(langs))]
+        return [0.0] * len(langs)
+
+    for r in queries.op3_language_id(spark, SF).collect():
+        text = docs[r["doc_id"]][0]
+        words = langid.LETTERS.findall((text or "").lower())
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+        if not words:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        found = [word(w) for w in words]
+        mean = [sum(f[j] for f in found) / len(found) for j in range(len(langs))]
+        best = max(range(len(langs)), key=lambda j: mean[j])
+        share = sum(math.exp((m - mean[best]) * math.sqrt(len(words))) for m in mean)
+        assert r["lang_pred"] == langs[best] and r["score"] == pytest.approx(1 / share, rel=1e-6)
+
+
+def test_toxicity_scores_by_loops():
+    """The pooled filters of a text, word by word, against the gathered table rows."""
+    rng = np.random.default_rng(3)
+    model = toxicity.Model.new(5)
+    docs = [toxicity.hashed(" ".join(f"w{x}" for x in rng.integers(0, 40, n))) for n in (0, 1, 2, 17, 60)]
+    got = model.scores(docs, model.tables())
+    for doc, p in zip(docs, got, strict=True):
+        rows = toxicity.rows_of(doc)
+        words = [sum(model.embeddings[t][rows[t][i]] for t in rows) for i in range(len(doc))]
+        words += [np.zeros(toxicity.DIM)] * (2 * max(toxicity.WIDTHS))
+        pooled = []
+        for w in toxicity.WIDTHS:
+            every = [sum(words[i + j] @ model.filters[w][j] for j in range(w))
+                     for i in range(len(doc) + max(toxicity.WIDTHS))]
+            pooled.append(np.max(every, axis=0))
+        h = np.maximum(np.concatenate(pooled) + model.bias, 0)
+        assert p == pytest.approx(1 / (1 + math.exp(-(h @ model.out + model.out_bias))), rel=1e-4)
+
+
+def test_network_scores_word_by_word():
+    """Windows, texts side by side and carried states against one word after another."""
+    rng = np.random.default_rng(8)
+    net = recurrent.Network.new(recurrent.Counts(50, 3, {b"": 20, b"a": 20, b"b": 10}))
+    for k in net.p:
+        net.p[k] = (net.p[k] + rng.standard_normal(net.p[k].shape) * 0.1).astype(np.float32)
+    texts = [rng.integers(0, 1600, n) for n in (1, 2, 33, 70, 64, 5)]
+    for text, got in zip(texts, net.score(texts), strict=True):
+        h, total, before = np.zeros((1, recurrent.HIDDEN), np.float32), 0.0, 0
+        for x in text:
+            h = net.step(net.p["e"][[before]] @ net.p["wx"] + net.p["b"], h)[4]
+            total += float(net.log_likelihood(h, np.array([x]))[0])
+            before = x
+        assert got == pytest.approx(total / math.log(10), rel=1e-4)

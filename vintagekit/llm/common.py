@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vintagekit.session import materialize
+
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -45,13 +47,15 @@ def bounded_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
     """At most `rows` rows, the ones whose id hashes lowest; an id's rows are in or out together.
 
     The cut is found from counts of rows by twelve bits of the hash, then by the next twelve within
-    the step at the cut, and so on, so that only counts reach the driver.
+    the step at the cut, and so on, so that only counts reach the driver. The hashes are written once,
+    as the rows may come from a long scan.
     """
-    key = F.xxhash64(F.col(id_col).cast("string"))
+    hashed = F.xxhash64(F.col(id_col).cast("string"))
+    keys, key = materialize(df.select(hashed.alias("h")), "keys"), F.col("h")
     edge, within, taken = -(1 << 63), F.lit(True), 0
     for shift in (52, 40, 28, 16, 4):
         step = F.shiftright(key, shift)
-        counts = {r["s"]: r["count"] for r in df.where(within).groupBy(step.alias("s")).count().collect()}
+        counts = {r["s"]: r["count"] for r in keys.where(within).groupBy(step.alias("s")).count().collect()}
         for s in sorted(counts):
             if taken + counts[s] > rows:
                 edge, within = s << shift, step == s
@@ -60,4 +64,4 @@ def bounded_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
         else:
             edge = (max(counts) + 1) << shift if counts else edge
             break
-    return df.where(key < F.lit(edge)) if edge < 1 << 63 else df
+    return df.where(hashed < F.lit(edge)) if edge < 1 << 63 else df

@@ -33,7 +33,8 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = langid.fit(docs.where(fold("doc_id", 3) != 1))
-    return langid.predict(docs, model).withColumn("held_out", fold("doc_id", 3) == 1)
+    return langid.predict(docs, model).withColumn(
+        "held_out", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)))
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +59,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold("doc_id", 5) != 0)
     model = toxicity.fit(toxicity.labelled_sample(docs, labels), rows=None)
     return toxicity.score(docs, model).select(
-        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score",
+        "doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -69,6 +69,14 @@ def laid_out(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return hashes, real, starts
 
 
+def kept_apart(z: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Windows that begin in a text's pads and would reach into the next text see nothing."""
+    stops = np.append(starts[1:], len(z))
+    for k in range(1, width):
+        z[stops - k] = 0
+    return z
+
+
 @dataclass
 class Model:
     embeddings: dict[str, np.ndarray]
@@ -112,7 +120,7 @@ class Model:
             for k in range(w):
                 z[:len(z) - k] += every[k:, column:column + FILTERS]
                 column += FILTERS
-            pooled.append(np.maximum.reduceat(z, starts, axis=0))
+            pooled.append(np.maximum.reduceat(kept_apart(z, starts, w), starts, axis=0))
         h = np.maximum(np.hstack(pooled) + self.bias, 0)
         return 1 / (1 + np.exp(-(h.astype(np.float64) @ self.out + self.out_bias)))
 
@@ -147,6 +155,7 @@ class Fitter:
             z = np.zeros((len(hashes), FILTERS), np.float32)
             for k in range(w):
                 z[:len(z) - k] += e[k:] @ m.filters[w][k]
+            kept_apart(z, starts, w)
             at = np.stack([a + z[a:b].argmax(axis=0) for a, b in zip(starts.tolist(), stops, strict=True)])
             places.append(at)
             pooled.append(np.take_along_axis(z, at, axis=0))
