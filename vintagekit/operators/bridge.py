@@ -119,7 +119,7 @@ def _times(column: dict[str, str], other: dict[str, str]) -> str:
     return " + ".join(f"{x} * {z} * {product(a, b)}" for a, x in column.items() for b, z in other.items())
 
 
-def _array(parts: Sequence[str]) -> str:
+def sql_array(parts: Sequence[str]) -> str:
     return f"array({', '.join(parts)})"
 
 
@@ -158,8 +158,8 @@ def ridge_bridge(
 
     months = [[" + ".join(f"{x} * _m{m}_{a}" for a, x in column.items()) for m in range(2, 13)]
               for column in DESIGN]
-    gram = [_array([*[_times(a, b) for b in DESIGN], *months[i]]) for i, a in enumerate(DESIGN)] + [
-        _array([*[of[m - 2] for of in months],
+    gram = [sql_array([*[_times(a, b) for b in DESIGN], *months[i]]) for i, a in enumerate(DESIGN)] + [
+        sql_array([*[of[m - 2] for of in months],
                 *[f"_m{m}_one" if other == m else "0D" for other in range(2, 13)]])
         for m in range(2, 13)]
     target = [_times(column, {"y": "1D"}) for column in DESIGN] + [f"_m{m}_y" for m in range(2, 13)]
@@ -167,7 +167,7 @@ def ridge_bridge(
         f"CAST(_month = {m} AS DOUBLE)" for m in range(2, 13)]
     laid = moments.selectExpr(
         f"`{series}`", f"`{period}`", "_hash", "CAST(_s_one_one AS INT) AS training_months", "_level",
-        "_s_y_y AS _yy", f"{_array(gram)} AS _gram", f"{_array(target)} AS _xy", f"{_array(ahead)} AS _x")
+        "_s_y_y AS _yy", f"{sql_array(gram)} AS _gram", f"{sql_array(target)} AS _xy", f"{sql_array(ahead)} AS _x")
     full = F.transform("_gram", lambda row, i: F.concat(
         F.transform(row, lambda v, j: F.when((i == j) & (i > 0), v + alpha).otherwise(v)),
         F.array(F.get("_xy", i), F.get("_x", i))))

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from vintagekit.functions import calendar as cal
 from vintagekit.operators import features as feat
 from vintagekit.operators import pit
-from vintagekit.operators.bridge import MIN_MONTHS, RIDGE, RIDGE_ALPHA, Z80, Z95, ridge_bridge
-from vintagekit.operators.state_space import KALMAN, kalman_nowcast
+from vintagekit.operators.bridge import (  # noqa: F401  (offered here with the other models)
+    MIN_MONTHS, RIDGE, RIDGE_ALPHA, Z80, Z95, ridge_bridge,
+)
+from vintagekit.operators.state_space import KALMAN, kalman_nowcast  # noqa: F401
 
 # Fixed values.
 MIN_BASELINE_MONTHS = 24

@@ -18,7 +18,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vintagekit.operators.bridge import MIN_MONTHS, Z80, Z95, _array, solved
+from vintagekit.operators.bridge import MIN_MONTHS, Z80, Z95, solved, sql_array
 from vintagekit.operators.features import FLAT
 
 # Fixed values.
@@ -103,8 +103,8 @@ def _transition(df: DataFrame) -> DataFrame:
         gram.append([f"s_n_{m}", months_l[i], *[f"s_n_{m}" if o == m else "0D" for o in MONTHS]])
     target = [z_y, "(s_ly - ym * (s_l + s_y1) + s_n1 * ym * ym) / (ys * ys)",
               *[f"(s_y_{m} - ym * s_n_{m}) / ys" for m in MONTHS]]
-    df = df.selectExpr("*", f"{_array([_array(row) for row in gram])} AS _gram",
-                       f"{_array(target)} AS _xy",
+    df = df.selectExpr("*", f"{sql_array([sql_array(row) for row in gram])} AS _gram",
+                       f"{sql_array(target)} AS _xy",
                        "(s_yy1 - 2 * ym * s_y1 + s_n1 * ym * ym) / (ys * ys) AS _zz")
     size = len(gram)
     full = F.transform("_gram", lambda row, i: F.concat(

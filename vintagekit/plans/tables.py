@@ -8,7 +8,6 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintagekit.functions import calendar as cal
 from vintagekit.functions import keys
 from vintagekit.operators import pit
 from vintagekit.session import materialize
