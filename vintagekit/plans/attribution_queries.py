@@ -10,7 +10,7 @@ from vintagekit.operators import attribution as at
 from vintagekit.operators import pit
 from vintagekit.plans.model_queries import rounded
 from vintagekit.plans.registry import query, view
-from vintagekit.plans.tables import cents
+from vintagekit.plans.tables import cents, to_places
 from vintagekit.session import materialize
 
 BROAD = ["HOUSEHOLD", "MACHINERY"]
@@ -45,9 +45,9 @@ class Bundle:
             per_nation(t, F.col("o_orderpriority").alias("product")).groupBy(
                 "product", "category", "ticker", "c_nationkey").agg(F.sum("c").alias("c")),
             "amounts")
-        tenth = [F.round(mid * 0.9, 9).alias("low"), mid, F.round(mid * 1.1, 9).alias("high")]
+        tenth = [to_places(mid * 0.9, 9).alias("low"), mid, to_places(mid * 1.1, 9).alias("high")]
         self.flows = oc.groupBy("product").agg(F.sum("c").alias("c")).select(
-            "product", F.lit("2001-Q3").alias("quarter"), F.round(F.col("c") / 1e8, 6).alias("mid")
+            "product", F.lit("2001-Q3").alias("quarter"), to_places(F.col("c") / 1e8, 6).alias("mid")
         ).select("product", "quarter", *tenth)
         w = Window.partitionBy("product")
         pc = oc.groupBy("product", "category").agg(F.sum("c").alias("c"))
@@ -55,22 +55,22 @@ class Bundle:
             F.col("category").isin("BUILDING", "FURNITURE"), 2).otherwise(3)
         self.a = pc.select(
             "product", "category", tier.alias("tier"),
-            F.round(F.col("c") * 0.8 / F.sum("c").over(w), 9).alias("mid"),
+            to_places(F.col("c") * 0.8 / F.sum("c").over(w), 9).alias("mid"),
             F.concat(F.lit("A:"), "product", F.lit("/"), "category").alias("assumption_id"),
         ).select("product", "category", "tier", *tenth, "assumption_id")
         ct = oc.groupBy("category", "ticker").agg(F.sum("c").alias("c"))
         weights = at.normalized_weights(ct, "ticker", "c", ["category"])
         moving = F.col("category") == "FURNITURE"
         weights = weights.withColumn(
-            "mid", F.when(moving, F.round(F.col("weight") * 0.8, 9)).otherwise(F.col("weight")))
+            "mid", F.when(moving, to_places(F.col("weight") * 0.8, 9)).otherwise(F.col("weight")))
         self.b = materialize(weights.select(
-            "category", "ticker", F.when(moving, F.round(mid * 0.9, 9)).otherwise(mid).alias("low"),
-            "mid", F.when(moving, F.round(mid * 1.1, 9)).otherwise(mid).alias("high"),
+            "category", "ticker", F.when(moving, to_places(mid * 0.9, 9)).otherwise(mid).alias("low"),
+            "mid", F.when(moving, to_places(mid * 1.1, 9)).otherwise(mid).alias("high"),
             F.when(moving, F.concat(F.lit("B:"), "category", F.lit("/"), "ticker"))
             .alias("assumption_id")), "matrix_b")
         self.companies = oc.groupBy("ticker", "c_nationkey").agg(F.sum("c").alias("c")).select(
             "ticker", F.concat(F.lit("Nation "), "ticker").alias("company_name"), "c_nationkey",
-            F.round(F.col("c") / 1e8, 6).alias("revenue_millions"),
+            to_places(F.col("c") / 1e8, 6).alias("revenue_millions"),
             F.concat(F.lit("S:"), "ticker").alias("share_assumption_id"))
         share = self.companies.select(
             F.col("share_assumption_id").alias("assumption_id"),

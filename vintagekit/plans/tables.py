@@ -17,6 +17,14 @@ def cents(c: str) -> Column:
     return F.round(F.col(c) * 100).cast("bigint")
 
 
+def to_places(c: Column, places: int) -> Column:
+    """The double nearest to the product with the power of ten, rounded half away from zero.
+
+    SQL's round of a double: a product on a tie in binary goes up, whatever its shortest digits say.
+    """
+    return F.round(c * 10.0**places) / 10.0**places
+
+
 class Tables:
     """Readers for one folder; each view is built once per query."""
 
