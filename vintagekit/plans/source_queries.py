@@ -149,11 +149,11 @@ def _(t):
                              "assetTypeNumber": F.lit("sequential")})
     tags = [F.col(name).alias(tag) for tag, name in xs.TAPE_TAGS.items()]
     path = scratch_path(t.spark, "tape")
-    rows.select("assetTypeNumber", *tags, "trust_id").write.partitionBy("trust_id").format(
-        "xml").option("rowTag", "assets").option("rootTag", "assetData").option(
-        "compression", "gzip").save(path)
-    tape_rows = xs.read_loan_tape(t.spark, path).withColumn(
-        "trust_id", F.regexp_extract("source_file", r"trust_id=(\d+)", 1).cast("bigint"))
+    # Files hold many trusts, each asset its own: a file a trust and task made millions of small ones.
+    xs.write_xml(rows.select("assetTypeNumber", *tags, F.col("trust_id").alias("trustNumber")),
+                 path, "assets", "assetData", "gzip")
+    tape_rows = xs.read_loan_tape(t.spark, path, more={"trustNumber": "trust_id"}).withColumn(
+        "trust_id", F.col("trust_id").cast("bigint"))
     out = ln.loan_aggregate(tape_rows, KEYS)
     return out.withColumns({f.name: F.col(f.name).cast("double") for f in out.schema.fields
                             if f.dataType.typeName() == "decimal"})
@@ -177,7 +177,7 @@ def _(t):
         F.when(no == 4, F.lit("-1")).otherwise(q).alias("recoveredAmount"),
         F.when(no == 5, "maybe").otherwise("true").alias("assetAddedIndicator"))
     path = scratch_path(t.spark, "bad_tape")
-    rows.write.format("xml").option("rowTag", "assets").option("rootTag", "assetData").save(path)
+    xs.write_xml(rows, path, "assets", "assetData")
     return xs.bad_tape_values(t.spark, path)
 
 
@@ -187,10 +187,10 @@ FROM part GROUP BY ALL HAVING count(*) > 1
 """)
 def _(t):
     path = scratch_path(t.spark, "holdings")
-    t.part.select(
+    xs.write_xml(t.part.select(
         F.col("p_name").alias("name"), F.concat(F.lit("LEI"), "p_partkey").alias("lei"),
         F.lpad(F.col("p_size").cast("string"), 9, "0").alias("cusip"),
-    ).write.format("xml").option("rowTag", "invstOrSec").option("rootTag", "invstOrSecs").save(path)
+    ), path, "invstOrSec", "invstOrSecs")
     return xs.repeated_holdings(xs.read_fund_holdings(t.spark, path))
 
 

@@ -1,8 +1,11 @@
-"""XML readers on Spark's own XML source; gzip is read as it is, one task per file."""
+"""XML readers on Spark's own XML source, which reads a file in one task, gzip or not.
+
+So what is written here as XML is cut into files of `FILE_ROWS` rows.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,7 @@ TAPE_TAGS = {
     "assetAddedIndicator": "added",
     "recoveredAmount": "recovered",
 }
+FILE_ROWS = 100_000
 DATES, TERMS, TEXTS = ("period_start", "period_end"), ("original_term", "remaining_term"), (
     "asset_number", "added")
 SERIES_ATTRIBUTES = ("SERIES_NAME", "FREQ", "UNIT", "UNIT_MULT", "CURRENCY", "SA")
@@ -36,14 +40,24 @@ def _xml(spark: SparkSession, path: str, row_tag: str, schema: T.StructType) ->
             .schema(schema).load(path))
 
 
+def write_xml(rows: DataFrame, path: str, row_tag: str, root_tag: str, compression: str = "none") -> None:
+    """One element a row, in files of `FILE_ROWS` rows at most, so that no reader's task grows."""
+    rows.write.format("xml").option("rowTag", row_tag).option("rootTag", root_tag).option(
+        "compression", compression).option("maxRecordsPerFile", FILE_ROWS).save(path)
+
+
 def read_loan_tape(
-    spark: SparkSession, path: str, row_tag: str = "assets", spread: int | None = None
+    spark: SparkSession, path: str, row_tag: str = "assets", spread: int | None = None,
+    more: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """One row per asset; an absent tag is null. `source_file` tells tapes apart.
 
-    A gzip file is one task, so `spread` deals the rows out again before heavy work.
+    A gzip file is one task, so `spread` deals the rows out again before heavy work. `more`: tags that
+    a tape has besides, and the names they get as texts (the trust of each asset, say, in files that
+    hold many trusts).
     """
-    raw = _xml(spark, path, row_tag, string_schema(list(TAPE_TAGS)))
+    more = dict(more or {})
+    raw = _xml(spark, path, row_tag, string_schema([*TAPE_TAGS, *more]))
     cols = []
     for tag, name in TAPE_TAGS.items():
         text = F.trim(F.col(tag))
@@ -56,6 +70,7 @@ def read_loan_tape(
         else:
             col = text.try_cast("decimal(20,8)")
         cols.append(col.alias(name))
+    cols += [F.trim(F.col(tag)).alias(name) for tag, name in more.items()]
     rows = raw.select(F.input_file_name().alias("source_file"), *cols)
     return rows.repartition(spread) if spread else rows
 
