@@ -2,7 +2,7 @@
 
 A tape row has trust_id, period_start, period_end, asset_number, original_amount,
 beginning_balance, ending_balance, original_rate, reporting_rate, original_term, remaining_term,
-added, recovered. Every aggregate here is one groupBy that combines on the map side, so a trust
+added, recovered. Every aggregate here is one groupBy that combines before its exchange, so a trust
 with a third of all loans costs no more than its share of the scan.
 """
 
@@ -97,13 +97,28 @@ def unknown_partials(loans: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.count(F.lit(1)).alias("row_count"))
 
 
+def gathered(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of equal keys next to each other, in partitions that AQE evens out.
+
+    The number they are dealt by is not the keys themselves, so an aggregate still exchanges its partial
+    sums and Spark is free to split a hot key.
+    """
+    return rows.withColumn("_deal", F.pmod(F.xxhash64(*keys), F.lit(1 << 20))).hint("rebalance", "_deal").drop(
+        "_deal")
+
+
 def loan_aggregate(
     loans: DataFrame, keys: Sequence[str] = ("trust_id", "period_end")
 ) -> DataFrame:
-    """Counts, sums, weighted averages and their denominators per key, in one pass."""
+    """Counts, sums, weighted averages and their denominators per key, in one pass.
+
+    A buffer of all sums is several times as wide as a loan, so where a task meets many keys loans are
+    dealt out first, those of a key together; a large key is split, as it only combines once more.
+    """
     core = F.col("loan_kind") == "CORE"
     added = F.col("added").cast("boolean")
-    rows = classify_partial(loans)
+    rows = gathered(classify_partial(loans).select(
+        *keys, "loan_kind", *CORE_FIELDS, *OPTIONAL_FIELDS, "recovered"), keys)
 
     def money(col: str, when: Column = core) -> Column:
         return F.coalesce(F.sum(F.when(when, F.col(col).cast(AMOUNT))), F.lit(0)).cast(MONEY)
