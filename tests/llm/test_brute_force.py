@@ -301,3 +301,20 @@ def test_pipeline(spark):
         kept = now
     rows = corpus_pipeline.run(spark, SF).agg(F.sum("length"), F.count("*")).first()
     assert rows[0] > 0 and rows[1] > 0
+
+
+def test_network_in_columns_and_far_logits():
+    """Streams as columns give the plain cell; softmax rows far from zero are as exact as near ones."""
+    rng = np.random.default_rng(8)
+    net = recurrent.Network(rng.normal(0, 0.3, sum(math.prod(s) for s in recurrent.Network.SHAPES.values())))
+    x, h = rng.normal(0, 1, (7, 60)), rng.normal(0, 1, (7, 20))
+    g = h @ net.p["u"]
+    z, r = (1 / (1 + np.exp(-(x[:, a:a + 20] + g[:, a:a + 20]))) for a in (0, 20))
+    n = np.tanh(x[:, 40:] + r * g[:, 40:])
+    new = net.step_columns(x.T, h.T, net.p["u"].T)[4].T
+    assert np.allclose(new, n + z * (h - n), atol=1e-6)
+    for move in (0, 500, -500):
+        rows = rng.normal(0, 2, (9, 40))
+        at = rng.integers(0, 40, 9)
+        want = rows[np.arange(9), at] - np.log(np.exp(rows).sum(axis=1))
+        assert np.allclose(recurrent.log_chosen((rows + move).astype(np.float32), at), want, atol=1e-3)

@@ -113,24 +113,36 @@ def cut_of(steps: list, head: int) -> tuple[int, int]:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(np.minimum(-x, 80)))
+    """Works in the given array."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x += 1
+    x *= 0.5
+    return x
+
+
+def exponentials(x: np.ndarray) -> np.ndarray:
+    """Row sums of the array's exponentials, which take its place; rows are moved if they are far from zero."""
+    if x.size and max(x.max(), -x.min()) > 60:
+        x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    return x @ np.ones(x.shape[1], x.dtype)
 
 
 def errors(x: np.ndarray, at: np.ndarray, scale: np.floating) -> np.ndarray:
     """Each row's softmax less one at its target, by `scale`; works in the given array."""
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x *= scale / x.sum(axis=1, keepdims=True)
+    total = exponentials(x)
+    x *= (scale / total)[:, None]
     x[np.arange(len(x)), at] -= scale
     return x
 
 
 def log_chosen(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """One entry of each row's log softmax; works in the given array."""
-    x -= x.max(axis=1, keepdims=True)
+    if x.size and max(x.max(), -x.min()) > 60:
+        x -= x.max(axis=1, keepdims=True)
     chosen = x[np.arange(len(x)), at]
-    np.exp(x, out=x)
-    return chosen - np.log(x.sum(axis=1))
+    return chosen - np.log(exponentials(x))
 
 
 class Network:
@@ -172,22 +184,39 @@ class Network:
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """One word: gates z and r, candidate n, the recurrent part of n, and the new state."""
-        g = h @ self.p["u"]
-        zr = sigmoid(x[:, :2 * HIDDEN] + g[:, :2 * HIDDEN])
-        z, r, part = zr[:, :HIDDEN], zr[:, HIDDEN:], g[:, 2 * HIDDEN:]
-        n = np.tanh(x[:, 2 * HIDDEN:] + r * part)
-        return z, r, n, part, n + z * (h - n)
+        return tuple(v.T for v in self.step_columns(x.T, h.T, self.p["u"].T))
+
+    @staticmethod
+    def step_columns(x: np.ndarray, h: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The same with streams as columns, so that gates are whole blocks of memory; `back` is `u` turned."""
+        g = back @ h
+        part = g[2 * HIDDEN:]
+        zr = g[:2 * HIDDEN]
+        zr += x[:2 * HIDDEN]
+        sigmoid(zr)
+        z, r = zr[:HIDDEN], zr[HIDDEN:]
+        n = r * part
+        n += x[2 * HIDDEN:]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return z, r, n, part, new
 
     def log_likelihood(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log probability of each target given its state."""
-        cls, word = targets // CLASS_SIZE, targets % CLASS_SIZE
+        cls = (targets // CLASS_SIZE).astype(np.uint8)
+        order = np.argsort(cls, kind="stable")  # words of a class side by side
+        h, cls, word = h[order], cls[order], (targets % CLASS_SIZE)[order]
         logits = h @ self.p["wc"]
         logits += self.p["bc"]
-        out = log_chosen(logits, cls)
-        for c, at in by_class(cls):
-            logits = h[at] @ self.p["wo"][c]
-            logits += self.p["bo"][c]
-            out[at] += log_chosen(logits, word[at])
+        found = log_chosen(logits, cls)
+        for c, of in by_class(cls):
+            np.matmul(h[of], self.p["wo"][c], out=logits[of])
+            logits[of] += self.p["bo"][c]
+        found += log_chosen(logits, word)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def gradients(self, given: np.ndarray, targets: np.ndarray, real: np.ndarray,
@@ -198,53 +227,58 @@ class Network:
         comes back from it, and its state is not carried on.
         """
         p, (steps, streams) = self.p, given.shape
-        x = (p["e"] @ p["wx"] + p["b"])[given]
-        hs = np.empty((steps + 1, streams, HIDDEN), x.dtype)
-        hs[0] = h0
-        z, r, n, part = np.empty((4, steps, streams, HIDDEN), x.dtype)
+        inputs = with_ones(p["e"])[given]
+        x = np.vstack((p["wx"], p["b"])).T @ inputs.transpose(0, 2, 1)
+        hs = np.empty((steps + 1, HIDDEN, streams), x.dtype)
+        hs[0] = h0.T
+        z, r, n, part = np.empty((4, steps, HIDDEN, streams), x.dtype)
+        back = np.ascontiguousarray(p["u"].T)
         for t in range(steps):
-            z[t], r[t], n[t], part[t], hs[t + 1] = self.step(x[t], hs[t])
-        states = hs[1:]
+            z[t], r[t], n[t], part[t], hs[t + 1] = self.step_columns(x[t], hs[t], back)
+        states = np.ascontiguousarray(hs[1:].transpose(0, 2, 1))
         at = np.nonzero(real)
         want = targets[at]
-        order = np.argsort(want // CLASS_SIZE, kind="stable")  # words of a class side by side
+        order = np.argsort((want // CLASS_SIZE).astype(np.uint8), kind="stable")  # words of a class side by side
         at, want = (at[0][order], at[1][order]), want[order]
-        flat, cls, word = states[at], want // CLASS_SIZE, want % CLASS_SIZE
+        flat, cls, word = with_ones(states[at]), want // CLASS_SIZE, want % CLASS_SIZE
         scale = x.dtype.type(1 / max(1, len(want)))
-        dc = errors(flat @ p["wc"] + p["bc"], cls, scale)
+        d = errors(flat @ np.vstack((p["wc"], p["bc"])), cls, scale)
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        g["wc"], g["bc"] = flat.T @ dc, dc.sum(axis=0)
-        dflat = dc @ p["wc"].T
-        edge = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
-        for c in range(CLASSES):
-            of = slice(edge[c], edge[c + 1])
-            if of.start < of.stop:
-                d = errors(flat[of] @ p["wo"][c] + p["bo"][c], word[of], scale)
-                g["wo"][c], g["bo"][c] = flat[of].T @ d, d.sum(axis=0)
-                dflat[of] += d @ p["wo"][c].T
+        both = flat.T @ d
+        g["wc"], g["bc"] = both[:-1], both[-1]
+        dflat = d @ p["wc"].T
+        outputs = np.concatenate((p["wo"], p["bo"][:, None]), axis=1)
+        for c, of in by_class(cls):
+            np.matmul(flat[of], outputs[c], out=d[of])
+        errors(d, word, scale)
+        for c, of in by_class(cls):
+            both = flat[of].T @ d[of]
+            g["wo"][c], g["bo"][c] = both[:-1], both[-1]
+            dflat[of] += d[of] @ p["wo"][c].T
         dh_out = np.zeros_like(states)
         dh_out[at] = dflat
+        dh_out = np.ascontiguousarray(dh_out.transpose(0, 2, 1))
         to_n, to_z, to_r = (1 - z) * (1 - n * n), (hs[:-1] - n) * z * (1 - z), part * r * (1 - r)
-        dx, dg = np.empty((2, steps, streams, 3 * HIDDEN), x.dtype)
-        dh, back = np.zeros_like(h0), np.ascontiguousarray(p["u"].T)
+        dx, dg = np.empty((2, steps, 3 * HIDDEN, streams), x.dtype)
+        dh = np.zeros_like(hs[0])
         for t in range(steps - 1, -1, -1):
             d = dh + dh_out[t]
             dn = d * to_n[t]
-            dx[t, :, :HIDDEN] = d * to_z[t]
-            dx[t, :, HIDDEN:2 * HIDDEN] = dn * to_r[t]
-            dx[t, :, 2 * HIDDEN:] = dn
+            dx[t, :HIDDEN] = d * to_z[t]
+            dx[t, HIDDEN:2 * HIDDEN] = dn * to_r[t]
+            dx[t, 2 * HIDDEN:] = dn
             dg[t] = dx[t]
-            dg[t, :, 2 * HIDDEN:] *= r[t]
-            dh = d * z[t] + dg[t] @ back
-        g["u"] = hs[:-1].reshape(-1, HIDDEN).T @ dg.reshape(-1, 3 * HIDDEN)
-        # Gradients of the table of inputs by word, then of its two factors.
-        order = np.argsort(given, axis=None, kind="stable")
+            dg[t, 2 * HIDDEN:] *= r[t]
+            dh = d * z[t] + p["u"] @ dg[t]
+        g["u"] = (hs[:-1] @ dg.transpose(0, 2, 1)).sum(axis=0)
+        # Gradients of the words' rows and of what makes inputs of them.
+        both = (inputs.transpose(0, 2, 1) @ dx.transpose(0, 2, 1)).sum(axis=0)
+        g["wx"], g["b"] = both[:-1], both[-1]
+        by_place = np.ascontiguousarray((p["wx"] @ dx).transpose(0, 2, 1)).reshape(-1, DIM)
+        order = np.argsort(given.astype(np.uint16), axis=None, kind="stable")
         words, first = np.unique(given.ravel()[order], return_index=True)
-        by_word = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
-        g["b"] = by_word.sum(axis=0)
-        g["wx"] = p["e"][words].T @ by_word
-        g["e"][words] = by_word @ p["wx"].T
-        return g, hs[-1]
+        g["e"][words] = np.add.reduceat(by_place[order], first, axis=0)
+        return g, np.ascontiguousarray(hs[-1].T)
 
     def fit(self, texts: Iterator[np.ndarray], seen: dict[str, np.ndarray]) -> tuple[int, int]:
         """Adagrad over whole texts, window by window in STREAMS streams; how many texts and words.
@@ -282,13 +316,14 @@ class Network:
         """Log10 probability of whole texts, side by side from the longest to the shortest."""
         out = np.zeros(len(texts))
         table = self.p["e"] @ self.p["wx"] + self.p["b"]
+        back = np.ascontiguousarray(self.p["u"].T)
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         for first in range(0, len(order), SIDE_BY_SIDE):
             part = order[first:first + SIDE_BY_SIDE]
             sizes = np.array([len(texts[i]) for i in part])
             flat = np.concatenate([texts[i] for i in part])
             starts = np.cumsum(sizes) - sizes
-            h = np.zeros((len(part), HIDDEN), np.float32)
+            h = np.zeros((HIDDEN, len(part)), np.float32)
             total = np.zeros(len(part))
             for at in range(0, int(sizes[0]), WINDOW):
                 states, wanted, whose = [], [], []
@@ -296,8 +331,8 @@ class Network:
                     live = int(np.searchsorted(-sizes, -t, side="left"))
                     places = starts[:live] + t
                     given = flat[places - 1] if t else np.zeros(live, np.int64)
-                    h[:live] = self.step(table[given], h[:live])[4]
-                    states.append(h[:live].copy())
+                    h = self.step_columns(table[given].T, h[:, :live], back)[4]
+                    states.append(h.T)
                     wanted.append(flat[places])
                     whose.append(np.arange(live))
                 found = self.log_likelihood(np.concatenate(states), np.concatenate(wanted))
@@ -306,10 +341,15 @@ class Network:
         return out
 
 
-def by_class(cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(cls, kind="stable")
-    found, at = np.unique(cls[order], return_index=True)
-    return zip(found.tolist(), np.split(order, at[1:]), strict=True) if len(cls) else iter(())
+def with_ones(x: np.ndarray) -> np.ndarray:
+    """A column of ones added, which carries a bias."""
+    return np.hstack((x, np.ones((len(x), 1), x.dtype)))
+
+
+def by_class(cls: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Classes and their places; the classes come in order."""
+    edge = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+    return ((c, slice(edge[c], edge[c + 1])) for c in range(CLASSES) if edge[c] < edge[c + 1])
 
 
 def fit(texts: DataFrame, key: Column, counts: Counts) -> Network:
